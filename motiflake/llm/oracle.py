@@ -22,4 +22,27 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, n.doc_id = c.compone
 FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_minhash_near_dedup": OP3}
+LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({FOLDED}, ''), '{LETTERED}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(coalesce({FOLDED}, ''), '{LETTERED}') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS win FROM (
+    SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS win FROM (
+    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)
+), m AS (SELECT doc_id, dw.n, p, item_id FROM dw JOIN iw USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY 1),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op3_minhash_near_dedup": OP3, "op8_benchmark_decontamination": OP8}
