@@ -4,6 +4,22 @@ from __future__ import annotations
 
 FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP2 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), l AS (
+  SELECT conv_id, turn, role, text, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(role)
+    + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + 15 AS n FROM c
+)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
 OP3 = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(coalesce({FOLDED}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -22,6 +38,21 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, n.doc_id = c.compone
 FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
+OP4 = r"""
+WITH r(verdict, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'),
+  ('block', 'example.net/de/8'), ('block', 'org/es/')),
+rules AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, length(split_part(rule, '/', 1)) + 1) AS rp FROM r),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+m AS (SELECT page_id, max_by({'rule': rule, 'verdict': verdict}, [length(rule), length(rh)]) AS best
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+b(h) AS (VALUES ('casino-win.example.com'), ('cheap-pills.example.com'), ('free-bets.example.com'))
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict,
+  CASE WHEN EXISTS (SELECT 1 FROM b WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m USING (page_id)
+"""
+
 LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP8 = rf"""
@@ -45,4 +76,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_minhash_near_dedup": OP3, "op8_benchmark_decontamination": OP8}
+ORACLE: dict[str, str] = {"op2_chat_formatting": OP2, "op3_minhash_near_dedup": OP3, "op4_url_filters": OP4, "op8_benchmark_decontamination": OP8}

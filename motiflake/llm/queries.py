@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, piece, quality, secrets_scan
+from . import chat, decontam, minhash, pii, piece, quality, secrets_scan, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,55 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "quality.*")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("event"), "role", "text"
+    )
+    # conversation -7: a user's message as one event, an assistant's streamed in two parts
+    said = "\\### Assistant: </turn> ok"
+    asked, begun, added = ((0, 0, "message", "user", said), (1, 1, "message", "assistant", said[:9]), (2, 1, "delta", None, said[9:]))
+    names = ("seq", "turn", "event", "role", "text")
+    extra = spark.range(1).select(
+        F.explode(
+            F.array(*(F.struct(*(F.lit(v).cast("long" if n in names[:2] else "string").alias(n) for n, v in zip(names, row, strict=True)))
+                      for row in (asked, begun, added)))
+        ).alias("e")
+    ).select(F.lit(-7).cast("long").alias("conv_id"), "e.*")
+    parts = chat.render(chat.fold(log.unionByName(extra)))
+    told = F.transform(
+        chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    )
+    read = parts.select(
+        "conv_id",
+        F.struct(
+            "part",
+            F.size(told).alias("n"),
+            F.array_join(told, "").alias("turns"),
+            chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss"),
+            F.char_length("formatted").alias("chars"),
+        ).alias("p"),
+    )
+    whole = read.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    text = lambda name: F.array_join(F.transform("p", lambda x: x[name]), "")
+    total = lambda name: F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x[name])
+    return whole.select(
+        "conv_id",
+        total("n").alias("n_turns"),
+        F.sha2(text("turns"), 256).alias("turns_sha256"),
+        F.char_length(text("loss")).cast("long").alias("loss_chars"),
+        F.sha2(text("loss"), 256).alias("loss_sha256"),
+        total("chars").alias("formatted_chars"),
+    )
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85)
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
@@ -56,8 +101,30 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda kind: F.size(F.filter("pseudonyms", lambda p: p["kind"] == kind)).cast("long")
+    return pii.pseudonymise(docs, key="motiflake").select(
+        "doc_id",
+        F.size("pseudonyms").cast("long").alias("n_found"),
+        *(count(kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.array_join(F.transform("pseudonyms", lambda p: F.concat_ws(":", p["kind"], p["value"])), ",").alias("pseudonyms"),
+        "text",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_minhash_near_dedup, op5_sentencepiece, op6_secret_scan, op8_benchmark_decontamination)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_chat_formatting,
+        op3_minhash_near_dedup,
+        op4_url_filters,
+        op5_sentencepiece,
+        op6_secret_scan,
+        op8_benchmark_decontamination,
+        op10_pii_pseudonyms,
+    )
 }
 
 
