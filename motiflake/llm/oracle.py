@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES
+
 FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2 = r"""
@@ -55,6 +57,25 @@ FROM p LEFT JOIN m USING (page_id)
 
 LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+OP7 = rf"""
+WITH ph(words, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')),
+tp(label, text) AS (VALUES {", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)}),
+ts AS (SELECT row_number() OVER () AS t, label, list_distinct(regexp_extract_all({FOLDED}, '{LETTERED}')) AS tw FROM tp),
+d AS (SELECT doc_id, coalesce({FOLDED}, '') AS x, regexp_extract_all(coalesce({FOLDED}, ''), '{LETTERED}') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+base AS (SELECT doc_id, p - 1 AS p, label FROM p JOIN ph ON w[p : p + len(words) - 1] = words),
+b AS (SELECT doc_id, count(*) AS n, min(p) AS a, max(p) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY 1),
+li AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{LETTERED}')) AS lw FROM d),
+bl AS (SELECT doc_id, label, len(list_intersect(tw, lw)) AS c, len(tw) AS n FROM li, ts WHERE len(list_intersect(tw, lw)) * 100 >= 80 * len(tw)),
+al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l
+  FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM bl) GROUP BY 1),
+sc AS (SELECT doc_id, max(c / n) AS s FROM bl GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.z::BIGINT AS last_word,
+  coalesce(b.l, '') AS base_labels, coalesce(al.l, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(s, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
 OP8 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({FOLDED}, ''), '{LETTERED}') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(coalesce({FOLDED}, ''), '{LETTERED}') AS w FROM benchmark),
@@ -76,4 +97,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_chat_formatting": OP2, "op3_minhash_near_dedup": OP3, "op4_url_filters": OP4, "op8_benchmark_decontamination": OP8}
+ORACLE: dict[str, str] = {"op2_chat_formatting": OP2, "op3_minhash_near_dedup": OP3, "op4_url_filters": OP4, "op7_license_scan": OP7, "op8_benchmark_decontamination": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, pii, piece, quality, secrets_scan, urls
+from . import chat, decontam, licenses, minhash, pii, piece, quality, secrets_scan, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,26 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("phrases", lambda p: p["start"])
+    base = F.transform("phrases", lambda p: p["label"])
+    # a phrase is all of its template; of a block's templates the best one counts
+    shares = F.transform("blocks", lambda b: b["common"] / b["size"])
+    score = F.when(F.size("phrases") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(shares), F.lit(0.0)))
+    labels = F.concat(base, F.transform("blocks", lambda b: b["label"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.sort_array(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_distinct(labels)), ",").alias("labels"),
+        score.alias("score"),
+    )
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
@@ -122,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_url_filters,
         op5_sentencepiece,
         op6_secret_scan,
+        op7_license_scan,
         op8_benchmark_decontamination,
         op10_pii_pseudonyms,
     )
