@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, minhash, pii, piece, quality, secrets_scan, urls
+from . import chat, decontam, hmm, licenses, minhash, pii, piece, quality, secrets_scan, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +121,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = lambda kind: F.size(F.filter("pseudonyms", lambda p: p["kind"] == kind)).cast("long")
@@ -144,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_secret_scan,
         op7_license_scan,
         op8_benchmark_decontamination,
+        op9_hmm_scores,
         op10_pii_pseudonyms,
     )
 }
