@@ -108,6 +108,9 @@ def ship(spark: SparkSession, rules: Iterable[tuple[str, str]], hosts: Iterable[
         raise ValueError(f"{size} bytes of rules are over {MAX_BYTES}: put them in a table and use judge_joined")
     with open(plain, "rb") as f:
         name = f"digest-{xxhash.xxh128_hexdigest(f.read())}"
+    if any(p.rpartition("/")[2] == name for p in spark.sparkContext.listFiles):
+        os.remove(plain)
+        return name
     os.rename(plain, os.path.join(folder, name))
     spark.sparkContext.addFile(os.path.join(folder, name))
     return name
