@@ -4,15 +4,17 @@
    never meet in pairs.
 2. ``PERMUTATIONS`` minima of a class make ``BANDS`` keys of four minima each. Of every minimum, ``BITS`` low bits are
    kept and packed, 64 bytes a class.
-3. Classes with a common key are a bucket. In a bucket, a hub (the class that agrees most with the others) covers those
-   whose estimated similarity to it is near the threshold; the rest get hubs of their own. Only pairs with a hub go on,
-   so a bucket gives about as many pairs as it has classes. Buckets over ``SPLIT`` classes are dealt out to
-   several tasks, each with the bucket's smallest class as a guest.
-4. Pairs are confirmed on whole shingle sets, and components are found.
-5. Buckets that still hold several components are gone over again: every class outside the bucket's largest component
-   meets all classes of other components, again weighed by bit counts, the most similar first, until no pair
-   is left that could join two components. So a link between different texts is lost only if no band
-   finds it (below 5e-8 at similarity 0.8, 1e-10 at 0.85) or its estimate is five standard deviations too low.
+3. Classes with a common key are a bucket. In a bucket, classes whose estimated similarity is near the threshold hang
+   together; each such cell gets a hub, the class that agrees most with the others, and gives pairs of the hub and each
+   other class, as many as it has classes. Buckets over ``SPLIT`` classes are dealt out to several tasks, each with the
+   bucket's smallest class as a guest.
+4. Pairs with a hub are confirmed on whole shingle sets, and components are found. What a class's set and its hub's
+   do not share (its difference) is kept.
+5. Cells that still hold several components are gone over again: each class outside a cell's largest component meets
+   every class of the cell's other components. Differences from one hub give the exact size of the overlap of any two
+   sets of the cell, so only true links leave the task, and only those that join components there. Cells over ``SPLIT``
+   classes are worked on in blocks. So a link between different texts is lost only if no band finds it (below
+   5e-8 at similarity 0.8, 1e-10 at 0.85) or its estimate is five standard deviations too low.
 """
 
 from __future__ import annotations
@@ -31,9 +33,8 @@ PERMUTATIONS = 128
 ROWS = 4
 BANDS = PERMUTATIONS // ROWS
 BITS = 4
+#: Classes of a bucket or cell that one task takes.
 SPLIT = 4096
-#: Candidates of one class and component that a pass over mixed buckets takes at most; the last pass takes all.
-PASSES = (4, 64, None)
 
 _SEEDS = mix(np.arange(1, PERMUTATIONS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _LOW = U64(0x1111111111111111)
@@ -134,8 +135,10 @@ def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {}
         for name, column in zip(batch.schema.names, batch.columns, strict=True):
-            if pa.types.is_binary(column.type):
+            if name == "sig":
                 out[name] = np.frombuffer(b"".join(column.to_pylist()), U64).reshape(len(column), -1)
+            elif pa.types.is_binary(column.type):
+                out[name] = np.array([*column.to_pylist(), None], object)[:-1]
             else:
                 out[name] = column.to_numpy(zero_copy_only=False)
         return out
@@ -169,41 +172,44 @@ def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[
         yield split({k: np.concatenate([x[k] for x in rest]) for k in rest[0]}, True)[0]
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())])
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    rows = np.unique(np.stack([np.concatenate([*a, none]), np.concatenate([*b, none])], 1), axis=0)
+    rows = rows[rows[:, 0] != rows[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
 
-def _pairs(a: list, b: list, cut: bool = False) -> pa.RecordBatch:
-    x = np.concatenate(a) if a else np.zeros(0, np.int64)
-    y = np.concatenate(b) if b else np.zeros(0, np.int64)
-    order = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-    order = order[order[:, 0] < order[:, 1]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(order[:, 0]), pa.array(order[:, 1]), pa.array(np.full(len(order), cut))], schema=_PAIRS
-    )
-
-
-def _covers(least: float):
-    """Step 3 over rows (key, part, rep, sig) in order: pairs of a hub and a class that it covers."""
+def _cells(least: float):
+    """Step 3 over rows (key, part, rep, sig) in order: pairs of a cell's hub and another class of the cell."""
 
     def one(rep: np.ndarray, sig: np.ndarray, a: list, b: list) -> None:
         nibbles = (sig[:, :, None] >> (np.arange(64 // BITS, dtype=U64) * U64(BITS))) & U64((1 << BITS) - 1)
         nibbles = nibbles.reshape(len(sig), -1)
-        mode = np.stack([(nibbles == U64(v)).sum(axis=0) for v in range(1 << BITS)]).argmax(axis=0)
-        hub = int((nibbles == mode.astype(U64)).sum(axis=1).argmax())
-        bare = np.ones(len(rep), bool)
-        while True:
-            near = estimate(sig[hub], sig) >= least
-            near[hub] = False
-            own = np.flatnonzero(near & bare)
-            if not len(own) and near.any():
-                own = np.flatnonzero(near)[:1]
+        free = np.ones(len(rep), bool)
+        while free.any():
+            left = nibbles[free]
+            mode = np.stack([(left == U64(v)).sum(axis=0) for v in range(1 << BITS)]).argmax(axis=0)
+            hub = int(np.flatnonzero(free)[(left == mode.astype(U64)).sum(axis=1).argmax()])
+            cell = free & (estimate(sig[hub], sig) >= least)
+            cell[hub] = True
+            # members of the hub's own reach need no look around unless some class is left that they could reach
+            wait = np.flatnonzero(cell).tolist()
+            while wait and (free & ~cell).any():
+                outside = np.flatnonzero(free & ~cell)
+                if len(outside) < len(wait):
+                    wait = []
+                    for o in outside.tolist():
+                        if (estimate(sig[o], sig[cell]) >= least).any():
+                            cell[o] = True
+                            wait.append(o)
+                else:
+                    grown = outside[estimate(sig[wait.pop()], sig[outside]) >= least]
+                    cell[grown] = True
+                    wait += grown.tolist()
+            own = np.flatnonzero(cell)
             a.append(np.full(len(own), rep[hub]))
             b.append(rep[own])
-            bare[hub] = False
-            bare[own] = False
-            if not bare.any():
-                return
-            hub = int(bare.argmax())
+            free &= ~cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ("key", "part")):
@@ -220,33 +226,55 @@ def _covers(least: float):
     return run
 
 
-def _bridges(least: float, most: int | None):
-    """Step 5 over rows (key, part, rep, sig, label, guest): pairs of classes of different components, one a guest."""
+def _linked(common: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * common >= percent * union
+
+
+def _bridges(percent: int):
+    """Step 5 over rows (hub, part, block, rep, n, label, guest, delta) in order, delta being the difference from the
+    hub: links between classes of different components, one of them a guest."""
+
+    def one(rows: dict[str, np.ndarray], a: list, b: list) -> None:
+        guests, seats = np.flatnonzero(rows["guest"]), np.flatnonzero(~rows["guest"])
+        if not len(guests) or not len(seats):
+            return
+        rep, n, delta = rows["rep"], rows["n"], [np.frombuffer(d, U64) for d in rows["delta"]]
+        names, label = np.unique(rows["label"], return_inverse=True)
+        root = np.arange(len(names))
+        size = np.array([len(d) for d in delta])
+        element = np.concatenate([delta[i] for i in seats])
+        owner = np.repeat(np.arange(len(seats)), size[seats])
+        order = np.argsort(element, kind="stable")
+        element, owner = element[order], owner[order]
+        for g in guests.tolist():
+            low, high = np.searchsorted(element, delta[g], "left"), np.searchsorted(element, delta[g], "right")
+            run = high - low
+            at = np.repeat(low - np.cumsum(run) + run, run) + np.arange(run.sum())
+            shared = np.bincount(owner[at], minlength=len(seats))
+            apart = size[g] + size[seats] - 2 * shared
+            both = n[g] + n[seats]
+            common = (both - apart) // 2
+            ok = np.flatnonzero(_linked(common, both - common, percent) & (root[label[seats]] != root[label[g]]))
+            for k in np.unique(root[label[seats[ok]]], return_index=True)[1].tolist():
+                i = int(seats[ok[k]])
+                a.append(rep[[g]])
+                b.append(rep[[i]])
+                root[root == root[label[i]]] = root[label[g]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ("key", "part")):
-            ends = np.concatenate([rows["at"][1:], [len(rows["rep"])]])
-            a, b, cut = [], [], False
-            for i, j in zip(rows["at"].tolist(), ends.tolist(), strict=True):
-                rep, sig, label, guest = (rows[k][i:j] for k in ("rep", "sig", "label", "guest"))
-                for g in np.flatnonzero(guest):
-                    near = estimate(sig[g], sig)
-                    ok = np.flatnonzero((near >= least) & (label != label[g]))
-                    if most is not None and len(ok) > most:
-                        ok = ok[np.lexsort((-near[ok], label[ok]))]
-                        new = np.concatenate([[0], np.flatnonzero(label[ok][1:] != label[ok][:-1]) + 1])
-                        rank = np.arange(len(ok)) - np.repeat(new, np.diff(np.concatenate([new, [len(ok)]])))
-                        cut |= bool((rank >= most).any())
-                        ok = ok[rank < most]
-                    a.append(np.full(len(ok), rep[g]))
-                    b.append(rep[ok])
-            yield _pairs(a, b, cut)
+        for rows in _groups(batches, ("hub", "part", "block")):
+            a: list[np.ndarray] = []
+            b: list[np.ndarray] = []
+            at = rows.pop("at").tolist()
+            for i, j in zip(at, [*at[1:], len(rows["rep"])], strict=True):
+                one({k: v[i:j] for k, v in rows.items()}, a, b)
+            yield _pairs(a, b)
 
     return run
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
+    """Pairs (a, b) on their whole sets: n_a, n_b (set sizes), linked, and delta, the elements that one set has alone."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -255,30 +283,36 @@ def confirm(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, pe
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            keep, last, x = [], None, None
-            for i in range(batch.num_rows):
-                if last is None or left[i] != last:
-                    last, x = left[i], np.frombuffer(left[i].as_py(), U64)
-                y = np.frombuffer(right[i].as_py(), U64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if not len(small) or 100 * len(small) < percent * len(large):
-                    continue
-                both = np.sort(np.concatenate([small, large]))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = docs.select(F.col(id).cast("long").alias(id), text).join(ids.withColumnRenamed("rep", id), id, "left_semi")
+            n_a, n_b, linked, delta = [], [], [], []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                x, y = np.frombuffer(left.as_buffer(), U64), np.frombuffer(right.as_buffer(), U64)
+                both = np.sort(np.concatenate([x, y]))
+                twin = both[1:] == both[:-1]
+                alone = np.ones(len(both), bool)
+                alone[1:] &= ~twin
+                alone[:-1] &= ~twin
+                common = int(twin.sum())
+                n_a.append(len(x))
+                n_b.append(len(y))
+                linked.append(100 * common >= percent * (len(both) - common))
+                delta.append(both[alone].tobytes())
+            columns = [batch.column("a"), batch.column("b"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(linked, pa.bool_()), pa.array(delta, pa.binary())],
+                ["a", "b", "n_a", "n_b", "linked", "delta"],
+            )
+
+    ids = pairs.select(F.col("a").alias(id)).union(pairs.select("b")).distinct()
+    wanted = docs.select(F.col(id).cast("long").alias(id), text).join(ids, id, "left_semi")
+    # the same text again gives the same set; other texts under one id stay, each with its own set
     of = stash(wanted.mapInArrow(sets, "rep long, set binary").dropDuplicates(["rep", "set"]))
     joined = pairs.join(of.select(F.col("rep").alias("a"), F.col("set").alias("left")), "a").join(
         of.select(F.col("rep").alias("b"), F.col("set").alias("right")), "b"
     )
-    out = stash(joined.select("a", "b", "left", "right").mapInArrow(exact, "a long, b long").distinct())
+    out = "a long, b long, n_a long, n_b long, linked boolean, delta binary"
+    done = stash(joined.select("a", "b", "left", "right").mapInArrow(exact, out))
     drop(of)
-    return out
+    return done
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -307,6 +341,35 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _mixed(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """The classes of cells that hold several components, in blocks: each seat of a part with each guest of a block."""
+    hubs = tested.groupBy(F.col("a").alias("hub")).agg(F.min("n_a").alias("n"))
+    members = tested.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("n_b").alias("n"), "delta").union(
+        hubs.select("hub", F.col("hub").alias("rep"), "n", F.lit(b"").alias("delta"))
+    )
+    placed = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    sizes = placed.groupBy("hub", "label").agg(F.count("*").alias("c"))
+    cells = sizes.groupBy("hub").agg(
+        F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("m"), F.sum("c").alias("all"), F.max("c").alias("most")
+    )
+    cells = cells.filter("m > 1").select(
+        "hub",
+        "main",
+        F.ceil(F.col("all") / SPLIT).alias("parts"),
+        F.ceil((F.col("all") - F.col("most")) / SPLIT).alias("blocks"),
+    )
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    mixed = placed.join(cells, "hub").withColumn("guest", F.col("label") != F.col("main"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    keep = ("rep", "n", "label", "delta")
+    seats = mixed.select("hub", own("parts").alias("part"), F.explode(upto("blocks")).alias("block"), F.lit(False).alias("guest"), *keep)
+    calls = mixed.filter("guest").select(
+        "hub", F.explode(upto("parts")).alias("part"), own("blocks").alias("block"), F.lit(True).alias("guest"), *keep
+    )
+    rows = seats.union(calls).select("hub", "part", "block", "guest", *keep)
+    return rows.repartition("hub", "part", "block").sortWithinPartitions("hub", "part", "block")
+
+
 def link(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -348,47 +411,13 @@ def link(
         .sortWithinPartitions("key", "part", "rep")
         .select("key", "part", "rep", "sig")
     )
-    tested = stash(first.mapInArrow(_covers(least), "a long, b long, cut boolean").select("a", "b").distinct())
-    links = confirm(tested, docs, id, text, shingle, percent)
+    pairs = stash(first.mapInArrow(_cells(least), "a long, b long").distinct())
+    tested = confirm(pairs, docs, id, text, shingle, percent)
+    links = tested.filter("linked").select("a", "b")
     labels = components(links)
-    for most in PASSES:
-        placed = buckets.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("m"))
-        mixed = placed.join(main.filter("m > 1"), "key")
-        calls = mixed.filter("label <> main").select(
-            "rep",
-            "key",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-            "label",
-            F.lit(True).alias("guest"),
-        )
-        seats = mixed.select("rep", "key", "part", "label", F.lit(False).alias("guest"))
-        met = (
-            seats.union(calls)
-            .groupBy("key", "part", "rep", "label")
-            .agg(F.max("guest").alias("guest"))
-            .join(sigs, "rep")
-            .repartition("key", "part")
-            .sortWithinPartitions("key", "part", "rep")
-            .select("key", "part", "rep", "label", "guest", "sig")
-        )
-        found = stash(
-            met.mapInArrow(_bridges(least, most), "a long, b long, cut boolean")
-            .groupBy("a", "b")
-            .agg(F.max("cut").alias("cut"))
-        )
-        more = found.join(tested, ["a", "b"], "left_anti")
-        seen = found.agg(F.count("*").alias("n"), F.max("cut").alias("cut")).first()
-        if seen["n"]:
-            new = stash(more.select("a", "b"))
-            extra = confirm(new, docs, id, text, shingle, percent)
-            tested = tested.union(new)
-            if extra.limit(1).count():
-                links = links.union(extra)
-                labels = components(links)
-        if not seen["cut"]:
-            break
+    extra = stash(_mixed(tested, labels).mapInArrow(_bridges(percent), "a long, b long"))
+    if extra.limit(1).count():
+        labels = components(links.union(extra))
     of = classes.select("one", "two", "rep").join(labels, "rep", "left")
     of = of.select("one", "two", F.coalesce("label", "rep").alias("label"))
     return (
