@@ -310,7 +310,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, pe
         of.select(F.col("rep").alias("b"), F.col("set").alias("right")), "b"
     )
     out = "a long, b long, n_a long, n_b long, linked boolean, delta binary"
-    done = stash(joined.select("a", "b", "left", "right").mapInArrow(exact, out))
+    done = stash(joined.select("a", "b", "left", "right").mapInArrow(exact, out), 200)
     drop(of)
     return done
 
@@ -411,7 +411,7 @@ def link(
         .sortWithinPartitions("key", "part", "rep")
         .select("key", "part", "rep", "sig")
     )
-    pairs = stash(first.mapInArrow(_cells(least), "a long, b long").distinct())
+    pairs = stash(first.mapInArrow(_cells(least), "a long, b long").distinct(), 10_000)
     tested = confirm(pairs, docs, id, text, shingle, percent)
     links = tested.filter("linked").select("a", "b")
     labels = components(links)

@@ -21,11 +21,19 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """df, written as a table of its own and read again."""
-    path = f"{folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stash(df: DataFrame, batch: int = 1000) -> DataFrame:
+    """df, written as a table of its own and read again. Python functions in it get ``batch`` rows at a time at most, as
+    rows with whole texts or sets are wide; the session's own setting is put back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/stash-{uuid.uuid4().hex}"
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
