@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stash import stash
@@ -28,6 +28,9 @@ BITMAP = 24
 #: Rows of benchmark hashes that are broadcast at most, under 200 bytes each; beyond, the join is by shuffle.
 BROADCAST_ROWS = 1 << 16
 
+#: Ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 1 << 21
+
 _CAND = "array<struct<hash: bigint, at: bigint, lead: int, near: array<bigint>>>"
 
 
@@ -218,3 +221,23 @@ def scan(
         F.sort_array(F.collect_set(F.when(F.col("span").isNotNull(), F.col("item")))).alias("items"),
     )
     return found.select(F.col("id").alias(id), "n_words", merged.alias("spans"), "items")
+
+
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """docs without the documents that :func:`scan` finds hits in, all columns as they are.
+
+    Rows with one id stand or fall together; rows with a null id go by their text. Ids to drop are broadcast while they
+    are few, else joined by shuffle.
+    """
+    key = F.coalesce(F.col(id).cast("long"), F.xxhash64(text))
+    found = scan(docs.select(key.alias("__key"), F.col(text).alias("__text")), items, "__key", "__text", item_id, item_text)
+    gone = stash(found.filter(F.size("spans") > 0).select("__key").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*docs.columns)

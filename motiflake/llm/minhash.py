@@ -33,6 +33,8 @@ PERMUTATIONS = 128
 ROWS = 4
 BANDS = PERMUTATIONS // ROWS
 BITS = 4
+#: Ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 1 << 21
 #: Classes of a bucket or cell that one task takes.
 SPLIT = 4096
 
@@ -432,3 +434,24 @@ def link(
         )
         .withColumn("kept", F.col("component_id").isNull() | (F.col(id) == F.col("component_id")))
     )
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one document of each component, all columns as they are.
+
+    The document with the smallest id stays. Of rows with one id, the one with the smallest text stays; rows with a null id
+    stay. Ids to drop are broadcast while they are few, else joined by shuffle.
+    """
+    found = stash(link(docs, id, text, shingle, percent).select(id, "kept"), 10_000)
+    named = found.filter(F.col(id).isNotNull())
+    gone = named.filter("not kept").select(id).distinct()
+    twice = named.filter("kept").groupBy(id).agg(F.count("*").alias("n")).filter("n > 1").select(id)
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, id, "left_anti").select(*docs.columns)
+    if not twice.limit(1).count():
+        return left
+    again = left.join(twice, id, "left_semi").select(*docs.columns)
+    order = Window.partitionBy(id).orderBy(F.col(text).asc_nulls_first())
+    one = again.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").select(*docs.columns)
+    return left.join(twice, id, "left_anti").select(*docs.columns).union(one)

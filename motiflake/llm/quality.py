@@ -93,8 +93,9 @@ def judge(
     min_words: int = 80,
     min_base_words: int = 20,
     max_repeat_percent: int = 30,
+    into: str = "quality",
 ) -> DataFrame:
-    """docs with a column ``quality``, a struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
+    """docs with a column ``into``, a struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     char_distance, word_distance (double), base_failed, kept (boolean).
 
     char_distance compares seven character classes with the language's, word_distance the common words (and all
@@ -102,7 +103,7 @@ def judge(
     is over its limit. Guards: a distance counts only from ``min_chars`` characters or ``min_words`` words on, as
     histograms of short texts are far from any reference by chance; below, it is null. It is null too where the
     language is null or has no reference, and such a text is judged by the base alone. A null or empty text has no
-    words, so base_failed. Rows are judged one by one: ties, repeats and other columns don't matter.
+    words, so base_failed. Rows are judged one by one: ties, repeats and other columns don't matter; a column named as ``into`` is replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     count = lambda t, pattern: F.size(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
@@ -183,4 +184,4 @@ def judge(
         words = let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), of_words)
         return let(words, lambda w: let(of_chars(t), lambda c: verdict(w, c, count(t, SYMBOLS), lines(t))))
 
-    return docs.withColumn("quality", let(body, measured))
+    return docs.withColumn(into, let(body, measured))
