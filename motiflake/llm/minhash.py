@@ -304,7 +304,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, pe
                 ["a", "b", "n_a", "n_b", "linked", "delta"],
             )
 
-    ids = pairs.select(F.col("a").alias(id)).union(pairs.select("b")).distinct()
+    ids = stash(pairs.select(F.col("a").alias(id)).union(pairs.select("b")).distinct(), 10_000)
+    # whole texts are not shuffled while the ids are few; beyond, the join deals both out by id
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     wanted = docs.select(F.col(id).cast("long").alias(id), text).join(ids, id, "left_semi")
     # the same text again gives the same set; other texts under one id stay, each with its own set
     of = stash(wanted.mapInArrow(sets, "rep long, set binary").dropDuplicates(["rep", "set"]))
