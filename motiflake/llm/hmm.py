@@ -8,7 +8,9 @@
    training texts lack one for all. The model's states emit classes, so its parameters are ``CLASSES`` x states numbers,
    whatever the corpus; within a class, words have their share of the counts.
 4. Each round of Baum-Welch sends the parameters out, adds up expected counts block by block with scaled forward and
-   backward recursions, and sums the tasks' counts per class. The last forward pass gives the exact likelihood.
+   backward recursions, and sums the tasks' counts per class. The last forward pass gives the exact likelihood. All texts
+   of a block take a step together; long ones are cut into pieces, and each piece's transfer matrix tells the next one
+   with which shares of the states it begins, so the result is that of one long recursion.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import groups
 from .stash import drop, stash
 from .textscan import FOLD, SPACED, U64, hashes, mix, pieces, words
 
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+#: Tokens that a recursion takes one after another; longer texts are cut, and their pieces run side by side.
+PIECE = 1024
 OWN = 8192
 SUFFIXES = 4096
 #: 0 is the end, then come the words with a class of their own, the suffixes, and words that training lacks.
@@ -136,59 +141,173 @@ def _words(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "words", "trained", "suffixes").mapInArrow(run, out)
 
 
-def _steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts by falling length, where each begins in the tokens, and how many are longer than each step."""
-    order = np.argsort(-lengths, kind="stable")
-    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1][order]
-    longer = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), "left")
-    return order, begin, longer
+class Layout(NamedTuple):
+    """Pieces of texts, the longest first, and their tokens by step and piece."""
 
+    widths: np.ndarray  # pieces that are longer than each step
+    take: np.ndarray  # for each token by step and piece its place in the texts
+    count: np.ndarray  # pieces of each text
+    order: np.ndarray  # pieces by text and place, in falling length
 
-def forward(model: Model, kinds: np.ndarray, lengths: np.ndarray, keep: bool = False):
-    """log10 likelihood of each text; with keep also the scaled forward values and scales of each token. All texts take
-    a step at once, the longest first, so that those still running are a prefix."""
-    order, begin, longer = _steps(lengths)
-    total = np.zeros(len(lengths))
-    alpha = np.empty((len(kinds) if keep else 0, len(model.start)), np.float32)
+    @property
+    def begin(self) -> np.ndarray:
+        """Where each text's pieces begin."""
+        return np.concatenate([[0], np.cumsum(self.count)])
+
+
+_TALLY = "kind int, block long, place int, word long, c long, v long"
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows of :func:`_words` by word: the training count of each word of several blocks, for each of them (kind 0);
+    for each suffix class the sum of its words' counts and how many have one (kind 1); and the most frequent
+    words (kind 2), ``OWN`` of a task at most, as a word has all its rows in one task."""
+    sums, words_of = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
+    best = np.zeros((0, 3), np.int64)
+
+    def rows(kind: int, **given: np.ndarray) -> pa.RecordBatch:
+        n = len(next(iter(given.values())))
+        none = pa.nulls(n, pa.int64())
+        cast = lambda name, t: pa.array(given[name]).cast(t) if name in given else none.cast(t)
+        kinds = pa.array(np.full(n, kind, np.int32))
+        return pa.RecordBatch.from_arrays(
+            [kinds, cast("block", pa.int64()), cast("place", pa.int32()), cast("word", pa.int64()), cast("c", pa.int64()), cast("v", pa.int64())],
+            ["kind", "block", "place", "word", "c", "v"],
+        )
+
+    for group in groups(batches, ("word",)):
+        at = group["at"]
+        size = np.diff(np.concatenate([at, [len(group["word"])]]))
+        c = np.add.reduceat(group["n"].astype(np.int64), at)
+        suffix, word = group["suffix"][at].astype(np.int64), group["word"][at]
+        sums += np.bincount(suffix, c, SUFFIXES).astype(np.int64)
+        words_of += np.bincount(suffix[c > 0], minlength=SUFFIXES)
+        best = np.concatenate([best, np.stack([c, word, suffix], 1)[c > 0]])
+        if len(best) > OWN:
+            best = best[np.lexsort((best[:, 1], -best[:, 0]))[:OWN]]
+        shared = np.repeat(size > 1, size)
+        if shared.any():
+            yield rows(0, block=group["block"][shared], place=group["place"][shared], c=np.repeat(c, size)[shared])
+    have = np.flatnonzero(words_of)
+    yield rows(1, place=have, c=sums[have], v=words_of[have])
+    yield rows(2, word=best[:, 1], c=best[:, 0], place=best[:, 2])
+
+
+def lay_out(lengths: np.ndarray, piece: int = PIECE) -> Layout:
+    count = -(-lengths // piece)
+    text = np.repeat(np.arange(len(lengths)), count)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.minimum(lengths[text] - place * piece, piece)
+    order = np.argsort(-size, kind="stable")
+    widths = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")
+    at = (np.concatenate([[0], np.cumsum(lengths)])[:-1][text] + place * piece)[order]
+    total = int(widths.sum())
+    step = np.repeat(np.arange(len(widths)), widths)
+    rank = np.arange(total) - np.repeat(np.cumsum(widths) - widths, widths)
+    return Layout(widths, at[rank] + step, count, order)
+
+
+def _transfers(model: Model, kinds: np.ndarray, lay: Layout) -> np.ndarray:
+    """For each piece of texts of several, by text and place: the matrix that takes the shares of states before it to those
+    after it, up to a factor."""
+    s = len(model.start)
+    several = np.repeat(lay.count > 1, lay.count)
+    out = np.zeros((len(several), s, s))
+    rank = np.flatnonzero(several[lay.order])
+    if not len(rank):
+        return out
+    emit, back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    # columns: each piece with each state to begin in
+    now = np.tile(np.eye(s)[:, None, :], (1, len(rank), 1))
+    at = 0
+    for t, n in enumerate(lay.widths.tolist()):
+        live = int(np.searchsorted(rank, n))
+        if not live:
+            break
+        shown = emit.take(kinds[at + rank[:live]], axis=1)[:, :, None] * now[:, :live]
+        moved = (back @ shown.reshape(s, -1)).reshape(s, live, s)
+        if t % 16 == 15:
+            moved /= moved.sum(axis=(0, 2))[None, :, None]
+        now[:, :live] = moved
+        at += n
+    now /= now.sum(axis=(0, 2))[None, :, None]
+    out[lay.order[rank]] = now.transpose(1, 2, 0)
+    return out
+
+
+def _ends(model: Model, lay: Layout, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece by text and place the shares of states before it, and how likely each state after it makes the rest
+    of the text (up to a factor)."""
+    s, begin = len(model.start), lay.begin[:-1]
+    before = np.tile(model.start, (len(lay.order), 1))
+    after = np.ones((len(lay.order), s))
+    for k in range(1, int(lay.count.max(initial=0))):
+        q = begin[lay.count > k] + k
+        p = np.einsum("qij,qi->qj", moves[q - 1], before[q - 1])
+        before[q] = p / p.sum(axis=1, keepdims=True)
+    for k in range(int(lay.count.max(initial=0)) - 1, 0, -1):
+        q = begin[lay.count > k] + k
+        r = np.einsum("qij,qj->qi", moves[q], after[q])
+        after[q - 1] = r / r.sum(axis=1, keepdims=True)
+    return before, after
+
+
+def forward(model: Model, kinds: np.ndarray, lay: Layout, keep: bool = False):
+    """log10 likelihood of each text, kinds being laid out; with keep also the scaled forward values, the scales, and what
+    follows each piece."""
+    before, after = _ends(model, lay, _transfers(model, kinds, lay))
+    emit, back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    total = np.zeros(len(lay.order))
+    alpha = np.empty((len(model.start), len(kinds) if keep else 0), np.float32)
     scales = np.empty(len(kinds) if keep else 0)
-    now = np.broadcast_to(model.start, (len(lengths), len(model.start)))
-    for t, n in enumerate(longer.tolist()):
-        at = begin[:n] + t
-        now = now if t == 0 else now[:n] @ model.move
-        now = now[:n] * model.emit[kinds[at]]
-        scale = now.sum(axis=1)
-        now = now / scale[:, None]
+    now = np.ascontiguousarray(before[lay.order].T)
+    at = 0
+    for t, n in enumerate(lay.widths.tolist()):
+        now = now[:, :n] if t == 0 else back @ now[:, :n]
+        now = now * emit.take(kinds[at : at + n], axis=1)
+        scale = now.sum(axis=0)
+        now /= scale
         total[:n] += np.log10(scale)
         if keep:
-            alpha[at], scales[at] = now, scale
-    out = np.empty(len(lengths))
-    out[order] = total
-    return (out, alpha, scales) if keep else out
+            alpha[:, at : at + n], scales[at : at + n] = now, scale
+        at += n
+    by_piece = np.zeros(len(lay.order))
+    by_piece[lay.order] = total
+    whole = np.add.reduceat(np.concatenate([by_piece, [0.0]]), lay.begin[:-1]) if len(lay.count) else np.zeros(0)
+    whole = np.where(lay.count > 0, whole, 0.0)
+    return (whole, alpha, scales, after) if keep else whole
 
 
-def expect(model: Model, kinds: np.ndarray, lengths: np.ndarray) -> Model:
-    """Expected counts of starts, moves and emissions in some texts."""
+def expect(model: Model, kinds: np.ndarray, lay: Layout) -> Model:
+    """Expected counts of starts, moves and emissions in texts that are laid out."""
     s = len(model.start)
-    _, alpha, scales = forward(model, kinds, lengths, True)
-    order, begin, longer = _steps(lengths)
+    _, alpha, scales, after = forward(model, kinds, lay, True)
+    emit = np.ascontiguousarray(model.emit.T)
     moves = np.zeros((s, s))
-    gamma = alpha  # becomes the share of each state at each token
-    beta = np.ones((0, s))
-    ahead = np.zeros((0, s))
-    for t in range(len(longer) - 1, -1, -1):
-        n, m = int(longer[t]), len(ahead)
-        at = begin[:n] + t
-        now = np.ones((n, s))
+    begins = np.cumsum(lay.widths) - lay.widths
+    text = np.repeat(np.arange(len(lay.count)), lay.count)
+    place = np.arange(len(text)) - np.repeat(lay.begin[:-1], lay.count)
+    # what follows a piece: nothing after a text's last one, else the move into the next
+    rest = after[lay.order].T
+    follows = (place + 1 < lay.count[text])[lay.order]
+    into = np.where(follows, model.move @ rest, 1.0)
+    ahead = np.zeros((s, 0))
+    for t in range(len(lay.widths) - 1, -1, -1):
+        n, m, at = int(lay.widths[t]), ahead.shape[1], int(begins[t])
+        here = alpha[:, at : at + n].astype(np.float64)
+        now = np.empty((s, n))
+        now[:, m:] = into[:, m:n] / (here[:, m:] * into[:, m:n]).sum(axis=0)
         if m:
-            here = alpha[at[:m]]
-            moves += here.T @ ahead
-            now[:m] = ahead @ model.move.T
-        gamma[at] = alpha[at] * now
-        beta = now
-        ahead = model.emit[kinds[at]] * beta / scales[at][:, None]
-    emits = np.stack([np.bincount(kinds, gamma[:, j], CLASSES) for j in range(s)], 1)
-    first = begin[lengths[order] > 0]
-    return Model(gamma[first].sum(axis=0, dtype=np.float64), moves * model.move, emits)
+            moves += here[:, :m] @ ahead.T
+            now[:, :m] = model.move @ ahead
+        if n > m and follows[m:n].any():
+            ended = np.flatnonzero(follows[m:n]) + m
+            moves += (here[:, ended] / (here[:, ended] * into[:, ended]).sum(axis=0)) @ rest[:, ended].T
+        alpha[:, at : at + n] = here * now  # now the share of each state
+        ahead = emit.take(kinds[at : at + n], axis=1) * now / scales[at : at + n]
+    emits = np.stack([np.bincount(kinds, alpha[j], CLASSES) for j in range(s)], 1)
+    first = np.flatnonzero((place == 0)[lay.order])
+    return Model(alpha[:, first].sum(axis=1, dtype=np.float64), moves * model.move, emits)
 
 
 def fit(counts: Model, prior: np.ndarray, spare: np.ndarray) -> Model:
@@ -220,13 +339,13 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
     """
     spark = docs.sparkSession
     blocks = stash(_blocks(docs, id, text))
-    per_word = _words(blocks)
-    vocabulary = stash(
-        per_word.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks"), F.first("suffix").alias("suffix")), 10_000
+    tallied = stash(
+        _words(blocks).repartition("word").sortWithinPartitions("word").mapInArrow(_tally, _TALLY), 10_000
     )
-    sums = vocabulary.filter("c > 0").groupBy("suffix").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    per_suffix = tallied.filter("kind = 1").groupBy(F.col("place").alias("suffix"))
+    sums = per_suffix.agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
     texts = blocks.select(F.explode("held").alias("h")).filter("not h").count()
-    top = vocabulary.filter("c > 0").orderBy(F.desc("c"), "word").limit(OWN).collect()
+    top = tallied.filter("kind = 2").select("word", "c", F.col("place").alias("suffix")).orderBy(F.desc("c"), "word").limit(OWN).collect()
     n = sum(r["c"] for r in sums) + texts
     v = sum(r["v"] for r in sums) + (texts > 0)
     whole = n + 0.5 * (v + 1)
@@ -252,8 +371,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
     own = np.array([w for w, _ in by_hash], np.int64)
     own_class = np.array([c for _, c in by_hash], np.int64)
 
-    shared = per_word.select("block", "place", "word").join(vocabulary.filter("blocks > 1").select("word", "c"), "word")
-    back = shared.groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("back"))
+    back = tallied.filter("kind = 0").groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("back"))
 
     def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _of_block(batches):
@@ -287,25 +405,36 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
             end = np.log10((texts + 0.5) / whole)
             within = np.log10(weight / mass[kind])
             end_within = np.log10((texts + 0.5) / mass[end_kind])
+            out = np.array(row["held"].as_py(), bool)
+            order = np.argsort(out, kind="stable")  # training texts first
+            begins = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+            trains = int((~out).sum())
+            laid = []
+            for part in (order[:trains], order[trains:]):
+                size = lengths[part] + 1
+                at = np.repeat(begins[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                laid.append(kinds[at][lay_out(size).take])
+            ids = row["ids"].values.take(pa.array(order))
+            listed = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(x, t))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row["ids"].as_py()], pa.list_(pa.int64())),
-                    pa.array([row["held"].as_py()], pa.list_(pa.bool_())),
-                    pa.array([(lengths + 1).astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([kinds.tobytes()], pa.binary()),
-                    pa.array([per_text((c > 0).astype(float)) + (texts > 0)], pa.list_(pa.float64())),
-                    pa.array([per_text(base) + end], pa.list_(pa.float64())),
-                    pa.array([per_text(within) + end_within], pa.list_(pa.float64())),
+                    pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), ids),
+                    pa.array([trains], pa.int32()),
+                    pa.array([(lengths + 1)[order].astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([np.concatenate(laid).tobytes()], pa.binary()),
+                    listed((per_text((c > 0).astype(float)) + (texts > 0))[order].astype(np.int64), pa.int64()),
+                    listed((per_text(base) + end)[order], pa.float64()),
+                    listed((per_text(within) + end_within)[order], pa.float64()),
                 ],
-                ["ids", "held", "lengths", "kinds", "known", "base", "within"],
+                ["ids", "trains", "lengths", "kinds", "known", "base", "within"],
             )
 
     schema = (
-        "ids array<bigint>, held array<boolean>, lengths binary, kinds binary, known array<double>, base array<double>, "
+        "ids array<bigint>, trains int, lengths binary, kinds binary, known array<bigint>, base array<double>, "
         "within array<double>"
     )
     done = stash(blocks.join(back, "block", "left").mapInArrow(ready, schema), 1)
-    drop(vocabulary)
+    drop(tallied)
     drop(blocks)
 
     model = begin_with(prior, states)
@@ -315,11 +444,10 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = None
             for row in _of_block(batches):
-                lengths, kinds = _array(row["lengths"], np.int32).astype(np.int64), _array(row["kinds"], np.uint16)
-                trains = ~np.array(row["held"].as_py(), bool)
-                kinds = kinds[np.repeat(trains, lengths)].astype(np.int64)
+                lengths = _array(row["lengths"], np.int32).astype(np.int64)[: row["trains"].as_py()]
+                kinds = _array(row["kinds"], np.uint16)[: lengths.sum()]
                 if len(kinds):
-                    new = expect(Model(*sent.value), kinds, lengths[trains])
+                    new = expect(Model(*sent.value), kinds, lay_out(lengths))
                     total = new if total is None else Model(*(a + b for a, b in zip(total, new, strict=True)))
             if total is not None:
                 rows = np.concatenate([total.start[None, :], total.move, total.emit])
@@ -331,7 +459,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
 
         columns = [f"s{j}" for j in range(states)]
         counted = stash(
-            done.select("held", "lengths", "kinds")
+            done.select("trains", "lengths", "kinds")
             .mapInArrow(count, "place int, " + ", ".join(f"{c} double" for c in columns))
             .groupBy("place")
             .agg(*(F.sum(c).alias(c) for c in columns)),
@@ -348,17 +476,22 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _of_block(batches):
-            lengths, kinds = _array(row["lengths"], np.int32).astype(np.int64), _array(row["kinds"], np.uint16).astype(np.int64)
-            total = forward(Model(*sent.value), kinds, lengths) + row["within"].values.to_numpy()
+            lengths, kinds = _array(row["lengths"], np.int32).astype(np.int64), _array(row["kinds"], np.uint16)
+            trains = row["trains"].as_py()
+            cut = int(lengths[:trains].sum())
+            own = Model(*sent.value)
+            total = np.concatenate(
+                [forward(own, kinds[:cut], lay_out(lengths[:trains])), forward(own, kinds[cut:], lay_out(lengths[trains:]))]
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     row["ids"].values,
-                    row["held"].values,
+                    pa.array(np.arange(len(lengths)) >= trains),
                     pa.array(lengths),
-                    pa.array(row["known"].values.to_numpy().astype(np.int64)),
+                    row["known"].values,
                     pa.array(np.full(len(lengths), n), pa.int64()),
                     row["base"].values,
-                    pa.array(total),
+                    pa.array(total + row["within"].values.to_numpy()),
                 ],
                 ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import groups
 from .stash import drop, stash
 from .textscan import SPACED, U64, grams, hashes, mix, pieces, within, words
 
@@ -130,50 +131,6 @@ def grams_of_bands(minima: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return total
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole groups of rows that come sorted; what a batch cuts off waits for the next one. A yield may hold many
-    groups: ``at`` has where each begins."""
-
-    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        out = {}
-        for name, column in zip(batch.schema.names, batch.columns, strict=True):
-            if name == "sig":
-                out[name] = np.frombuffer(b"".join(column.to_pylist()), U64).reshape(len(column), -1)
-            elif pa.types.is_binary(column.type):
-                out[name] = np.array([*column.to_pylist(), None], object)[:-1]
-            else:
-                out[name] = column.to_numpy(zero_copy_only=False)
-        return out
-
-    def split(rows: dict[str, np.ndarray], last: bool):
-        n = len(rows[by[0]])
-        new = np.zeros(n, bool)
-        new[0] = True
-        for name in by:
-            new[1:] |= rows[name][1:] != rows[name][:-1]
-        at = np.flatnonzero(new)
-        stop = n if last else at[-1]
-        return {k: v[:stop] for k, v in rows.items()} | {"at": at if last else at[:-1]}, {
-            k: v[stop:] for k, v in rows.items()
-        }
-
-    rest: list[dict[str, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = columns(batch)
-        if rest and all(rows[k][-1] == rest[-1][k][-1] for k in by):
-            rest.append(rows)
-            continue
-        rows = {k: np.concatenate([*(x[k] for x in rest), v]) for k, v in rows.items()}
-        whole, left = split(rows, False)
-        rest = [left]
-        if len(whole["at"]):
-            yield whole
-    if rest:
-        yield split({k: np.concatenate([x[k] for x in rest]) for k in rest[0]}, True)[0]
-
-
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     none = np.zeros(0, np.int64)
     rows = np.unique(np.stack([np.concatenate([*a, none]), np.concatenate([*b, none])], 1), axis=0)
@@ -214,7 +171,7 @@ def _cells(least: float):
             free &= ~cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ("key", "part")):
+        for rows in groups(batches, ("key", "part")):
             at, rep, sig = rows["at"], rows["rep"], rows["sig"]
             ends = np.concatenate([at[1:], [len(rep)]])
             two = at[ends - at == 2]
@@ -264,7 +221,7 @@ def _bridges(percent: int):
                 root[root == root[label[i]]] = root[label[g]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ("hub", "part", "block")):
+        for rows in groups(batches, ("hub", "part", "block")):
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
             at = rows.pop("at").tolist()

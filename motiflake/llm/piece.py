@@ -20,7 +20,7 @@ from .textscan import Words, hashes, pieces
 SPACE = 0x2581
 _NEVER = np.iinfo(np.int64).max
 #: Different words that a process keeps; beyond it, it starts anew.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
 
 
 class Codec:
