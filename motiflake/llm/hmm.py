@@ -64,9 +64,16 @@ def _blocks(docs: DataFrame, id: str, text: str) -> DataFrame:
             lengths = np.concatenate([x[1] for x in held])
             h, suffix = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
             out = np.array([is_held_out(i) for i in ids], bool)
-            own, sample, token = np.unique(h, return_index=True, return_inverse=True)
+            own, sample, token, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            # the commonest words get the smallest numbers, so that the upper halves are nearly all 0
+            by_count = np.argsort(-n, kind="stable")
+            rank = np.empty(len(own), np.uint32)
+            rank[by_count] = np.arange(len(own), dtype=np.uint32)
+            own, sample, token = own[by_count], sample[by_count], rank[token]
             trained = np.bincount(token[np.repeat(~out, lengths)], minlength=len(own))
-            block = (TaskContext.get().partitionId() << 32) + made if TaskContext.get() else made
+            block = (TaskContext.get().partitionId() << 10) + made if TaskContext.get() else made
+            if made >= 1 << 10 or block >= 1 << 31:
+                raise ValueError("a block's number has 31 bits, 10 of them within a partition")
             made += 1
             held.clear()
             return pa.RecordBatch.from_arrays(
@@ -75,12 +82,13 @@ def _blocks(docs: DataFrame, id: str, text: str) -> DataFrame:
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([out.tolist()], pa.list_(pa.bool_())),
                     pa.array([lengths.astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([token.astype(np.uint32).tobytes()], pa.binary()),
+                    pa.array([token.astype(np.uint16).tobytes()], pa.binary()),
+                    pa.array([(token >> 16).astype(np.uint16).tobytes()], pa.binary()),
                     pa.array([own.tobytes()], pa.binary()),
                     pa.array([suffix[sample].tobytes()], pa.binary()),
                     pa.array([trained.astype(np.int32).tobytes()], pa.binary()),
                 ],
-                ["block", "ids", "held", "lengths", "tokens", "words", "suffixes", "trained"],
+                ["block", "ids", "held", "lengths", "low", "high", "words", "suffixes", "trained"],
             )
 
         size = 0
@@ -101,7 +109,7 @@ def _blocks(docs: DataFrame, id: str, text: str) -> DataFrame:
             yield flush()
 
     schema = (
-        "block long, ids array<bigint>, held array<boolean>, lengths binary, tokens binary, words binary, "
+        "block long, ids array<bigint>, held array<boolean>, lengths binary, low binary, high binary, words binary, "
         "suffixes binary, trained binary"
     )
     return docs.select(F.col(id).cast("long").alias(id), text).mapInArrow(run, schema)
@@ -118,27 +126,18 @@ def _array(value: pa.Scalar, kind: type) -> np.ndarray:
 
 
 def _words(blocks: DataFrame) -> DataFrame:
-    """A row per block and word: its place in the block, hash, count in training texts, suffix class."""
+    """A row per block and word: its hash; block and place in it; count in training texts and suffix class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _of_block(batches):
             word, trained, suffix = _array(row["words"], np.int64), _array(row["trained"], np.int32), _array(row["suffixes"], np.uint16)
             for a in range(0, len(word), 1 << 16):
                 part = slice(a, a + (1 << 16))
-                n = len(word[part])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, row["block"].as_py())),
-                        pa.array(np.arange(a, a + n, dtype=np.int32)),
-                        pa.array(word[part]),
-                        pa.array(trained[part]),
-                        pa.array(suffix[part].astype(np.int32)),
-                    ],
-                    ["block", "place", "word", "n", "suffix"],
-                )
+                at = (row["block"].as_py() << 32) + np.arange(a, a + len(word[part]), dtype=np.int64)
+                told = (trained[part].astype(np.int64) << 16) + suffix[part]
+                yield pa.RecordBatch.from_arrays([pa.array(word[part]), pa.array(at), pa.array(told)], ["word", "at", "told"])
 
-    out = "block long, place int, word long, n int, suffix int"
-    return blocks.select("block", "words", "trained", "suffixes").mapInArrow(run, out)
+    return blocks.select("block", "words", "trained", "suffixes").mapInArrow(run, "word long, at long, told long")
 
 
 class Layout(NamedTuple):
@@ -155,31 +154,45 @@ class Layout(NamedTuple):
         return np.concatenate([[0], np.cumsum(self.count)])
 
 
-_TALLY = "kind int, block long, place int, word long, c long, v long"
+_TALLY = "kind int, block long, word long, c long, v long, places binary, counts binary"
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows of :func:`_words` by word: the training count of each word of several blocks, for each of them (kind 0);
-    for each suffix class the sum of its words' counts and how many have one (kind 1); and the most frequent
-    words (kind 2), ``OWN`` of a task at most, as a word has all its rows in one task."""
+    """Over rows of :func:`_words` by word: for each block the places and training counts of words that other blocks have
+    too (kind 0), packed; for each suffix class the sum of its words' counts and how many have one (kind 1); and the
+    most frequent words with their suffix class (kind 2), ``OWN`` of a task at most, as a word has all its rows in one task."""
     sums, words_of = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
     best = np.zeros((0, 3), np.int64)
+    shared_at: list[np.ndarray] = []
+    shared_c: list[np.ndarray] = []
 
-    def rows(kind: int, **given: np.ndarray) -> pa.RecordBatch:
+    def rows(kind: int, **given) -> pa.RecordBatch:
         n = len(next(iter(given.values())))
-        none = pa.nulls(n, pa.int64())
-        cast = lambda name, t: pa.array(given[name]).cast(t) if name in given else none.cast(t)
-        kinds = pa.array(np.full(n, kind, np.int32))
-        return pa.RecordBatch.from_arrays(
-            [kinds, cast("block", pa.int64()), cast("place", pa.int32()), cast("word", pa.int64()), cast("c", pa.int64()), cast("v", pa.int64())],
-            ["kind", "block", "place", "word", "c", "v"],
+        cast = lambda name, t: pa.array(given[name], t) if name in given else pa.nulls(n, t)
+        names = ["block", "word", "c", "v"]
+        columns = [cast(name, pa.int64()) for name in names] + [cast(name, pa.binary()) for name in ("places", "counts")]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns], ["kind", *names, "places", "counts"])
+
+    def packed() -> pa.RecordBatch:
+        at, c = np.concatenate(shared_at), np.concatenate(shared_c)
+        shared_at.clear()
+        shared_c.clear()
+        order = np.argsort(at, kind="stable")
+        at, c = at[order], c[order]
+        block, place = at >> 32, (at & 0xFFFFFFFF).astype(np.uint32)
+        cut = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = [*cut[1:].tolist(), len(at)]
+        spans = list(zip(cut.tolist(), ends, strict=True))
+        return rows(
+            0, block=block[cut], places=[place[a:b].tobytes() for a, b in spans], counts=[c[a:b].tobytes() for a, b in spans]
         )
 
     for group in groups(batches, ("word",)):
-        at = group["at"]
-        size = np.diff(np.concatenate([at, [len(group["word"])]]))
-        c = np.add.reduceat(group["n"].astype(np.int64), at)
-        suffix, word = group["suffix"][at].astype(np.int64), group["word"][at]
+        begin = group["begins"]
+        size = np.diff(np.concatenate([begin, [len(group["word"])]]))
+        n, suffixes = group["told"] >> 16, group["told"] & 0xFFFF
+        c = np.add.reduceat(n, begin)
+        suffix, word = suffixes[begin], group["word"][begin]
         sums += np.bincount(suffix, c, SUFFIXES).astype(np.int64)
         words_of += np.bincount(suffix[c > 0], minlength=SUFFIXES)
         best = np.concatenate([best, np.stack([c, word, suffix], 1)[c > 0]])
@@ -187,10 +200,15 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = best[np.lexsort((best[:, 1], -best[:, 0]))[:OWN]]
         shared = np.repeat(size > 1, size)
         if shared.any():
-            yield rows(0, block=group["block"][shared], place=group["place"][shared], c=np.repeat(c, size)[shared])
+            shared_at.append(group["at"][shared])
+            shared_c.append(np.repeat(c, size)[shared])
+            if sum(map(len, shared_at)) > 1 << 20:
+                yield packed()
+    if shared_at:
+        yield packed()
     have = np.flatnonzero(words_of)
-    yield rows(1, place=have, c=sums[have], v=words_of[have])
-    yield rows(2, word=best[:, 1], c=best[:, 0], place=best[:, 2])
+    yield rows(1, block=have, c=sums[have], v=words_of[have])
+    yield rows(2, word=best[:, 1], c=best[:, 0], block=best[:, 2])
 
 
 def lay_out(lengths: np.ndarray, piece: int = PIECE) -> Layout:
@@ -342,10 +360,10 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
     tallied = stash(
         _words(blocks).repartition("word").sortWithinPartitions("word").mapInArrow(_tally, _TALLY), 10_000
     )
-    per_suffix = tallied.filter("kind = 1").groupBy(F.col("place").alias("suffix"))
+    per_suffix = tallied.filter("kind = 1").groupBy(F.col("block").alias("suffix"))
     sums = per_suffix.agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
     texts = blocks.select(F.explode("held").alias("h")).filter("not h").count()
-    top = tallied.filter("kind = 2").select("word", "c", F.col("place").alias("suffix")).orderBy(F.desc("c"), "word").limit(OWN).collect()
+    top = tallied.filter("kind = 2").select("word", "c", F.col("block").alias("suffix")).orderBy(F.desc("c"), "word").limit(OWN).collect()
     n = sum(r["c"] for r in sums) + texts
     v = sum(r["v"] for r in sums) + (texts > 0)
     whole = n + 0.5 * (v + 1)
@@ -371,22 +389,26 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
     own = np.array([w for w, _ in by_hash], np.int64)
     own_class = np.array([c for _, c in by_hash], np.int64)
 
-    back = tallied.filter("kind = 0").groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("back"))
+    back = tallied.filter("kind = 0").groupBy("block").agg(
+        F.collect_list(F.struct("places", "counts")).alias("back")
+    )
 
     def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _of_block(batches):
             word = _array(row["words"], np.int64)
             c = _array(row["trained"], np.int32).astype(np.int64)
-            if row["back"].is_valid and len(row["back"]):
-                listed = row["back"].values
-                c[listed.field("place").to_numpy()] = listed.field("c").to_numpy()
+            if row["back"].is_valid:
+                packs = row["back"].values
+                for places, counts in zip(packs.field("places"), packs.field("counts"), strict=True):
+                    c[_array(places, np.uint32)] = _array(counts, np.int64)
             kind = 1 + OWN + _array(row["suffixes"], np.uint16).astype(np.int64)
             if len(own):
                 at = np.minimum(np.searchsorted(own, word), len(own) - 1)
                 kind = np.where(own[at] == word, own_class[at], kind)
             kind[c == 0] = UNKNOWN
             weight = np.where(c == 0, 0.5, c + 0.5)
-            lengths, token = _array(row["lengths"], np.int32).astype(np.int64), _array(row["tokens"], np.uint32)
+            lengths, token = _array(row["lengths"], np.int32).astype(np.int64), _array(row["low"], np.uint16).astype(np.uint32)
+            token |= _array(row["high"], np.uint16).astype(np.uint32) << np.uint32(16)
             begin = np.concatenate([[0], np.cumsum(lengths)])
             # each text's end goes in after its words
             ends = begin[1:] + np.arange(len(lengths))

@@ -172,7 +172,7 @@ def _cells(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ("key", "part")):
-            at, rep, sig = rows["at"], rows["rep"], rows["sig"]
+            at, rep, sig = rows["begins"], rows["rep"], rows["sig"]
             ends = np.concatenate([at[1:], [len(rep)]])
             two = at[ends - at == 2]
             near = estimate(sig[two], sig[two + 1]) >= least
@@ -224,7 +224,7 @@ def _bridges(percent: int):
         for rows in groups(batches, ("hub", "part", "block")):
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
-            at = rows.pop("at").tolist()
+            at = rows.pop("begins").tolist()
             for i, j in zip(at, [*at[1:], len(rows["rep"])], strict=True):
                 one({k: v[i:j] for k, v in rows.items()}, a, b)
             yield _pairs(a, b)

@@ -12,7 +12,7 @@ U64 = np.uint64
 
 def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
     """Whole groups of rows that come sorted; what a batch cuts off waits for the next one. A yield may hold many
-    groups: ``at`` has where each begins."""
+    groups: ``begins`` has where each begins."""
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {}
@@ -33,7 +33,7 @@ def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[d
             new[1:] |= rows[name][1:] != rows[name][:-1]
         at = np.flatnonzero(new)
         stop = n if last else at[-1]
-        return {k: v[:stop] for k, v in rows.items()} | {"at": at if last else at[:-1]}, {
+        return {k: v[:stop] for k, v in rows.items()} | {"begins": at if last else at[:-1]}, {
             k: v[stop:] for k, v in rows.items()
         }
 
@@ -48,7 +48,7 @@ def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[d
         rows = {k: np.concatenate([*(x[k] for x in rest), v]) for k, v in rows.items()}
         whole, left = split(rows, False)
         rest = [left]
-        if len(whole["at"]):
+        if len(whole["begins"]):
             yield whole
     if rest:
         yield split({k: np.concatenate([x[k] for x in rest]) for k in rest[0]}, True)[0]
