@@ -178,22 +178,30 @@ def chained_canonicals(spark: SparkSession, k: int) -> DataFrame:
     return spark.createDataFrame(rows, "src long, dst long")
 
 
+def numbered(rows: DataFrame, *key: str, into: str = "no") -> DataFrame:
+    """rows with their place in the order of the key, from 0. Places come from range partitions and their sizes, with no
+    sort in a single task."""
+    parts = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    marked = parts.withColumn("__raw", F.monotonically_increasing_id())
+    marked = marked.withColumn("__part", F.shiftright("__raw", 33)).withColumn(
+        "__at", F.col("__raw").bitwiseAND((1 << 33) - 1)
+    )
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("__size"))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    begins = sizes.select("__part", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__begin"))
+    placed = marked.join(F.broadcast(begins), "__part").withColumn(into, F.col("__begin") + F.col("__at"))
+    return placed.drop("__raw", "__part", "__at", "__begin")
+
+
 def encode_names(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges of names as edges of numbers, and the dictionary (name, id). Numbers follow the names' order; they are given
-    out by range partition, with no sort in a single task."""
+    """Edges of names as edges of numbers, and the dictionary (name, id). Numbers follow the names' order."""
     names = both_ways(edges).select(F.col("u").alias("name")).distinct()
-    parts = names.repartitionByRange("name").sortWithinPartitions("name")
-    marked = parts.select("name", F.monotonically_increasing_id().alias("raw"))
-    marked = marked.withColumn("part", F.shiftright("raw", 33)).withColumn("at", F.col("raw").bitwiseAND((1 << 33) - 1))
-    sizes = marked.groupBy("part").agg(F.count("*").alias("size"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    begins = sizes.select("part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("begin"))
-    ids = marked.join(F.broadcast(begins), "part").select("name", (F.col("begin") + F.col("at")).alias("id"))
+    ids = numbered(names, "name", into="id").select("name", "id")
     one = ids.select(F.col("name").alias("src"), F.col("id").alias("a"))
     two = ids.select(F.col("name").alias("dst"), F.col("id").alias("b"))
     rest = [c for c in edges.columns if c not in ("src", "dst")]
-    numbered = edges.join(one, "src").join(two, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), *rest)
-    return numbered, ids
+    kept = edges.join(one, "src").join(two, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), *rest)
+    return kept, ids
 
 
 def hits_into(edges: DataFrame, keep: DataFrame) -> DataFrame:

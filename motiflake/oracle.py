@@ -143,3 +143,82 @@ def directed_k3() -> str:
         "gn AS (SELECT s, sum(w)::BIGINT AS gint FROM s3, pr JOIN arcs ON arcs.src = s[i + 1] AND arcs.dst = s[j + 1] GROUP BY s), "
         "cls AS (SELECT s, ordinal FROM gn JOIN cm USING (gint))"
     )
+
+
+def top_pairs(dependencies: list[int], n: int) -> str:
+    from math import log
+
+    weights = [1 - log(o) / log(len(dependencies)) for o in dependencies]
+    ends = lambda e: f"(SELECT src AS u, dst AS v FROM {e} UNION ALL SELECT dst, src FROM {e})"
+    tri = lambda e: f"(SELECT unnest([x.src, x.dst, y.dst]) AS u FROM {e} x JOIN {e} y ON x.dst = y.src JOIN {e} z ON z.src = x.src AND z.dst = y.dst)"
+
+    def vectors(e: str) -> str:
+        return (
+            f"v{e} AS (SELECT d.u AS node, d.d AS o0, s.x - 2 * coalesce(t.t, 0) AS o1, d.d * (d.d - 1) // 2 - coalesce(t.t, 0) AS o2, coalesce(t.t, 0) AS o3 "
+            f"FROM (SELECT u, count(*) AS d FROM {ends(e)} GROUP BY 1) d JOIN (SELECT a.u, sum(b.d - 1) AS x FROM {ends(e)} a JOIN (SELECT u, count(*) AS d FROM {ends(e)} GROUP BY 1) b ON b.u = a.v GROUP BY 1) s USING (u) "
+            f"LEFT JOIN (SELECT u, count(*) AS t FROM {tri(e)} GROUP BY 1) t USING (u))"
+        )
+
+    far = " + ".join(f"{w!r} * abs(ln(a.o{i} + 1) - ln(b.o{i} + 1)) / ln(greatest(a.o{i}, b.o{i}) + 2)" for i, w in enumerate(weights))
+    two = f"whole AS (SELECT DISTINCT {_ENDS} {_LINES} WHERE {_12}), e2 AS (SELECT * FROM whole), e1 AS (SELECT * FROM whole WHERE {draw('src', 'dst', 20)} % 20 <> 0)"
+    return (
+        f"WITH {two}, {vectors('e1')}, {vectors('e2')} SELECT a.node AS n1, b.node AS n2, round(1 - ({far}) / {sum(weights)!r}, 9) AS similarity "
+        f"FROM ve1 a, ve2 b ORDER BY similarity DESC, n1, n2 LIMIT {n}"
+    )
+
+
+def predict(k: int, orbit_a: int, orbit_b: int) -> str:
+    rows = [(o, i, j, n) for (o, i, j), n in graphlets.pair_motifs(k, orbit_a, orbit_b).items()]
+    total = " + ".join(f"d{p}.inv" for p in range(k))
+    joins = " ".join(f"JOIN inv d{p} ON d{p}.x = own[{p + 1}]" for p in range(k))
+    pick = lambda c: " ".join(f"WHEN {c} = {p} THEN d{p}.inv" for p in range(k))
+    return (
+        f"WITH {G12}, {classified(k)}, pm AS (SELECT * FROM {values(rows, 'ordinal, i, j, n', 'p')}), "
+        "inv AS (SELECT u AS x, 1 / count(*) AS inv FROM b GROUP BY u), "
+        "o AS (SELECT ordinal, list_transform(perm, lambda p: s[p + 1]) AS own FROM cls WHERE ordinal IN (SELECT ordinal FROM pm)), "
+        f"t AS (SELECT least(own[i + 1], own[j + 1]) AS u, greatest(own[i + 1], own[j + 1]) AS v, n * ({total} - CASE {pick('i')} END - CASE {pick('j')} END) AS x "
+        f"FROM o JOIN pm USING (ordinal) {joins}) SELECT u, v, round(sum(x), 6) AS score FROM t GROUP BY 1, 2 HAVING round(sum(x), 6) <> 0"
+    )
+
+
+def count_pair(k: int) -> str:
+    """cp(ordinal, a, c): counts of sets of three in e1 and e2, by closed form."""
+    parts = []
+    for e in ("e1", "e2"):
+        parts.append(
+            f"t{e} AS (SELECT count(*) AS t FROM {e} x JOIN {e} y ON x.dst = y.src JOIN {e} z ON z.src = x.src AND z.dst = y.dst), "
+            f"w{e} AS (SELECT sum(d * (d - 1) / 2) AS w FROM (SELECT u, count(*) AS d FROM (SELECT src AS u FROM {e} UNION ALL SELECT dst FROM {e}) GROUP BY 1))"
+        )
+    rows = "cp AS (SELECT (SELECT w FROM we1) - 3 * (SELECT t FROM te1) AS a, (SELECT w FROM we2) - 3 * (SELECT t FROM te2) AS c UNION ALL SELECT (SELECT t FROM te1), (SELECT t FROM te2))"
+    return ", ".join(parts) + ", " + rows
+
+
+def accept_reject(k: int, n: int) -> str:
+    return (
+        f"WITH {GADJ}, {BOTH}, nd AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS no FROM (SELECT DISTINCT u AS id FROM b)), c AS (SELECT count(*) AS c FROM nd), "
+        f"t AS (SELECT s.range AS sample, i.range AS i FROM range({n}) s, range({k}) i), "
+        f"d AS (SELECT sample, {draw('1', 'sample', 'i')} % c AS no FROM t, c), "
+        "g AS (SELECT sample, list_sort(list(DISTINCT id)) AS s FROM d JOIN nd USING (no) GROUP BY 1), "
+        "w AS (SELECT sample, s FROM g WHERE len(s) = 3), "
+        "e AS (SELECT sample, s, count(*) AS m FROM w, (VALUES (1, 2), (1, 3), (2, 3)) p(i, j) JOIN edges ON src = s[i] AND dst = s[j] GROUP BY 1, 2) "
+        "SELECT sample, array_to_string(s, ' ') AS nodes FROM e WHERE m >= 2"
+    )
+
+
+def expand_sets(k: int) -> str:
+    """Sets grown from every node by the neighbours of the highest degree, all ties."""
+    parts = [BOTH, "h AS (SELECT u, count(*) AS h FROM b GROUP BY u)", "x1 AS (SELECT DISTINCT [u] AS s FROM b)"]
+    for n in range(2, k + 1):
+        parts.append(
+            f"c{n} AS (SELECT DISTINCT s, v, h.h FROM (SELECT s, unnest(s) AS u FROM x{n - 1}) y JOIN b USING (u) JOIN h ON h.u = b.v WHERE NOT list_contains(s, v)), "
+            f"x{n} AS (SELECT DISTINCT list_sort(list_append(s, v)) AS s FROM (SELECT *, max(h) OVER (PARTITION BY s) AS top FROM c{n}) WHERE h = top)"
+        )
+    return f"WITH {G12}, {', '.join(parts)} SELECT array_to_string(s, ' ') AS nodes FROM x{k}"
+
+
+def minimum(gint: int, k: int) -> int:
+    """The least number of all relabellings, the plain way."""
+    from itertools import permutations
+
+    edges = graphlets.decode(gint, k)
+    return min(graphlets.encode([(p[i], p[j]) for i, j in edges], k) for p in permutations(range(k)))

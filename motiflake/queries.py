@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import graphlets
 from .operators import aggregate as ag
+from .operators import cliques as cq
 from .operators import enumerate as en
+from .operators import graph_loops as gl
+from .operators import index as ix
+from .operators import measures as ms
 from .operators import normalize as nm
+from .operators import sampling as sp
 from .plans import catalogs
 from .sources import graphs
 from . import oracle as sql
@@ -267,6 +273,320 @@ def directed_freq_k3(spark, sf_dir):
     return ag.counts(en.induced_gint(sets, arcs, 3, directed=True), 3, directed=True)
 
 
+# ---- loops over a graph's depth
+
+
+@query(f"WITH RECURSIVE {sql.G12}, {sql.BOTH}, r(id, x) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, r.x FROM r JOIN b ON b.u = r.id AND r.x < b.v) SELECT id, min(x) AS cc FROM (SELECT id, x FROM r UNION ALL SELECT DISTINCT u, u FROM b) GROUP BY id")
+def component_labels(spark, sf_dir):
+    return gl.components(sparse(spark, sf_dir))
+
+
+ORACLE["component_labels"] = ORACLE["component_labels"].replace(sql.G12, sql.SPARSE)
+
+
+@query()
+def component_shares(spark, sf_dir):
+    return sp.component_shares(sparse(spark, sf_dir), 4)
+
+
+@query(f"WITH RECURSIVE {sql.G12}, {sql.BOTH}, s AS (SELECT DISTINCT u AS source FROM b WHERE u < 50), d(source, id, hops) AS (SELECT source, source, 0 FROM s UNION SELECT d.source, b.v, d.hops + 1 FROM d JOIN b ON b.u = d.id WHERE d.hops < 4), f AS (SELECT source, id, min(hops) AS hops FROM d GROUP BY 1, 2) SELECT hops, count(*) AS pairs FROM f WHERE hops > 0 GROUP BY 1")
+def hop_distribution(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    return gl.hop_distribution(edges, 4, nm.nodes(edges).filter("id < 50"))
+
+
+@query()
+def core_numbers(spark, sf_dir):
+    return gl.cores(graphs.g12(spark, sf_dir))
+
+
+@query()
+def node_importance(spark, sf_dir):
+    return gl.importance(graphs.g12(spark, sf_dir), 3)
+
+
+# ---- measures
+
+
+@query(f"WITH {sql.GADJ}, {sql.BOTH}, t AS (SELECT x.src AS a, x.dst AS m, y.dst AS c FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = x.src AND z.dst = y.dst), n AS (SELECT unnest([a, m, c]) AS id FROM t), l AS (SELECT id, count(*) AS links FROM n GROUP BY 1), d AS (SELECT u AS id, count(*) AS deg FROM b GROUP BY 1) SELECT id, deg, coalesce(links, 0) AS links, round(CASE WHEN deg > 1 THEN coalesce(links, 0) / (deg * (deg - 1) / 2) ELSE 0.0 END, 9) AS coefficient FROM d LEFT JOIN l USING (id)")
+def clustering_coefficients(spark, sf_dir):
+    return ms.clustering(graphs.gadj(spark, sf_dir))
+
+
+@query(f"WITH {sql.G12}, {sql.classified(3)}, {sql.orbited(3)}, d AS (SELECT u AS node, count(*) AS o0 FROM b GROUP BY 1), o AS (SELECT node, count(*) FILTER (orbit = 3) AS o1, count(*) FILTER (orbit = 4) AS o2, count(*) FILTER (orbit = 5) AS o3 FROM orb GROUP BY 1) SELECT node, o0, coalesce(o1, 0)::BIGINT AS o1, coalesce(o2, 0)::BIGINT AS o2, coalesce(o3, 0)::BIGINT AS o3 FROM d LEFT JOIN o USING (node)")
+def exact_orbits_closed_form(spark, sf_dir):
+    return ms.exact_orbits(graphs.g12(spark, sf_dir))
+
+
+_BY_BRAND = "membership AS (SELECT p_partkey AS node, p_brand AS community FROM part)"
+
+
+@query(f"WITH {sql.G12}, {sql.BOTH}, {_BY_BRAND}, t AS (SELECT x.community AS a, y.community AS c FROM edges LEFT JOIN membership x ON x.node = src LEFT JOIN membership y ON y.node = dst), i AS (SELECT a AS community, count(*) AS inside FROM t WHERE a = c GROUP BY 1), o AS (SELECT community, count(*) AS outside FROM (SELECT unnest([a, c]) AS community FROM t WHERE a IS NULL OR c IS NULL OR a <> c) WHERE community IS NOT NULL GROUP BY 1), s AS (SELECT community, count(*) AS n FROM membership GROUP BY 1), w AS (SELECT count(DISTINCT u) AS al FROM b), j AS (SELECT community, n, coalesce(inside, 0) AS inside, coalesce(outside, 0) AS outside, al FROM s LEFT JOIN i USING (community) LEFT JOIN o USING (community), w) SELECT community, n, inside, outside, round(CASE WHEN n > 1 THEN inside / (n * (n - 1) / 2) ELSE 0.0 END, 9) AS intra_density, round(CASE WHEN n * (al - n) > 0 THEN outside / (n * (al - n)) ELSE 0.0 END, 9) AS inter_density, round(CASE WHEN 2 * inside + outside > 0 THEN outside / (2 * inside + outside) ELSE 0.0 END, 9) AS conductance, round(inside * CASE WHEN n > 1 THEN inside / (n * (n - 1) / 2) ELSE 0.0 END, 9) AS score FROM j")
+def community_scores(spark, sf_dir):
+    own = graphs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
+    return ms.community_scores(graphs.g12(spark, sf_dir), own)
+
+
+@query(f"WITH {sql.G12}, {_BY_BRAND}, t AS (SELECT x.community AS a, y.community AS c FROM edges LEFT JOIN membership x ON x.node = src LEFT JOIN membership y ON y.node = dst), m AS (SELECT count(*) AS m FROM edges), d AS (SELECT community, sum(i) AS inside, sum(o) AS outside FROM (SELECT a AS community, CASE WHEN a = c THEN 1 ELSE 0 END AS i, CASE WHEN a IS DISTINCT FROM c THEN 1 ELSE 0 END AS o FROM t UNION ALL SELECT c, 0, CASE WHEN a IS DISTINCT FROM c THEN 1 ELSE 0 END FROM t) WHERE community IS NOT NULL GROUP BY 1) SELECT round(sum(inside / m - pow((2 * inside + outside) / (2 * m), 2)), 9) AS modularity FROM d, m")
+def modularity(spark, sf_dir):
+    own = graphs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
+    return ms.modularity(graphs.g12(spark, sf_dir), own)
+
+
+_TWO = f"whole AS (SELECT DISTINCT {sql._ENDS} {sql._LINES} WHERE {sql._12}), e2 AS (SELECT * FROM whole), e1 AS (SELECT * FROM whole WHERE {sql.draw('src', 'dst', 20)} % 20 <> 0)"
+
+
+@query(f"WITH {_TWO}, al AS (SELECT DISTINCT u AS n1, CASE WHEN u % 10 = 0 THEN u + 1 ELSE u END AS n2 FROM (SELECT src AS u FROM e1 UNION SELECT dst FROM e1) WHERE u % 10 <> 1), i AS (SELECT least(x.n2, y.n2) AS src, greatest(x.n2, y.n2) AS dst FROM e1 JOIN al x ON x.n1 = src JOIN al y ON y.n1 = dst), t AS (SELECT * FROM e2 WHERE src IN (SELECT n2 FROM al) AND dst IN (SELECT n2 FROM al)), c AS (SELECT (SELECT count(*) FROM i WHERE (src, dst) IN (SELECT (src, dst) FROM t)) AS ea, (SELECT count(*) FROM i) AS e1, (SELECT count(*) FROM t) AS e2) SELECT ea, e1, e2, round(ea / e1, 9) AS ec1, round(ea / e2, 9) AS ec2, round(ea / (e1 + e2 - ea), 9) AS s3 FROM c")
+def alignment_scores(spark, sf_dir):
+    one, two = graphs.two_networks(spark, sf_dir)
+    own = nm.nodes(one).filter("id % 10 <> 1")
+    pairs = own.select(F.col("id").alias("n1"), F.when(F.col("id") % 10 == 0, F.col("id") + 1).otherwise(F.col("id")).alias("n2"))
+    return ms.alignment_scores(one, two, pairs)
+
+
+@query(f"WITH {_TWO}, d1 AS (SELECT u, count(*) AS d FROM (SELECT src AS u FROM e1 UNION ALL SELECT dst FROM e1) GROUP BY 1), d2 AS (SELECT u, count(*) AS d FROM (SELECT src AS u FROM e2 UNION ALL SELECT dst FROM e2) GROUP BY 1) SELECT a.d AS deg1, b.d AS deg2, round((a.d + b.d) / ((SELECT max(d) FROM d1) + (SELECT max(d) FROM d2)), 9) AS similarity FROM (SELECT DISTINCT d FROM d1) a, (SELECT DISTINCT d FROM d2) b")
+def degree_similarity(spark, sf_dir):
+    return ms.degree_similarity(*graphs.two_networks(spark, sf_dir))
+
+
+def _vectors(edges: DataFrame) -> DataFrame:
+    return ms.exact_orbits(edges).select("node", F.array("o0", "o1", "o2", "o3").alias("vector"))
+
+
+# How many orbits the four orbits of up to three nodes depend on, themselves included.
+DEPENDENCIES = [1, 2, 2, 2]
+
+
+@query(sql.top_pairs(DEPENDENCIES, 100))
+def similar_nodes(spark, sf_dir):
+    one, two = graphs.two_networks(spark, sf_dir)
+    return ms.top_pairs(_vectors(one), _vectors(two), ms.orbit_weights(DEPENDENCIES), 100)
+
+
+@query(sql.predict(4, 11, 11))
+def predicted_edges(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    return ms.predict(en.connected_sets(edges, 4), edges, 4, 11, 11)
+
+
+@query()
+def held_out_prediction(spark, sf_dir):
+    parts = nm.split(graphs.gadj(spark, sf_dir), 10, 11)
+    train, test = (parts.filter(F.col("part") == p).select("src", "dst") for p in ("train", "test"))
+    return ms.hold_out(ms.predict(en.connected_sets(nm.soften(train, 0.7, 2), 4), train, 4, 11, 11), train, test, 100)
+
+
+@query("WITH r AS (SELECT l_quantity AS score, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS label FROM lineitem), g AS (SELECT score, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS q FROM r GROUP BY 1), t AS (SELECT sum(p) AS pp, sum(q) AS qq FROM g), c AS (SELECT p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM g WINDOW w AS (ORDER BY score DESC)) SELECT round(sum(q * (tp - p / 2) / (pp * qq)), 9) AS auroc, round(sum(p / pp * tp / (tp + fp)), 9) AS average_precision FROM c, t")
+def ranking_quality(spark, sf_dir):
+    rows = graphs.table(spark, sf_dir, "lineitem")
+    return ms.ranking_quality(rows.select(F.col("l_quantity").alias("score"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("label")))
+
+
+@query(f"WITH {_TWO}, {sql.count_pair(3)} SELECT round(sqrt(sum((a - c) * (a - c))), 6) AS euclidean, round(1 - sum(a * c) / sqrt(sum(a * a) * sum(c * c)), 9) AS kernel, round(avg(CASE WHEN greatest(a, c) > 0 THEN abs(a - c) / greatest(a, c) ELSE 0.0 END), 9) AS senatorial FROM cp")
+def count_objectives(spark, sf_dir):
+    one, two = (ag.counts(en.connected_sets(g, 3), 3) for g in graphs.two_networks(spark, sf_dir))
+    return ms.count_objectives(one, two)
+
+
+@query()
+def hamming_objective(spark, sf_dir):
+    one, two = (ag.counts(en.connected_sets(g, 4), 4) for g in (sparse(spark, sf_dir), nm.soften(graphs.g12(spark, sf_dir), 0.5, 77)))
+    return ms.hamming_objective(one, two, 4)
+
+
+@query()
+def degree_distribution_distance(spark, sf_dir):
+    one, two = (nm.degree_distribution(g) for g in graphs.two_networks(spark, sf_dir))
+    return ms.distribution_distance(one, two, "deg")
+
+
+@query("SELECT count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3, round(2 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) / cbrt(count(*)), 9) AS bin_width FROM lineitem")
+def quartiles(spark, sf_dir):
+    return ms.quartiles(graphs.table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+# ---- cliques
+
+
+@query(f"WITH {sql.GADJ} SELECT count(*) AS cliques FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = x.src AND z.dst = y.dst JOIN edges p ON p.src = y.dst JOIN edges q ON q.src = x.dst AND q.dst = p.dst JOIN edges r ON r.src = x.src AND r.dst = p.dst")
+def cliques_k4(spark, sf_dir):
+    return cq.exact(graphs.gadj(spark, sf_dir), 4)
+
+
+@query(f"WITH {sql.GADJ}, c AS (SELECT * FROM edges WHERE {sql.draw('src', 1, chr(39) + 'color' + chr(39))} % 3 <> {sql.draw('dst', 1, chr(39) + 'color' + chr(39))} % 3) SELECT count(*) / (6 / 27) AS cliques FROM c x JOIN c y ON x.dst = y.src JOIN c z ON z.src = x.src AND z.dst = y.dst")
+def cliques_by_color(spark, sf_dir):
+    return cq.color_coding(graphs.gadj(spark, sf_dir), 3)
+
+
+@query(f"WITH {sql.GADJ}, c AS (SELECT * FROM edges WHERE {sql.draw('src', 'dst', 1)} >= 2147483648) SELECT count(*) / 0.125 AS cliques FROM c x JOIN c y ON x.dst = y.src JOIN c z ON z.src = x.src AND z.dst = y.dst")
+def cliques_by_thinning(spark, sf_dir):
+    return cq.edge_sampling(graphs.gadj(spark, sf_dir), 3, 0.5)
+
+
+@query(f"WITH {sql.GADJ}, t AS (SELECT x.src AS a, x.dst AS m, y.dst AS c FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = x.src AND z.dst = y.dst), p AS (SELECT a AS src, m AS dst FROM t UNION ALL SELECT m, c FROM t UNION ALL SELECT a, c FROM t), s AS (SELECT src, dst FROM edges WHERE {sql.draw('src', 'dst', 1, chr(39) + 'graft' + chr(39))} < 1073741824) SELECT (SELECT count(*) FROM p WHERE (src, dst) IN (SELECT (src, dst) FROM s)) * (SELECT count(*) FROM edges) / (SELECT count(*) FROM s) / 3 AS cliques")
+def cliques_by_edges(spark, sf_dir):
+    return cq.graft(graphs.gadj(spark, sf_dir), 3, 0.25)
+
+
+@query()
+def cliques_by_shadow(spark, sf_dir):
+    return cq.turan_shadow(graphs.gadj(spark, sf_dir), 4, 2000)
+
+
+@query()
+def degeneracy(spark, sf_dir):
+    return gl.degeneracy(graphs.g12(spark, sf_dir))
+
+
+# ---- samplers
+
+
+def _estimated(method: str):
+    def run(spark, sf_dir):
+        edges = graphs.g12(spark, sf_dir)
+        return sp.estimate(sp.grow(edges, 4, 20000, method, 3), edges, 4, method)
+
+    run.__name__ = f"sampled_{method.lower()}_k4"
+    return run
+
+
+for _method in sp.METHODS:
+    query()(_estimated(_method))
+
+
+@query(sql.accept_reject(3, 200_000))
+def sampled_accept_reject_k3(spark, sf_dir):
+    rows = sp.accept_reject(graphs.gadj(spark, sf_dir), 3, 200_000, 1)
+    return rows.select("sample", F.array_join("nodes", " ").alias("nodes"))
+
+
+@query()
+def sampled_walk_k4(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    rows = sp.walk(edges, 4, 5000, 6).withColumn("sample", F.xxhash64("chain", "step"))
+    told = en.induced_gint(rows.select("sample", "nodes"), edges, 4, key="sample").join(rows.select("sample", "multiplier"), "sample")
+    return sp.estimate(told, edges, 4, "MCMC")
+
+
+@query()
+def walk_neighbours(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    rows = sp.walk(edges, 4, 2000, 6).withColumn("sample", F.xxhash64("chain", "step"))
+    told = ag.classify(en.induced_gint(rows.select("sample", "nodes"), edges, 4, key="sample"), 4)
+    return ag.neighbour_distribution(told.select("sample", "ordinal").join(rows, "sample"), 4)
+
+
+@query()
+def sampled_reservoir_k3(spark, sf_dir):
+    rows = sp.reservoir(graphs.g12(spark, sf_dir), 3, 500, rounds=4)
+    return ag.counts(rows, 3)
+
+
+@query()
+def sampled_edge_cover(spark, sf_dir):
+    return ag.counts(sp.edge_cover(graphs.g12(spark, sf_dir), 4, 3), 4)
+
+
+@query()
+def sampled_orbit_degrees_k3(spark, sf_dir):
+    return sp.sampled_orbit_degrees(sp.grow(graphs.g12(spark, sf_dir), 3, 5000, "NBE"), 3, "NBE")
+
+
+@query()
+def precision_stop_k3(spark, sf_dir):
+    told, batches = sp.until_precise(graphs.g12(spark, sf_dir), 3, "EBE", 2000, 0.5, most=5)
+    return told.withColumn("taken", F.lit(batches))
+
+
+# ---- indexes and seeds
+
+
+def _index(edges: DataFrame, k: int, top: int = 1, most: int = 4) -> DataFrame:
+    heur = nm.degrees(edges).select("id", F.col("deg").cast("double").alias("heur"))
+    return ix.index(edges, heur, k, top, most)
+
+
+@query()
+def index_lines(spark, sf_dir):
+    rows = _index(graphs.g12(spark, sf_dir), 4)
+    return rows.select("line_no", "key", F.array_join("nodes", " ").alias("nodes"))
+
+
+@query(sql.expand_sets(4))
+def expanded_sets(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    heur = nm.degrees(edges).select("id", F.col("deg").cast("double").alias("heur"))
+    return ix.expand(edges, heur, 4, 1).select(F.array_join(F.array_sort("nodes"), " ").alias("nodes"))
+
+
+@query()
+def index_patches(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    return ix.patches(_index(edges, 4), edges).select("key", F.array_join("nodes", " ").alias("nodes"))
+
+
+def _seeds(spark, sf_dir) -> DataFrame:
+    one, two = graphs.two_networks(spark, sf_dir)
+    return ix.seeds(*(ix.patches(_index(g, 4), g) for g in (one, two)))
+
+
+@query()
+def alignment_seeds(spark, sf_dir):
+    return _seeds(spark, sf_dir).select("key", F.array_join("nodes1", " ").alias("nodes1"), F.array_join("nodes2", " ").alias("nodes2"))
+
+
+@query()
+def seed_node_pairs(spark, sf_dir):
+    return ix.node_pairs(_seeds(spark, sf_dir))
+
+
+@query()
+def seed_metrics(spark, sf_dir):
+    own = nm.nodes(graphs.g12(spark, sf_dir)).select(F.col("id").alias("n1"), F.col("id").alias("n2"))
+    return ix.seed_metrics(_seeds(spark, sf_dir), own)
+
+
+@query(f"WITH {sql.G12}, {sql.classified(4)}, k AS (SELECT s FROM cls WHERE ordinal = 9) SELECT node, count(*) AS count FROM (SELECT unnest(s) AS node FROM k) GROUP BY 1")
+def node_frequency(spark, sf_dir):
+    sets = ag.classify(en.connected_sets(graphs.g12(spark, sf_dir), 4), 4)
+    return ix.node_frequency(sets.filter("ordinal = 9"))
+
+
+# ---- catalogs
+
+
+@query(f"SELECT * FROM {sql.values([(g, sql.minimum(g, 4)) for g in range(64)], 'gint, canonical', 'x')}")
+def canonical_map_k4(spark, sf_dir):
+    own = catalogs.canon_map(spark, 4).join(catalogs.canon(spark, 4).select("ordinal", F.col("gint").alias("canonical")), "ordinal")
+    return own.select("gint", "canonical")
+
+
+def _catalog(name: str, make):
+    def run(spark, sf_dir):
+        return make(spark)
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name, _make in {
+    "catalog_k5": lambda s: catalogs.canon(s, 5).withColumn("orbits", F.array_join("orbits", " ")),
+    "catalog_directed_k4": lambda s: catalogs.canon(s, 4, True).withColumn("orbits", F.array_join("orbits", " ")),
+    "catalog_orbits_k5": lambda s: catalogs.orbits(s, 5),
+    "catalog_alphas_k5": lambda s: catalogs.alphas(s, 5, "EBE"),
+    "catalog_subcanonicals_k5": lambda s: catalogs.subcanon(s, 5),
+    "catalog_hamming_k5": lambda s: catalogs.hamming(s, 5),
+    "catalog_crosswalk_k5": lambda s: catalogs.crosswalk(s, 5),
+    "catalog_minimal_chains_k5": lambda s: catalogs.minimal_chains(s, 5),
+    "catalog_directed_totals": catalogs.directed_totals,
+    "catalog_report_k4": lambda s: catalogs.report(s, 4),
+    "catalog_drawings_k4": lambda s: catalogs.dot(s, 4),
+    "catalog_unambiguous_k5": lambda s: ag.unambiguous(s, 5),
+    "chained_canonicals_k5": lambda s: nm.chained_canonicals(s, 5),
+}.items():
+    _catalog(_name, _make)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
