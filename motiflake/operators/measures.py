@@ -198,7 +198,7 @@ def ranking_quality(rows: DataFrame) -> DataFrame:
     """One row for rows (score, label 0 or 1): area under the ROC curve (ties half), average precision, NDCG. Rows are counted
     per different score first; what is ranked is those counts."""
     per = rows.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q"))
-    total = per.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
+    total = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     from .normalize import numbered
 
     # running sums in two levels: within ranges of scores, and over the ranges' totals
@@ -211,8 +211,8 @@ def ranking_quality(rows: DataFrame) -> DataFrame:
         "p", "q", (F.sum("p").over(within) + F.col("bp")).alias("tp"), (F.sum("q").over(within) + F.col("bq")).alias("fp")
     )
     parts = run.join(F.broadcast(total)).select(
-        (F.col("q") * (F.col("tp") - F.col("p") / 2) / (F.col("P") * F.col("Q"))).alias("roc"),
-        (F.col("p") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
+        (F.col("q") * (F.col("tp") - F.col("p") / 2) / (F.col("all_p") * F.col("all_q"))).alias("roc"),
+        (F.col("p") / F.col("all_p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
     )
     return parts.agg(F.round(F.sum("roc"), 9).alias("auroc"), F.round(F.sum("ap"), 9).alias("average_precision"))
 

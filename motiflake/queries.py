@@ -13,10 +13,13 @@ from .operators import cliques as cq
 from .operators import enumerate as en
 from .operators import graph_loops as gl
 from .operators import index as ix
+from .operators import local as lo
 from .operators import measures as ms
 from .operators import normalize as nm
 from .operators import sampling as sp
+from .operators import windows as wi
 from .plans import catalogs
+from .plans.stash import stash
 from .sources import graphs
 from . import oracle as sql
 
@@ -444,7 +447,7 @@ def degeneracy(spark, sf_dir):
 def _estimated(method: str):
     def run(spark, sf_dir):
         edges = graphs.g12(spark, sf_dir)
-        return sp.estimate(sp.grow(edges, 4, 20000, method, 3), edges, 4, method)
+        return sp.estimate(stash(sp.grow(edges, 4, 20000, method, 3)), edges, 4, method)
 
     run.__name__ = f"sampled_{method.lower()}_k4"
     return run
@@ -463,15 +466,15 @@ def sampled_accept_reject_k3(spark, sf_dir):
 @query()
 def sampled_walk_k4(spark, sf_dir):
     edges = graphs.g12(spark, sf_dir)
-    rows = sp.walk(edges, 4, 5000, 6).withColumn("sample", F.xxhash64("chain", "step"))
+    rows = stash(sp.walk(edges, 4, 5000, 6).withColumn("sample", F.xxhash64("chain", "step")))
     told = en.induced_gint(rows.select("sample", "nodes"), edges, 4, key="sample").join(rows.select("sample", "multiplier"), "sample")
-    return sp.estimate(told, edges, 4, "MCMC")
+    return sp.estimate(stash(told), edges, 4, "MCMC")
 
 
 @query()
 def walk_neighbours(spark, sf_dir):
     edges = graphs.g12(spark, sf_dir)
-    rows = sp.walk(edges, 4, 2000, 6).withColumn("sample", F.xxhash64("chain", "step"))
+    rows = stash(sp.walk(edges, 4, 2000, 6).withColumn("sample", F.xxhash64("chain", "step")))
     told = ag.classify(en.induced_gint(rows.select("sample", "nodes"), edges, 4, key="sample"), 4)
     return ag.neighbour_distribution(told.select("sample", "ordinal").join(rows, "sample"), 4)
 
@@ -527,7 +530,7 @@ def index_patches(spark, sf_dir):
 
 def _seeds(spark, sf_dir) -> DataFrame:
     one, two = graphs.two_networks(spark, sf_dir)
-    return ix.seeds(*(ix.patches(_index(g, 4), g) for g in (one, two)))
+    return stash(ix.seeds(*(ix.patches(stash(_index(g, 4)), g) for g in (one, two))))
 
 
 @query()
@@ -552,6 +555,111 @@ def node_frequency(spark, sf_dir):
     return ix.node_frequency(sets.filter("ordinal = 9"))
 
 
+# ---- windows
+
+
+def _windows(spark, sf_dir) -> DataFrame:
+    return stash(sp.grow(graphs.g12(spark, sf_dir), 6, 500, "NBE", 5).select(F.col("sample").alias("window"), F.array_sort("nodes").alias("nodes")))
+
+
+@query()
+def window_frequency(spark, sf_dir):
+    return wi.frequency(wi.window_sets(_windows(spark, sf_dir), graphs.g12(spark, sf_dir), 6, 4))
+
+
+@query()
+def window_representatives(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    found = stash(wi.window_sets(_windows(spark, sf_dir), edges, 6, 4))
+    parts = [wi.frequency(wi.representatives(found, 4, m)).withColumn("mode", F.lit(m)) for m in wi.MODES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query()
+def window_limited(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    found = stash(wi.window_sets(_windows(spark, sf_dir), edges, 6, 4))
+    return wi.limited(found, edges, "EDGE", 2).select("window", F.array_join("nodes", " ").alias("nodes"), "ordinal")
+
+
+@query()
+def window_by_degree(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    rows = wi.by_degree(edges, 5, nm.nodes(edges))
+    return rows.select("window", F.array_join("nodes", " ").alias("nodes"))
+
+
+# ---- searches step by step, on a graph of bounded size
+
+
+@query()
+def grown_clusters(spark, sf_dir):
+    edges = graphs.gadj(spark, sf_dir)
+    own = stash(ag.communities(en.connected_sets(edges, 3), 3, by_orbit=False, symmetric=True))
+    return lo.clusters(edges, own, 0.7).select("cluster", "n", "m", F.round("density", 9).alias("density"), F.array_join("nodes", " ").alias("nodes"))
+
+
+def _brand_clusters(spark, sf_dir) -> DataFrame:
+    """Brands and types as clusters of parts that overlap."""
+    part = graphs.table(spark, sf_dir, "part")
+    one = part.select(F.concat(F.lit("b"), "p_brand").alias("c"), "p_partkey")
+    two = part.select(F.concat(F.lit("s"), F.col("p_size")).alias("c"), "p_partkey")
+    sized = one.union(two).groupBy("c").agg(F.sort_array(F.collect_set("p_partkey")).alias("nodes"))
+    return stash(sized.select(F.xxhash64("c").alias("cluster"), "nodes"))
+
+
+@query("WITH c AS (SELECT 'b' || p_brand AS c, p_partkey AS p FROM part UNION ALL SELECT 's' || p_size, p_partkey FROM part), o AS (SELECT a.c AS x, b.c AS y, count(*) AS common FROM c a JOIN c b ON a.p = b.p AND a.c < b.c GROUP BY 1, 2) SELECT common, count(*) AS pairs FROM o GROUP BY 1")
+def cluster_overlaps(spark, sf_dir):
+    return lo.overlaps(_brand_clusters(spark, sf_dir)).groupBy("common").agg(F.count("*").alias("pairs"))
+
+
+@query()
+def merged_clusters(spark, sf_dir):
+    rows = lo.merge_clusters(_brand_clusters(spark, sf_dir), graphs.g12(spark, sf_dir), 0.1)
+    return rows.select(F.array_join("nodes", " ").alias("nodes"), "m")
+
+
+@query()
+def selected_clusters(spark, sf_dir):
+    edges = graphs.gadj(spark, sf_dir)
+    own = stash(ag.communities(en.connected_sets(edges, 3), 3, by_orbit=False, symmetric=True))
+    return lo.select_clusters(stash(lo.clusters(edges, own, 0.7)), 0.2, 1.0, "EDN")
+
+
+@query()
+def optimised_partition(spark, sf_dir):
+    return lo.optimise_partition(graphs.g12(spark, sf_dir), 10, 3000)
+
+
+@query()
+def grown_alignments(spark, sf_dir):
+    one, two = graphs.two_networks(spark, sf_dir)
+    return lo.align(one, two, _seeds(spark, sf_dir), least_ec=0.6, most=40)
+
+
+@query()
+def rewired_graph(spark, sf_dir):
+    return lo.rewire(graphs.g12(spark, sf_dir), {"triangles": 50.0}, lo.triangle_measure, 60, stagnation=60)
+
+
+@query()
+def stamped_graph(spark, sf_dir):
+    return lo.stamped(spark, graphs.g12(spark, sf_dir), 300, 600, 5)
+
+
+@query()
+def global_measures(spark, sf_dir):
+    return lo.global_measures(nm.soften(graphs.g12(spark, sf_dir), 0.7, 6))
+
+
+@query("SELECT * FROM (SELECT '1' AS feature, round(regr_intercept(l_extendedprice, l_quantity), 6) AS weight FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 6) FROM lineitem)")
+def linear_fit(spark, sf_dir):
+    return lo.fit_linear(graphs.table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice").withColumn("weight", F.round("weight", 6))
+
+
 # ---- catalogs
 
 
@@ -581,7 +689,7 @@ for _name, _make in {
     "catalog_directed_totals": catalogs.directed_totals,
     "catalog_report_k4": lambda s: catalogs.report(s, 4),
     "catalog_drawings_k4": lambda s: catalogs.dot(s, 4),
-    "catalog_unambiguous_k5": lambda s: ag.unambiguous(s, 5),
+    "catalog_unambiguous_k5": lambda s: ag.unambiguous(s, 5, 4),
     "chained_canonicals_k5": lambda s: nm.chained_canonicals(s, 5),
 }.items():
     _catalog(_name, _make)
