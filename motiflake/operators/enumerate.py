@@ -85,10 +85,9 @@ def sort_sets(sets: DataFrame, k: int) -> DataFrame:
 def induced_gint(sets: DataFrame, edges: DataFrame, k: int, key: str = "set_id", directed: bool = False) -> DataFrame:
     """(key, nodes, gint) of sets (key, nodes) of k nodes, connected or not: pairs of places are joined with the edges. With
     directed, edges are arcs and gint is a directed number."""
-    placed = sets.select(key, "nodes", F.posexplode("nodes").alias("i", "u"))
-    pairs = sets.select(F.col(key).alias("__k"), F.posexplode("nodes").alias("j", "v"))
-    # a set's pairs are made within its row's group: k of them for each of its k places
-    both = placed.join(pairs, placed[key] == pairs["__k"]).filter("i <> j" if directed else "i > j")
+    one = sets.select(key, "nodes", F.posexplode("nodes").alias("i", "u"))
+    # a set's pairs of places come from its own row
+    both = one.select(key, "nodes", "i", "u", F.posexplode("nodes").alias("j", "v")).filter("i <> j" if directed else "i > j")
     bit = graphlets.bit_of(k, directed)
     table = F.array(*(F.lit(bit.get((i, j), 0)) for i in range(k) for j in range(k)))
     value = F.call_function("shiftleft", F.lit(1).cast("long"), F.get(table, (F.col("i") * k + F.col("j")).cast("int")))
