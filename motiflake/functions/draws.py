@@ -16,5 +16,5 @@ def draw(*parts) -> Column:
 
 
 def below(limit: Column, *parts) -> Column:
-    """A number from 0 to limit - 1."""
-    return draw(*parts) % limit
+    """A number from 0 to limit - 1; 0 where limit is less than 1, as a plan may try rows that a filter is to drop."""
+    return draw(*parts) % F.greatest(limit, F.lit(1))

@@ -81,11 +81,16 @@ def grow(edges: DataFrame, k: int, n: int, method: str = "EBE", seed: int = 1, s
     for p in range(2, k):
         rows = rows.filter(F.size("cands") > 0)
         if method == "EBE":
-            weights = F.transform("cands", lambda c: F.bit_count(c["m"]))
-            rows = rows.withColumn("sums", F.aggregate(weights, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x))))
-            total = F.element_at("sums", -1)
-            hit = below(total, seed, F.col("sample"), p)
-            at = F.size(F.filter("sums", lambda s: s <= hit))
+            total = F.aggregate("cands", F.lit(0), lambda s, c: s + F.bit_count(c["m"]))
+            rows = rows.withColumn("total", total).withColumn("hit", below(F.col("total"), seed, F.col("sample"), p))
+            total = F.col("total")
+            passed = lambda s, c: s["sum"] + F.bit_count(c["m"])
+            at = F.aggregate(
+                "cands",
+                F.struct(F.lit(0).alias("sum"), F.lit(0).alias("at")),
+                lambda s, c: F.struct(passed(s, c).alias("sum"), (s["at"] + (passed(s, c) <= F.col("hit")).cast("int")).alias("at")),
+                lambda s: s["at"],
+            )
         else:
             total = F.size("cands")
             at = below(total, seed, F.col("sample"), p)
