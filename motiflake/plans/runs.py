@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import graphlets
 from ..operators import aggregate as ag
 from ..operators import enumerate as en
+from ..operators import fast_sampling as fs
 from ..operators import measures as ms
 from ..operators import normalize as nm
 from ..operators import sampling as sp
@@ -53,7 +54,7 @@ class Run:
             rows = stash(sp.walk(edges, self.k, max(1, n // steps), steps, self.seed).withColumn("sample", F.xxhash64("chain", "step")))
             told = en.induced_gint(rows.select("sample", "nodes"), edges, self.k, key="sample")
             return told.join(rows.select("sample", "multiplier"), "sample")
-        return sp.grow(edges, self.k, n, self.method, self.seed)
+        return fs.grow(edges, self.k, n, self.method, self.seed)
 
     def apply(self, edges: DataFrame) -> DataFrame:
         """The result for edges (src, dst) of numbers."""

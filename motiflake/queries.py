@@ -11,6 +11,7 @@ from .functions import graphlets
 from .operators import aggregate as ag
 from .operators import cliques as cq
 from .operators import enumerate as en
+from .operators import fast_sampling as fs
 from .operators import graph_loops as gl
 from .operators import index as ix
 from .operators import local as lo
@@ -447,7 +448,7 @@ def degeneracy(spark, sf_dir):
 def _estimated(method: str):
     def run(spark, sf_dir):
         edges = graphs.g12(spark, sf_dir)
-        return sp.estimate(stash(sp.grow(edges, 4, 20000, method, 3)), edges, 4, method)
+        return sp.estimate(stash(fs.grow(edges, 4, 200_000, method, 3)), edges, 4, method)
 
     run.__name__ = f"sampled_{method.lower()}_k4"
     return run
@@ -479,6 +480,12 @@ def walk_neighbours(spark, sf_dir):
     return ag.neighbour_distribution(told.select("sample", "ordinal").join(rows, "sample"), 4)
 
 
+@query()
+def sampled_by_joins_k4(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    return sp.estimate(stash(sp.grow(edges, 4, 20_000, "EBE", 3)), edges, 4, "EBE")
+
+
 @query()
 def sampled_reservoir_k3(spark, sf_dir):
     rows = sp.reservoir(graphs.g12(spark, sf_dir), 3, 500, rounds=4)

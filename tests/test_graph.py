@@ -11,6 +11,7 @@ from motiflake.functions import graphlets as g
 from motiflake.operators import aggregate as ag
 from motiflake.operators import cliques as cq
 from motiflake.operators import enumerate as en
+from motiflake.operators import fast_sampling as fs
 from motiflake.operators import graph_loops as gl
 from motiflake.operators import index as ix
 from motiflake.operators import measures as ms
@@ -335,3 +336,33 @@ def test_communities_and_neighbours(edges):
     tri = {r["node"]: r["count"] for r in rows if r["id"] == 5}
     want = Counter(v for s, x in all_sets(EDGES, 3).items() if bin(x).count("1") == 3 for v in s)
     assert tri == dict(want)
+
+
+@pytest.mark.parametrize("method", ["NBE", "EBE", "FAYE"])
+def test_whole_array_samplers(spark, edges, method, monkeypatch):
+    rows = fs.grow(edges, 4, 20000, method, seed=3).cache()
+    links = near(EDGES)
+    for r in rows.limit(60).collect():
+        assert gint(r["nodes"], links) == r["gint"] and len(set(r["nodes"])) == 4
+    exact = {r["ordinal"]: r["concentration"] for r in ag.concentration(en.connected_sets(edges, 4), 4).collect()}
+    if method != "FAYE":
+        got = {r["ordinal"]: r["concentration"] for r in sp.estimate(rows, edges, 4, method).collect()}
+        assert max(abs(got[o] - exact[o]) for o in exact) < 0.02
+    again = fs.grow(edges.repartition(5), 4, 300, method, seed=3)
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows.filter("sample < 300").collect()))
+    monkeypatch.setattr(fs, "MOST_EDGES", 10)
+    few = fs.grow(edges, 4, 40, method, seed=3).collect()
+    assert few and all(gint(r["nodes"], links) == r["gint"] for r in few)
+
+
+def test_multipliers_by_hand(edges):
+    links = near(EDGES)
+    for method in ("NBE", "EBE"):
+        for rows in (fs.grow(edges, 4, 200, method, seed=4), sp.grow(edges, 4, 100, method, seed=4)):
+            for r in rows.collect():
+                want = 1
+                for p in (2, 3):
+                    held = r["nodes"][:p]
+                    out = [w for v in held for w in links[v] if w not in held]
+                    want *= len(out) if method == "EBE" else len(set(out))
+                assert r["multiplier"] == want
