@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import ks_tail
+from ..functions.numbers import hypergeometric_tail, ks_tail
 from ..plans import catalogs
 from .aggregate import classify
 from .enumerate import triangles
@@ -217,6 +218,25 @@ def ranking_quality(rows: DataFrame) -> DataFrame:
     return parts.agg(F.round(F.sum("roc"), 9).alias("auroc"), F.round(F.sum("ap"), 9).alias("average_precision"))
 
 
+def enrichment(found: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(cluster, term, hits, size, carriers, total, p_value): how many nodes of each of found (cluster, nodes) carry a term of
+    annotations (node, term), and the chance of that many or more among as many nodes drawn. Terms without a hit are left out."""
+    own = annotations.select("node", "term").distinct()
+    at = found.select("cluster", F.explode("nodes").alias("node")).distinct()
+    known = at.join(own.select("node").distinct(), "node", "left_semi")
+    size = known.groupBy("cluster").agg(F.count("*").alias("size"))
+    carriers = own.groupBy("term").agg(F.count("*").alias("carriers"))
+    total = own.agg(F.countDistinct("node").alias("total"))
+    hits = known.join(own, "node").groupBy("cluster", "term").agg(F.count("*").alias("hits"))
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, c: pd.Series, s: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([hypergeometric_tail(int(x), int(y), int(z), int(w)) for x, y, z, w in zip(t, c, s, h)])
+
+    rows = hits.join(size, "cluster").join(carriers, "term").join(F.broadcast(total))
+    return rows.withColumn("p_value", F.round(tail("total", "carriers", "size", "hits"), 9))
+
+
 # ---- two graphs
 
 

@@ -288,7 +288,11 @@ def component_labels(spark, sf_dir):
 ORACLE["component_labels"] = ORACLE["component_labels"].replace(sql.G12, sql.SPARSE)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, r(id, x) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, r.x FROM r JOIN b ON b.u = r.id AND r.x < b.v), l AS (SELECT id, min(x) AS cc FROM r GROUP BY id), "
+    "s AS (SELECT cc, count(*) AS size FROM l GROUP BY 1 HAVING count(*) >= 4), w AS (SELECT cc, size, size::DOUBLE * (size - 1) * (size - 2) * (size - 3) AS ways FROM s), h AS (SELECT cc, size, ways / (SELECT sum(ways) FROM w) AS share FROM w) "
+    "SELECT cc, size, round(share, 9) AS share, round(sum(share) OVER (ORDER BY size DESC, cc), 9) AS upto FROM h"
+)
 def component_shares(spark, sf_dir):
     return sp.component_shares(sparse(spark, sf_dir), 4)
 
@@ -636,6 +640,19 @@ def selected_clusters(spark, sf_dir):
     return lo.select_clusters(stash(lo.clusters(edges, own, 0.7)), 0.2, 1.0, "EDN")
 
 
+@query("WITH a AS (SELECT p_partkey AS node, p_type AS term FROM part), c AS (SELECT 'b' || p_brand AS c, p_partkey AS node FROM part UNION SELECT 's' || p_size, p_partkey FROM part), h AS (SELECT c, term, count(*) AS hits FROM c JOIN a USING (node) GROUP BY 1, 2), z AS (SELECT c, count(*) AS size FROM c GROUP BY 1), k AS (SELECT term, count(*) AS carriers FROM a GROUP BY 1) SELECT term, hits, size, carriers, (SELECT count(*) FROM part) AS total, count(*) AS clusters FROM h JOIN z USING (c) JOIN k USING (term) GROUP BY ALL")
+def term_enrichment(spark, sf_dir):
+    own = graphs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("term"))
+    rows = ms.enrichment(_brand_clusters(spark, sf_dir), own)
+    return rows.groupBy("term", "hits", "size", "carriers", "total").agg(F.count("*").alias("clusters"))
+
+
+@query()
+def all_alignments(spark, sf_dir):
+    one, two = graphs.two_networks(spark, sf_dir)
+    return lo.align_all(one, two, _seeds(spark, sf_dir), least_ec=0.9, most=5, size=12)
+
+
 @query()
 def optimised_partition(spark, sf_dir):
     return lo.optimise_partition(graphs.g12(spark, sf_dir), 10, 3000)
