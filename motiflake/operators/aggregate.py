@@ -231,7 +231,7 @@ def communities(sets: DataFrame, k: int, by_orbit: bool = True, symmetric: bool
     near = links.groupBy("ordinal", F.col("c").alias("pos")).agg(F.sort_array(F.collect_list("d")).alias("to"))
     met = own.join(F.broadcast(near), ["ordinal", "pos"], "left")
     seen = met.select("node", name.alias("id"), F.transform("to", lambda d: F.get("own", d)).alias("met"))
-    pairs = seen.select("node", "id", F.explode_outer("met").alias("other"), F.monotonically_increasing_id().alias("row"))
+    pairs = seen.select("node", "id", F.explode_outer("met").alias("other"))
     # a row per node, id and neighbour first, so that no group gathers more than a node's neighbours
     every = seen.groupBy("node", "id").agg(F.count("*").alias("count"))
     near_of = (

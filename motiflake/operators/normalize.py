@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import graphlets
 from ..functions.draws import SPAN, draw
+from ..plans.stash import stash
 
 
 def orient(edges: DataFrame) -> DataFrame:
@@ -62,23 +63,27 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return one.join(keep.select("id"), one["dst"] == F.col("id"), "left_semi")
 
 
-def rank_by_draw(rows: DataFrame, seed: int, *key: str) -> DataFrame:
-    """rows with n, their number, and place, 0 for the least draw: an order by chance, told without a sort of all
-    rows in one task. Draws are ranked within 4096 ranges, and the ranges' sizes add up to where each begins."""
-    cut = SPAN >> 12
-    drawn = rows.withColumn("__draw", draw(*(F.col(k) for k in key), seed)).withColumn(
-        "__range", F.floor(F.col("__draw") / cut)
-    )
-    sizes = drawn.groupBy("__range").agg(F.count("*").alias("__size"))
-    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
-    begins = sizes.select(
-        "__range",
-        F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__begin"),
-        F.sum("__size").over(Window.partitionBy(F.lit(0))).alias("n"),
+def numbered(rows: DataFrame, *key: str, into: str = "no") -> DataFrame:
+    """rows with their place in the order of the key, from 0. Places come from range partitions and their sizes, with no
+    sort in a single task. The partitioned rows are written first: Spark samples the bounds of ranges anew for each use of
+    a plan, and places hold only for one choice of bounds."""
+    parts = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    marked = parts.withColumn("__raw", F.monotonically_increasing_id())
+    marked = stash(
+        marked.withColumn("__part", F.shiftright("__raw", 33)).withColumn("__at", F.col("__raw").bitwiseAND((1 << 33) - 1)).drop("__raw")
     )
-    own = Window.partitionBy("__range").orderBy("__draw", *key)
-    placed = drawn.join(F.broadcast(begins), "__range").withColumn("place", F.col("__begin") + F.row_number().over(own) - 1)
-    return placed.drop("__draw", "__range", "__begin")
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("__size"))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    begins = sizes.select("__part", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__begin"))
+    placed = marked.join(F.broadcast(begins), "__part").withColumn(into, F.col("__begin") + F.col("__at"))
+    return placed.drop("__part", "__at", "__begin")
+
+
+def rank_by_draw(rows: DataFrame, seed: int, *key: str) -> DataFrame:
+    """rows with n, their number, and place, 0 for the least draw: an order by chance."""
+    drawn = rows.withColumn("__draw", draw(*(F.col(k) for k in key), seed))
+    placed = numbered(drawn, "__draw", *key, into="place").drop("__draw")
+    return placed.join(F.broadcast(placed.agg(F.count("*").alias("n"))))
 
 
 def random_nodes(edges: DataFrame, share: float, seed: int) -> DataFrame:
@@ -178,21 +183,6 @@ def chained_canonicals(spark: SparkSession, k: int) -> DataFrame:
     return spark.createDataFrame(rows, "src long, dst long")
 
 
-def numbered(rows: DataFrame, *key: str, into: str = "no") -> DataFrame:
-    """rows with their place in the order of the key, from 0. Places come from range partitions and their sizes, with no
-    sort in a single task."""
-    parts = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-    marked = parts.withColumn("__raw", F.monotonically_increasing_id())
-    marked = marked.withColumn("__part", F.shiftright("__raw", 33)).withColumn(
-        "__at", F.col("__raw").bitwiseAND((1 << 33) - 1)
-    )
-    sizes = marked.groupBy("__part").agg(F.count("*").alias("__size"))
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    begins = sizes.select("__part", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__begin"))
-    placed = marked.join(F.broadcast(begins), "__part").withColumn(into, F.col("__begin") + F.col("__at"))
-    return placed.drop("__raw", "__part", "__at", "__begin")
-
-
 def encode_names(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of names as edges of numbers, and the dictionary (name, id). Numbers follow the names' order."""
     names = both_ways(edges).select(F.col("u").alias("name")).distinct()

@@ -33,8 +33,11 @@ def component_shares(edges: DataFrame, k: int) -> DataFrame:
     by_size = shared.groupBy("size").agg(F.sum("share").alias("s"))
     ahead = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)  # one row per different size
     before = by_size.select("size", F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("before"))
-    own = Window.partitionBy("size").orderBy("cc")
-    placed = shared.join(F.broadcast(before), "size").withColumn("upto", F.col("before") + F.row_number().over(own) * F.col("share"))
+    # the place among components of the same size, however many there are
+    ranked = numbered(shared.withColumn("neg", -F.col("size")), "neg", "cc")
+    first = ranked.groupBy("size").agg(F.min("no").alias("first"))
+    own = ranked.join(F.broadcast(before), "size").join(F.broadcast(first), "size")
+    placed = own.withColumn("upto", F.col("before") + (F.col("no") - F.col("first") + 1) * F.col("share"))
     return placed.select("cc", "size", F.round("share", 9).alias("share"), F.round("upto", 9).alias("upto"))
 
 
