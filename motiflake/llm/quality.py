@@ -89,7 +89,7 @@ def judge(
     lang: str = "lang",
     max_char_distance: float = 0.20,
     max_word_distance: float = 0.38,
-    min_chars: int = 400,
+    min_chars: int = 1000,
     min_words: int = 80,
     min_base_words: int = 20,
     max_repeat_percent: int = 30,

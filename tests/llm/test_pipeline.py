@@ -25,7 +25,7 @@ def good(text, lang):
         return False
     if lang not in quality.COMMON_WORDS:
         return True
-    if len(text) >= 400:
+    if len(text) >= 1000:
         counts = [len(re.findall(p, text)) for p in quality.RARE_CLASSES]
         shares = [(len(text) - sum(counts)) / len(text), *(c / len(text) for c in counts)]
         if distance(shares, quality.CHAR_SHARES[lang]) > 0.20:

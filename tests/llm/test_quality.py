@@ -9,7 +9,7 @@ from .helpers import SPACED, TEXTS, documents
 PLAIN = (
     "The cat of the house is in the garden and it was with a dog that is for the day on as be by to "
     "run and to play in a field of grass, and the sun was on it. "
-) * 6
+) * 12
 TABLE = "".join(f"| w{i}x | q{i} | {i * 37} | $ % & * # |\n" for i in range(120))
 
 
