@@ -18,7 +18,7 @@ from .enumerate import bits_of, induced_gint
 from .graph_loops import components
 from .normalize import adjacency, nodes, numbered
 
-METHODS = ("NBE", "EBE", "FAYE")
+METHODS = ("NBE", "EBE", "PLAIN")
 
 
 def component_shares(edges: DataFrame, k: int) -> DataFrame:
@@ -64,8 +64,8 @@ def _merge(cands: Column, near: Column, members: Column, bit: int) -> Column:
 def grow(edges: DataFrame, k: int, n: int, method: str = "EBE", seed: int = 1, starts: DataFrame | None = None) -> DataFrame:
     """(sample, nodes, gint, multiplier) of n samples, nodes in the order in which they joined.
 
-    From an edge by chance a sample takes a neighbour at a time: NBE and FAYE each with equal chance, EBE in proportion to
-    the edges that lead to it. multiplier is the inverse of the chance of what was taken (1 for FAYE). Samples whose
+    From an edge by chance a sample takes a neighbour at a time: NBE and PLAIN each with equal chance, EBE in proportion to
+    the edges that lead to it. multiplier is the inverse of the chance of what was taken (1 for PLAIN). Samples whose
     component has fewer than k nodes are left out. starts(sample, u, v) replaces the edges by chance.
     """
     if method not in METHODS:
@@ -97,7 +97,7 @@ def grow(edges: DataFrame, k: int, n: int, method: str = "EBE", seed: int = 1, s
         else:
             total = F.size("cands")
             at = below(total, seed, F.col("sample"), p)
-        factor = F.lit(1.0) if method == "FAYE" else total.cast("double")
+        factor = F.lit(1.0) if method == "PLAIN" else total.cast("double")
         rows = rows.select("sample", "nodes", "gint", (F.col("multiplier") * factor).alias("multiplier"), "cands", F.get("cands", at.cast("int")).alias("new"))
         rows = rows.select(
             "sample",
@@ -194,7 +194,7 @@ def contributions(samples: DataFrame, k: int, method: str, raw: bool = False) ->
     """samples with ordinal, perm and contribution: the multiplier over the ways in which the method builds the graphlet, or 1
     each if raw."""
     classed = ag.classify(samples, k)
-    if raw or method == "FAYE":
+    if raw or method == "PLAIN":
         return classed.withColumn("contribution", F.lit(1.0))
     own = catalogs.alphas(samples.sparkSession, k, method)
     return classed.join(F.broadcast(own), "ordinal").withColumn("contribution", F.col("multiplier") / F.col("alpha")).drop("alpha")

@@ -28,7 +28,7 @@ def budget(text: str) -> int:
 
 @dataclass
 class Run:
-    """What to do with a graph: k, the method (EXACT, NBE, EBE, FAYE, AR, MCMC, RES), the output mode, and the options."""
+    """What to do with a graph: k, the method (EXACT, NBE, EBE, PLAIN, AR, MCMC, RES), the output mode, and the options."""
 
     k: int = 4
     method: str = "EBE"
