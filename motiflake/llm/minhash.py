@@ -271,7 +271,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, pe
         of.select(F.col("rep").alias("b"), F.col("set").alias("right")), "b"
     )
     out = "a long, b long, n_a long, n_b long, linked boolean, delta binary"
-    done = stash(joined.select("a", "b", "left", "right").mapInArrow(exact, out), 200)
+    done = stash(joined.select("a", "b", "left", "right").mapInArrow(exact, out), 100)
     drop(of)
     return done
 

@@ -20,7 +20,7 @@ from .textscan import Words, hashes, pieces
 SPACE = 0x2581
 _NEVER = np.iinfo(np.int64).max
 #: Different words that a process keeps; beyond it, it starts anew.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 17
 
 
 class Codec:
@@ -244,7 +244,7 @@ def encode(docs: DataFrame, model: str | None = None, id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model or default_model())
-        for batch in pieces(batches, text, 1 << 20):
+        for batch in pieces(batches, text):
             ids, at = own.encode_batch(batch.column(text).fill_null("").to_pylist())
             decoded = own.decode_batch(ids, at)
             yield pa.RecordBatch.from_arrays(

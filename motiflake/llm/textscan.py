@@ -25,7 +25,7 @@ SPACED = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 LETTERED = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 
 
 class Words(NamedTuple):
@@ -58,7 +58,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text, so that memory follows the longest text."""
     for batch in batches:
         if not batch.num_rows:
