@@ -34,6 +34,8 @@ BLOCK = 8 << 20
 PIECE = 1024
 OWN = 8192
 SUFFIXES = 4096
+#: Lists of frequent words that one task merges.
+MERGE = 64
 #: 0 is the end, then come the words with a class of their own, the suffixes, and words that training lacks.
 CLASSES = 1 + OWN + SUFFIXES + 1
 UNKNOWN = CLASSES - 1
@@ -211,6 +213,25 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(2, word=best[:, 1], c=best[:, 0], block=best[:, 2])
 
 
+def _most_frequent(rows: DataFrame) -> list:
+    """The ``OWN`` rows of the largest c, ties by word. Tasks' lists are merged ``MERGE`` at a time until that many are left, so
+    that what comes to the driver is bounded however many tasks there were."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("word", "c", "suffix")], 1)])
+            if len(held) > OWN:
+                held = held[np.lexsort((held[:, 0], -held[:, 1]))[:OWN]]
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, j]) for j in range(3)], ["word", "c", "suffix"])
+
+    n = rows.count()
+    while n > max(2, MERGE) * OWN:
+        rows = stash(rows.repartition(-(-n // (max(2, MERGE) * OWN)), "word").mapInArrow(best, "word long, c long, suffix long"), 10_000)
+        n = rows.count()
+    return rows.orderBy(F.desc("c"), "word").limit(OWN).collect()
+
+
 def lay_out(lengths: np.ndarray, piece: int = PIECE) -> Layout:
     count = -(-lengths // piece)
     text = np.repeat(np.arange(len(lengths)), count)
@@ -363,7 +384,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
     per_suffix = tallied.filter("kind = 1").groupBy(F.col("block").alias("suffix"))
     sums = per_suffix.agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
     texts = blocks.select(F.explode("held").alias("h")).filter("not h").count()
-    top = tallied.filter("kind = 2").select("word", "c", F.col("block").alias("suffix")).orderBy(F.desc("c"), "word").limit(OWN).collect()
+    top = _most_frequent(tallied.filter("kind = 2").select("word", "c", F.col("block").alias("suffix")))
     n = sum(r["c"] for r in sums) + texts
     v = sum(r["v"] for r in sums) + (texts > 0)
     whole = n + 0.5 * (v + 1)

@@ -98,3 +98,13 @@ def test_emissions_sum_to_one():
     assert m.emit.sum(axis=0) == pytest.approx(np.ones(4)) and m.move.sum(axis=1) == pytest.approx(np.ones(4))
     f = hmm.fit(hmm.Model(np.ones(4), np.ones((4, 4)), m.emit * 50), prior, prior)
     assert f.emit.sum(axis=0) == pytest.approx(np.ones(4)) and f.move.sum(axis=1) == pytest.approx(np.ones(4))
+
+
+def test_most_frequent_words_by_merging(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(hmm, "MERGE", 1)
+    rows = spark.range(3 * hmm.OWN).select(F.col("id").alias("word"), (F.col("id") * 7919 % 1000).alias("c"), F.lit(0).cast("long").alias("suffix"))
+    got = [(r["word"], r["c"]) for r in hmm._most_frequent(rows.repartition(5))]
+    want = sorted(((i, i * 7919 % 1000) for i in range(3 * hmm.OWN)), key=lambda x: (-x[1], x[0]))[: hmm.OWN]
+    assert got == want
