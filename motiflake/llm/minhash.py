@@ -7,14 +7,19 @@
 3. Classes with a common key are a bucket. In a bucket, classes whose estimated similarity is near the threshold hang
    together; each such cell gets a hub, the class that agrees most with the others, and gives pairs of the hub and each
    other class, as many as it has classes. Buckets over ``SPLIT`` classes are dealt out to several tasks, each with the
-   bucket's smallest class as a guest.
+   bucket's smallest class as a guest; what that leaves in several components meets in step 6.
 4. Pairs with a hub are confirmed on whole shingle sets, and components are found. What a class's set and its hub's
    do not share (its difference) is kept.
 5. Cells that still hold several components are gone over again: each class outside a cell's largest component meets
    every class of the cell's other components. Differences from one hub give the exact size of the overlap of any two
    sets of the cell, so only true links leave the task, and only those that join components there. Cells over ``SPLIT``
-   classes are worked on in blocks. So a link between different texts is lost only if no band finds it (below
-   5e-8 at similarity 0.8, 1e-10 at 0.85) or its estimate is five standard deviations too low.
+   classes are worked on in blocks.
+6. In buckets over ``SPLIT`` classes that still hold several components, each class outside the largest component meets
+   every class of the others, in blocks. Those with an estimate near the threshold get pairs with one hub, the
+   bucket's smallest class, and are gone over as in steps 4 and 5.
+
+So a link between different texts is lost only if no band finds it (below 5e-8 at similarity 0.8, 1e-10 at 0.85) or its
+estimate is five standard deviations too low.
 """
 
 from __future__ import annotations
@@ -232,6 +237,34 @@ def _bridges(percent: int):
     return run
 
 
+def _reached(least: float):
+    """Step 6 over rows (hub, part, block, rep, label, guest, sig) in order: pairs of the hub and each class that is near a
+    class of another component, one of the two a guest."""
+
+    def one(rows: dict[str, np.ndarray], a: list, b: list) -> None:
+        guests, seats = np.flatnonzero(rows["guest"]), np.flatnonzero(~rows["guest"])
+        sig, label = rows["sig"], rows["label"]
+        hit = np.zeros(len(label), bool)
+        for g in guests.tolist():
+            near = seats[label[seats] != label[g]]
+            near = near[estimate(sig[g], sig[near]) >= least]
+            hit[near] = True
+            hit[g] |= len(near) > 0
+        a.append(rows["hub"][hit])
+        b.append(rows["rep"][hit])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, ("hub", "part", "block")):
+            a: list[np.ndarray] = []
+            b: list[np.ndarray] = []
+            at = rows.pop("begins").tolist()
+            for i, j in zip(at, [*at[1:], len(rows["rep"])], strict=True):
+                one({k: v[i:j] for k, v in rows.items()}, a, b)
+            yield _pairs(a, b)
+
+    return run
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) on their whole sets: n_a, n_b (set sizes), linked, and delta, the elements that one set has alone."""
 
@@ -303,11 +336,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _mixed(tested: DataFrame, labels: DataFrame) -> DataFrame:
-    """The classes of cells that hold several components, in blocks: each seat of a part with each guest of a block."""
+    """The classes of cells that hold several components, in blocks."""
     hubs = tested.groupBy(F.col("a").alias("hub")).agg(F.min("n_a").alias("n"))
     members = tested.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("n_b").alias("n"), "delta").union(
         hubs.select("hub", F.col("hub").alias("rep"), "n", F.lit(b"").alias("delta"))
     )
+    return _blocks(members, labels, "n", "delta")
+
+
+def _blocks(members: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """Of members (hub, rep, columns), those whose hub has several components: each seat of a part with each guest of a
+    block, guests being the classes outside the hub's largest component."""
     placed = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     sizes = placed.groupBy("hub", "label").agg(F.count("*").alias("c"))
     cells = sizes.groupBy("hub").agg(
@@ -322,7 +361,7 @@ def _mixed(tested: DataFrame, labels: DataFrame) -> DataFrame:
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     mixed = placed.join(cells, "hub").withColumn("guest", F.col("label") != F.col("main"))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    keep = ("rep", "n", "label", "delta")
+    keep = ("rep", "label", *columns)
     seats = mixed.select("hub", own("parts").alias("part"), F.explode(upto("blocks")).alias("block"), F.lit(False).alias("guest"), *keep)
     calls = mixed.filter("guest").select(
         "hub", F.explode(upto("parts")).alias("part"), own("blocks").alias("block"), F.lit(True).alias("guest"), *keep
@@ -378,6 +417,15 @@ def link(
     labels = components(links)
     extra = stash(_mixed(tested, labels).mapInArrow(_bridges(percent), "a long, b long"))
     if extra.limit(1).count():
+        links = links.union(extra)
+        labels = components(links)
+    wide = buckets.filter("parts > 1").select(F.col("low").alias("hub"), "rep").distinct().join(sigs, "rep")
+    across = stash(_blocks(wide, labels, "sig").mapInArrow(_reached(least), "a long, b long").distinct(), 10_000)
+    if across.limit(1).count():
+        tested = confirm(across, docs, id, text, shingle, percent)
+        links = links.union(tested.filter("linked").select("a", "b"))
+        labels = components(links)
+        extra = _mixed(tested, labels).mapInArrow(_bridges(percent), "a long, b long")
         labels = components(links.union(extra))
     of = classes.select("one", "two", "rep").join(labels, "rep", "left")
     of = of.select("one", "two", F.coalesce("label", "rep").alias("label"))

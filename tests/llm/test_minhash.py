@@ -74,6 +74,24 @@ def test_blocks_of_large_cells(spark, monkeypatch):
     assert got == want
 
 
+def test_star_over_parts_of_a_bucket(spark, monkeypatch):
+    """Copies that are near their source only; the source is not the smallest id."""
+    monkeypatch.setattr(minhash, "SPLIT", 16)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(500, " ".join(base), "en")]
+    for i in range(120):
+        words = base[:]
+        for at in rng.sample(range(4, 196, 4), 5):
+            words[at] = f"e{i}-{at}"
+        rows.append((i + 1, " ".join(words), "en"))
+    want, sets = brute(rows, 3, 85)
+    copies_only, _ = brute(rows[1:], 3, 85)
+    assert set(want.values()) == {1} and len(set(copies_only.values())) > 60
+    got = {r["doc_id"]: r["component_id"] for r in minhash.link(documents(spark, rows), shingle=3, percent=85).collect()}
+    assert got == want
+
+
 def test_repeated_ids_nulls_and_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(5, long, "en"), (5, long, "en"), (2, long + " more", "en"), (9, "other text that stands alone here", "en"), (None, long, "en"), (7, None, "en"), (8, "", "en")]
