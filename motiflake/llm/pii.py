@@ -20,7 +20,25 @@ ROUNDS = 5
 CHUNK = 24
 # What may be personal data. A pattern begins only where no earlier part of the same run could.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+# The length of a country's IBANs, so that a word or number behind one is not taken for its end.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _of_length(n: int, lands: str) -> str:
+    fours, rest = divmod(n - 4, 4)
+    return f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+IBAN = (
+    r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:"
+    + "|".join(_of_length(n, lands) for n, lands in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+)
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.\-][0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
@@ -203,6 +221,17 @@ def _card(m: Column, key: str) -> Column:
     return let(_digits(m), made)
 
 
+def _front(m: Column) -> Column:
+    """The longest valid card number at the front of a match that is none as a whole and has other digits behind it; else null.
+    It ends where a run of digits does."""
+    ends = F.filter(
+        F.sequence(F.char_length(m) - 1, F.lit(13), F.lit(-1)), lambda n: F.substring(m, n, F.lit(2)).rlike("^[0-9][ -]$")
+    )
+    fronts = F.transform(ends, lambda n: F.substring(m, F.lit(1), n))
+    valid = F.filter(fronts, lambda c: c.rlike(_whole(CARD)) & F.call_function("luhn_check", _digits(c)))
+    return F.when(m.rlike(_whole(CARD)) & (F.char_length(m) > 13), F.get(valid, F.lit(0)))
+
+
 def _phone(m: Column, key: str) -> Column:
     """The country code stays."""
     land = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
@@ -222,7 +251,8 @@ def _ssn(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pseudonyms") -> DataFrame:
     """docs with its text pseudonymised, and a column ``into``: array<struct<kind, value>> of the pseudonyms put in, in order.
 
-    ``key`` is the secret that decides the permutation. What looks like personal data but fails its check stays as it is.
+    ``key`` is the secret that decides the permutation. What looks like personal data but fails its check stays as it is, but for
+    a valid card number at the front of a longer run; behind it, the text up to the next match is searched once more.
     A null text stays null with no pseudonyms; rows are handled one by one, so ties, repeats and nulls elsewhere
     don't matter. A column named as ``into`` is replaced.
     """
@@ -232,32 +262,59 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pse
     shapes = {"email": EMAIL, "iban": IBAN, "date": DATE, "ip": IP, "ssn": SSN, "phone": PHONE, "card": CARD}
 
     def one(m: Column) -> Column:
+        """struct<kind, value, tail>: tail is what a match has behind a valid card number at its front."""
         tried = [
             F.when(m.rlike(_whole(shapes[k])), made[k](m, key)).alias("value") for k in KINDS
         ]
+        left = lambda front: F.when(
+            front.isNotNull(),
+            F.struct(F.lit("card").alias("kind"), _card(front, key).alias("value"), F.substring(m, F.char_length(front) + 1, F.char_length(m)).alias("tail")),
+        ).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"), F.lit("").alias("tail")))
         return let(
             F.array(*tried),
             lambda t: let(
                 F.get(F.filter(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)), lambda i: F.get(t, i).isNotNull()), F.lit(0)),
-                lambda i: F.struct(
-                    F.get(F.array(*map(F.lit, KINDS)), i).alias("kind"),
-                    F.coalesce(F.get(t, i), m).alias("value"),
-                ),
+                lambda i: F.when(
+                    i.isNotNull(),
+                    F.struct(F.get(F.array(*map(F.lit, KINDS)), i).alias("kind"), F.get(t, i).alias("value"), F.lit("").alias("tail")),
+                ).otherwise(let(_front(m), left)),
             ),
         )
 
-    matches = F.transform(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)), one)
-    gaps = F.split(F.col(text), PATTERN, -1)
+    searched = lambda source: F.transform(F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)), one)
+    split = lambda source: F.split(source, PATTERN, -1)
+    told = lambda d: F.struct(d["kind"].alias("kind"), d["value"].alias("value"))
+    # step by step: matches, gaps with the tails before them, what is found in those gaps, and all put together
+    rows = docs.withColumn("__pii_done", searched(F.col(text))).withColumn("__pii_split", split(F.col(text)))
 
-    def rebuilt(done: Column) -> Column:
-        woven = F.zip_with(gaps, F.transform(done, lambda d: d["value"]), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
-        return F.struct(
-            F.when(F.size(done) > 0, F.array_join(woven, "")).otherwise(F.col(text)).alias("text"),
-            F.filter(done, lambda d: d["kind"].isNotNull()).alias("found"),
-        )
+    def gap(g: Column, i: Column) -> Column:
+        tail = F.coalesce(F.get("__pii_done", i - 1)["tail"], F.lit(""))
+        return F.struct(F.concat(tail, g).alias("text"), (tail != "").alias("again"))
+
+    rows = rows.withColumn("__pii_gaps", F.transform("__pii_split", gap))
+    none = F.array().cast("array<struct<kind: string, value: string, tail: string>>")
+    again = lambda w: F.when(w["again"], searched(w["text"])).otherwise(none)
+    rows = rows.withColumn("__pii_again", F.transform("__pii_gaps", again))
+
+    def woven(gaps: Column, values: Column) -> Column:
+        return F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
 
+    def filled(w: Column, i: Column) -> Column:
+        values = F.transform(F.get("__pii_again", i), lambda d: F.concat(d["value"], d["tail"]))
+        return F.when(w["again"], woven(split(w["text"]), values)).otherwise(w["text"])
+
+    whole = woven(F.transform("__pii_gaps", filled), F.transform("__pii_done", lambda d: d["value"]))
+    found = F.transform(
+        "__pii_again", lambda n, i: F.transform(F.concat(n, F.slice("__pii_done", i + 1, F.lit(1))), told)
+    )
+    found = F.filter(F.flatten(found), lambda d: d["kind"].isNotNull())
+    new = F.struct(
+        F.when(F.size("__pii_done") > 0, whole).otherwise(F.col(text)).alias("text"), found.alias("found")
+    )
+    out = rows.withColumn("__pii", F.when(F.col(text).isNotNull(), new)).drop(
+        "__pii_done", "__pii_split", "__pii_gaps", "__pii_again"
+    )
     none = F.array().cast("array<struct<kind: string, value: string>>")
-    out = docs.withColumn("__pii", F.when(F.col(text).isNotNull(), let(matches, rebuilt)))
     return (
         out.withColumn(text, F.col("__pii.text")).withColumn(into, F.coalesce("__pii.found", none)).drop("__pii")
     )

@@ -45,6 +45,26 @@ def test_formats_and_checks(spark):
         assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def test_what_follows_a_number(spark):
+    """A date, code or word behind a valid number does not hide it, nor does the number hide what follows."""
+    texts = {
+        1: "4111 1111 1111 1111 12/27 x",
+        2: "4111111111111111 123",
+        3: "AT61 1904 3002 3457 3201 BIC",
+        4: "4111 1111 1111 1111 123-45-6789 x 4111-1111-1111-1111",
+        5: "1234567890123456 12/27, AT62 1904 3002 3457 3201 BIC",
+    }
+    got = run(spark, [(i, t, "en") for i, t in texts.items()])
+    kinds = {i: [p["kind"] for p in r["pseudonyms"]] for i, r in got.items()}
+    assert kinds == {1: ["card"], 2: ["card"], 3: ["iban"], 4: ["card", "ssn", "card"], 5: []}
+    assert got[5]["text"] == texts[5]
+    for i in (1, 2):
+        n = len(texts[i].split("1 12")[0]) + 1
+        assert got[i]["text"][n:] == texts[i][n:] and got[i]["text"][:n] == got[i]["pseudonyms"][0]["value"] and luhn(got[i]["text"][:n])
+    assert got[3]["text"] == got[3]["pseudonyms"][0]["value"] + " BIC"
+    assert got[4]["text"] == "{} {} x {}".format(*(p["value"] for p in got[4]["pseudonyms"]))
+
+
 def test_links_stay(spark):
     got = run(spark, [(i, t, "en") for i, t in FIND.items()])
     assert got[1]["pseudonyms"][0]["value"] == got[8]["pseudonyms"][0]["value"]
