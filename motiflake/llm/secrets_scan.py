@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and the guess cost of values that stand in a credential's place.
 
 The guess cost is the least sum, over all ways to cut a value into words, dates, repeats, keyboard walks and
-brute-force spans, of the decimal logarithms of the guesses that each part takes. A value over the limit is a secret;
-one that a few guesses find (``changeme``, ``token: the``) is not.
+brute-force spans, of the decimal logarithms of the guesses that each part takes. Every value in a credential's place is
+judged by it, whatever other pattern holds the value too: over the limit it is a secret, and one that a few guesses
+find (``changeme``, ``token: the``) is not. The program is linear in the value's length.
 """
 
 from __future__ import annotations
@@ -29,16 +30,26 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "guess")
 
-#: A value in a credential's place.
-CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"""
-    r"""|auth|credentials?|login)["']?\s{0,8}[:=]\s{0,8}["']?([^\s"'<>|,;]{4,})""",
-    re.IGNORECASE | re.ASCII,
+#: Values in a credential's place: behind a telling name and a sign, in a url's userinfo, behind ``Bearer``, in a key block.
+_GAP = r"[\x09-\x0D\x20]*"
+CONTEXTS = (
+    re.compile(
+        r"""(?:password|passwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?"""
+        r"""|(?<![A-Za-z0-9])(?:pass|pwd|pin|auth|login))["']?"""
+        + _GAP
+        + "[:=]"
+        + _GAP
+        + r"""["']?([^\x09-\x0D\x20"'<>|,;]{4,})""",
+        re.IGNORECASE | re.ASCII,
+    ),
+    re.compile(r"""://[^\x09-\x0D\x20/:@"'<>]*:([^\x09-\x0D\x20/@"'<>]{4,})@"""),
+    re.compile(r"(?<![A-Za-z0-9])bearer[\x09-\x0D\x20]+([A-Za-z0-9+/_.=~-]{8,})", re.IGNORECASE | re.ASCII),
+    re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\x09-\x0D\x20]*([A-Za-z0-9+/=\x09-\x0D\x20]{4,})-----END"),
 )
 #: What a text must hold for any pattern to match; run over whole columns first.
 ANY = (
-    r"""(?i:pass|passwd|password|passphrase|passcode|pwd|pin|secret|token|key|auth|credentials?|login)["']?\s*[:=]"""
-    r"""|AKIA[A-Z0-9]|[0-9a-f]{16}"""
+    r"""(?i:pass|passwd|password|passphrase|passcode|pwd|pin|secret|token|key|auth|credentials?|login)["']?[\x09-\x0D\x20]*[:=]"""
+    r"""|AKIA[A-Z0-9]|[0-9a-f]{16}|://[^\x09-\x0D\x20/:@]*:[^\x09-\x0D\x20/@]+@|(?i:bearer)[\x09-\x0D\x20]|PRIVATE KEY-----"""
 )
 
 # Words that guesses try first, commonest first.
@@ -50,11 +61,26 @@ COMMON = (
 ).split()
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
 _LONGEST_WORD = max(map(len, COMMON))
+_FIRST = frozenset(w[0] for w in COMMON)
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: The longest word or date.
+_REACH = 14
 # The rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _KEY = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
-#: What a cut between two parts costs.
-_CUT = math.log10(2)
+#: For two keys that touch, written one after the other, the direction from the one to the other.
+_STEP = {
+    a + b: (r2 - r1, i2 - i1)
+    for a, (r1, i1) in _KEY.items()
+    for b, (r2, i2) in _KEY.items()
+    if a != b and abs(r1 - r2) <= 1 and abs(i1 - i2) <= 1
+}
+#: How far back a repeat may copy from.
+UNITS = 8
+#: What a cut between two parts costs, and a walk's length or a repeat's count.
+_CUT, _COUNT = math.log10(2), 1.0
+#: Into a walk: its first key; each change of direction: which one. Into a repeat: how far back.
+_WALK, _TURN, _COPY = math.log10(len(_KEY)) + _COUNT, math.log10(8), math.log10(UNITS) + _COUNT
 _DATE = re.compile(
     r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d"
 )
@@ -64,67 +90,80 @@ _VOWELS = frozenset("aeiouyAEIOUY")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 
 
-def _near(a: str, b: str) -> bool:
-    x, y = _KEY.get(a), _KEY.get(b)
-    return x is not None and y is not None and a != b and abs(x[0] - y[0]) <= 1 and abs(x[1] - y[1]) <= 1
-
-
 def _brute(c: str) -> float:
     if c.isdigit():
         return 1.0
     return math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else math.log10(200)
 
 
-@lru_cache(maxsize=1 << 14)
-def guess_cost(value: str) -> float:
-    """Decimal logarithm of the guesses that the cheapest way to cut value into parts takes."""
-    n, low = len(value), value.lower()
-    best = [0.0] + [math.inf] * n
+def _spans(value: str, low: str, i: int) -> Iterator[tuple[int, float]]:
+    """Words and dates that begin at i: where each ends and what it costs. None is longer than ``_REACH``."""
+    c = value[i]
+    if c.isdigit():
+        if m := _DATE.match(value, i):
+            yield m.end(), math.log10(366 * 120) + (0.6 if m[1] or m[2] else 0)
+        if m := _YEAR.match(value, i):
+            yield m.end(), math.log10(120)
+        return
+    if low[i] in _FIRST:
+        for j in range(i + 1, min(len(value), i + _LONGEST_WORD) + 1):
+            if rank := _RANK.get(low[i:j]):
+                upper = sum(x.isupper() for x in value[i:j])
+                yield j, math.log10(rank + 1) + (math.log10(2 * min(upper, j - i - upper) + 2) if upper else 0)
+    if c.isascii() and c.isalpha() and (m := _WORDLIKE.match(value, i)) and 0.2 <= sum(x in _VOWELS for x in m[0]) / len(m[0]) <= 0.7:
+        yield m.end(), 5.0
+
 
-    def offer(i: int, j: int, cost: float) -> None:
-        best[j] = min(best[j], best[i] + cost + (_CUT if i else 0))
+def guess_cost(value: str, limit: float = math.inf) -> float:
+    """Decimal logarithm of the guesses that the cheapest way to cut value into parts takes, or a lower bound of it that is
+    ``limit`` or more.
 
+    A part is a word, a date, a keyboard walk, a repeat (a run of characters that copies what stands up to ``UNITS``
+    before) or brute force. Walks and repeats are states that a character more extends, so the time is linear.
+    """
+    n, low = len(value), value.translate(_LOWER)
+    best = [0.0] + [math.inf] * n
+    first, walk, step = math.inf, math.inf, None  # walks of one key and of more, and the last step's direction
+    copies = [math.inf] * (UNITS + 1)
     for i in range(n):
-        # brute force: a character more of a span that needs no new cut
-        best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]))
-        for j in range(i + 1, min(n, i + _LONGEST_WORD) + 1):
-            if rank := _RANK.get(low[i:j]):
-                upper = sum(c.isupper() for c in value[i:j])
-                offer(i, j, math.log10(rank + 1) + (math.log10(2 * min(upper, j - i - upper) + 2) if upper else 0))
-        if m := _DATE.match(value, i):
-            offer(i, m.end(), math.log10(366 * 120) + (0.6 if m[1] or m[2] else 0))
-        if (m := _WORDLIKE.match(value, i)) and 0.2 <= sum(c in _VOWELS for c in m[0]) / len(m[0]) <= 0.7:
-            offer(i, m.end(), 5.0)
-        if m := _YEAR.match(value, i):
-            offer(i, m.end(), math.log10(120))
-        j, turns, step = i + 1, 0, None
-        while j < n and _near(low[j - 1], low[j]):
-            a, b = _KEY[low[j - 1]], _KEY[low[j]]
-            if (now := (b[0] - a[0], b[1] - a[1])) != step:
-                turns, step = turns + 1, now
-            j += 1
-            if j - i >= 3:
-                offer(i, j, math.log10(len(_KEY)) + math.log10(j - i) + turns * math.log10(8))
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            j = i + unit
-            while value.startswith(value[i : i + unit], j):
-                j += unit
-                offer(i, j, sum(map(_brute, value[i : i + unit])) + math.log10((j - i) // unit))
+        c, here = value[i], best[i]
+        cut = _CUT if i else 0.0
+        now = _STEP.get(low[i - 1 : i + 1]) if i else None
+        walk = math.inf if now is None else min(first + _TURN, walk + (0.0 if now == step else _TURN))
+        first, step = (here + cut + _WALK if low[i] in _KEY else math.inf), now
+        least = min(best[i + 1], here + _brute(c), walk)
+        for u in range(1, min(UNITS, i) + 1):
+            if c == value[i - u]:
+                copies[u] = min(copies[u], here + _CUT + _COPY)
+                least = min(least, copies[u])
+            else:
+                copies[u] = math.inf
+        best[i + 1] = least
+        for j, cost in _spans(value, low, i):
+            best[j] = min(best[j], here + cut + cost)
+        if best[i + 1] >= limit and first >= limit and (floor := min(best[i + 1 : i + 1 + _REACH])) >= limit:
+            return min(floor, first)
     return best[n]
 
 
+@lru_cache(maxsize=1 << 14)
+def _short_cost(value: str, limit: float) -> float:
+    return guess_cost(value, limit)
+
+
 def find(text: str, limit: float = 8.0) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of a text in code points, by start and then kind."""
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     out += [("hex", *m.span()) for m in HEX.finditer(text) if len(m[0]) >= MIN_HEX]
-    taken = sorted((a, b) for _, a, b in out)
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?)]}")
-        a, b = m.start(1), m.start(1) + len(value)
-        if len(value) >= 4 and not any(x <= a and b <= y for x, y in taken) and guess_cost(value) >= limit:
-            out.append(("guess", a, b))
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    costly = set()
+    for context in CONTEXTS:
+        for m in context.finditer(text):
+            value = m[1].rstrip(".:!?)]}\t\n\v\f\r ")
+            cost = _short_cost if len(value) <= 64 else guess_cost
+            if len(value) >= 4 and cost(value, limit) >= limit:
+                costly.add(("guess", m.start(1), m.start(1) + len(value)))
+    return sorted([*out, *costly], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:
@@ -142,8 +181,8 @@ def scan(
     """docs with a column ``into``: array<struct<kind, start, end>>, in code points, end exclusive, by start and then kind.
 
     Kinds assign, access and hex are the base's patterns, leftmost and not overlapping per kind, with matches too short
-    dropped. Kind guess is a value in a credential's place whose guess cost is ``limit`` or more and that no base span
-    holds. With ``mask``, the text has every span (those that overlap as one) replaced by it. A null or empty text has no
+    dropped. Kind guess is a value in a credential's place (``CONTEXTS``) whose guess cost is ``limit`` or more, also where
+    a base span holds it. With ``mask``, the text has every span (those that overlap as one) replaced by it. A null or empty text has no
     spans and stays as it is. Rows are scanned one by one: ties, repeats and nulls elsewhere don't matter; a column named
     as ``into`` is replaced.
     """
