@@ -20,7 +20,7 @@ OPEN, MID, CLOSE = "### ", ": ", " </turn>\n"
 # Characters that marks are made of, and what stands for them. The backslash comes first.
 TEXT_ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"))
 ROLE_ESCAPES = (*TEXT_ESCAPES, (":", "\\c"), ("\n", "\\n"))
-#: Events that give a message a new text; a delta adds to it, and a delete takes the message away.
+#: Events that give a message a new text; a delta adds to it, and a delete takes the message away. ``message`` begins one.
 FRESH = ("message", "edit", "regenerate")
 
 
@@ -41,20 +41,27 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, role, text) of events (conv_id, seq, turn, event, role, text).
 
-    A message's events are taken by seq, equal ones by event, role and text. Its text is that of the last event of
-    ``FRESH`` and of all deltas after it; a message whose last event but for deltas is a delete is left out, as is one
-    of deltas after a delete. Its role is the last one given, else empty. A null text is empty, a null event a message;
-    null ids and turns are values like others, first in order.
+    A turn's events are taken by seq, equal ones by event (``message`` first), role and text. Each ``message`` begins a
+    message, so a turn that holds several, as rows with the same turn or with none do, keeps each of them; the events after it
+    are its own, and those before a turn's first one make a message of their own. A message's text is that of the
+    last event of ``FRESH`` and of all deltas after it; one whose last event but for deltas is a delete is left out. Its
+    role is the last one given, else empty. A null text is empty, a null event a message; null ids and turns are values like
+    others, first in order.
     """
     event = F.coalesce("event", F.lit("message"))
     row = F.struct(
         "seq",
+        (event != "message").alias("later"),
         event.alias("event"),
         F.col("role").alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     logs = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(row)).alias("log"))
 
+    def split(log: Column) -> Column:
+        begun = F.filter(F.transform(log, lambda e, i: F.when((i == 0) | ~e["later"], i)), lambda i: i.isNotNull())
+        return let(begun, lambda at: F.transform(at, lambda i, j: F.slice(log, i + 1, F.coalesce(F.get(at, j + 1), F.size(log)) - i)))
+
     def folded(log: Column) -> Column:
         marks = F.transform(log, lambda e, i: F.when(e["event"] != "delta", i))
         last = F.array_max(marks)
@@ -67,7 +74,8 @@ def fold(events: DataFrame) -> DataFrame:
             F.array_join(F.transform(rest, lambda e: e["text"]), "").alias("text"),
         )
 
-    out = logs.select("conv_id", "turn", let(F.col("log"), folded).alias("m"))
+    each = logs.select("conv_id", "turn", F.explode(let(F.col("log"), split)).alias("log"))
+    out = each.select("conv_id", "turn", let(F.col("log"), folded).alias("m"))
     return out.filter("not m.gone").select("conv_id", "turn", "m.role", "m.text")
 
 
@@ -77,7 +85,7 @@ def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     Parts of ``PART`` turns by turn number follow one another; a conversation's text is that of its parts in order.
     formatted marks each turn, ``### role: text </turn>`` and a line end, with text and role escaped so that both can be
     read back. loss is an array<struct<start, length>> of code points in formatted: each text of the trained
-    role, in order, without marks. Messages of one conversation and turn are ordered by role and text. Null roles
+    role, in order, without marks. Messages of one conversation and turn are ordered by role and text, as escaped. Null roles
     and texts are empty; an empty table gives an empty one.
     """
     role = F.coalesce("role", F.lit(""))

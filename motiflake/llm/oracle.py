@@ -12,12 +12,14 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), l AS (
   SELECT conv_id, turn, role, text, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(role)
-    + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + 15 AS n FROM c
+    + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + 15 AS n,
+    replace(replace(replace(replace(replace(role, '\', '\s'), '#', '\h'), '<', '\l'), ':', '\c'), chr(10), '\n') AS er,
+    replace(replace(replace(text, '\', '\s'), '#', '\h'), '<', '\l') AS et FROM c
 )
 SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, er, et)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, er, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars
 FROM l GROUP BY conv_id
 """

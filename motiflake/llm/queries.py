@@ -22,16 +22,21 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "conversations").select(
         "conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("event"), "role", "text"
     )
-    # conversation -7: a user's message as one event, an assistant's streamed in two parts
+    # conversation -7 as a log: a user's message, edited, and an assistant's, regenerated and streamed in two parts
     said = "\\### Assistant: </turn> ok"
-    asked, begun, added = ((0, 0, "message", "user", said), (1, 1, "message", "assistant", said[:9]), (2, 1, "delta", None, said[9:]))
-    names = ("seq", "turn", "event", "role", "text")
-    extra = spark.range(1).select(
-        F.explode(
-            F.array(*(F.struct(*(F.lit(v).cast("long" if n in names[:2] else "string").alias(n) for n, v in zip(names, row, strict=True)))
-                      for row in (asked, begun, added)))
-        ).alias("e")
-    ).select(F.lit(-7).cast("long").alias("conv_id"), "e.*")
+    told = (
+        (0, 0, "message", "user", "hello"),
+        (1, 0, "edit", None, said),
+        (2, 1, "message", "assistant", "first try"),
+        (3, 1, "regenerate", None, None),
+        (4, 1, "delta", None, said[:9]),
+        (5, 1, "delta", None, said[9:]),
+    )
+    event = lambda e: F.struct(
+        *(F.lit(v).cast(kind).alias(n) for v, n, kind in zip(e, ("seq", "turn", "event", "role", "text"), ("long", "long", "string", "string", "string"), strict=True))
+    )
+    extra = spark.range(1).select(F.explode(F.array(*map(event, told))).alias("e"))
+    extra = extra.select(F.lit(-7).cast("long").alias("conv_id"), "e.*")
     parts = chat.render(chat.fold(log.unionByName(extra)))
     told = F.transform(
         chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))

@@ -74,3 +74,27 @@ def test_planted_conversation(spark, tmp_path):
     assert got[-7]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest()
     assert got[-7]["loss_sha256"] == hashlib.sha256(SAID.encode()).hexdigest() and got[-7]["loss_chars"] == len(SAID)
     assert got[5]["n_turns"] == 2 and got[5]["loss_chars"] == 0
+
+
+def test_rows_of_one_turn_and_of_none_all_stay(spark, tmp_path):
+    import duckdb
+    from motiflake.llm.oracle import ORACLE
+    from motiflake.llm.queries import op2_chat_formatting
+
+    rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "assistant", "same"), (1, 1, "assistant", "same"), (1, 2, "user", None)]
+    rows += [(2, None, "assistant", "x"), (2, None, "assistant", "y"), (2, 0, "user", "#<:\n")] + [(3, 7, None, None)] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    path = str(tmp_path / "conversations.parquet")
+    df.write.parquet(path)
+    got = {tuple(r) for r in op2_chat_formatting(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == set(con.execute(ORACLE["op2_chat_formatting"]).fetchall())
+    assert {r[0]: r[1] for r in got} == {-7: 2, 1: 5, 2: 3, 3: 3}
+
+
+def test_events_after_several_messages_of_a_turn(spark):
+    log = [(1, 0, 0, "delta", "user", "early"), (1, 1, 0, "message", "user", "one"), (1, 2, 0, "message", "user", "two"), (1, 3, 0, "delta", None, "!")]
+    log += [(1, 4, 1, "message", "user", "a"), (1, 5, 1, "delete", None, None), (1, 6, 1, "message", "user", "b")]
+    df = spark.createDataFrame(log, "conv_id long, seq long, turn long, event string, role string, text string")
+    assert sorted((r["turn"], r["text"]) for r in chat.fold(df).collect()) == [(0, "early"), (0, "one"), (0, "two!"), (1, "b")]
