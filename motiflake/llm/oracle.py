@@ -62,13 +62,15 @@ LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP7 = rf"""
 WITH ph(words, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')),
 tp(label, text) AS (VALUES {", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)}),
-ts AS (SELECT row_number() OVER () AS t, label, list_distinct(regexp_extract_all({FOLDED}, '{LETTERED}')) AS tw FROM tp),
+ts AS (SELECT row_number() OVER () AS t, label, regexp_extract_all({FOLDED}, '{LETTERED}') AS tl FROM tp),
+tw AS (SELECT t, label, len(tl) AS width, len(list_distinct(tl)) AS n, unnest(list_distinct(tl)) AS word FROM ts),
 d AS (SELECT doc_id, coalesce({FOLDED}, '') AS x, regexp_extract_all(coalesce({FOLDED}, ''), '{LETTERED}') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
 base AS (SELECT doc_id, p - 1 AS p, label FROM p JOIN ph ON w[p : p + len(words) - 1] = words),
 b AS (SELECT doc_id, count(*) AS n, min(p) AS a, max(p) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY 1),
-li AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{LETTERED}')) AS lw FROM d),
-bl AS (SELECT doc_id, label, len(list_intersect(tw, lw)) AS c, len(tw) AS n FROM li, ts WHERE len(list_intersect(tw, lw)) * 100 >= 80 * len(tw)),
+hi AS (SELECT doc_id, t, label, width, n, p, word FROM (SELECT doc_id, p, w[p] AS word FROM p) JOIN tw USING (word)),
+wi AS (SELECT doc_id, label, n, count(DISTINCT word) OVER (PARTITION BY doc_id, t ORDER BY p RANGE BETWEEN width - 1 PRECEDING AND CURRENT ROW) AS c FROM hi),
+bl AS (SELECT DISTINCT doc_id, label, c, n FROM wi WHERE c * 100 >= 80 * n),
 al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l
   FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM bl) GROUP BY 1),
 sc AS (SELECT doc_id, max(c / n) AS s FROM bl GROUP BY 1)
