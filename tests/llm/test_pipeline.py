@@ -19,29 +19,48 @@ def distance(p, q):
     return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
 
 
-def good(text, lang):
+def histograms(text, lang):
+    counts = [len(re.findall(p, text)) for p in quality.RARE_CLASSES]
+    words = [w.lower() for w in SPACED.findall(text)]
+    common = [words.count(w) for w in quality.COMMON_WORDS[lang].split()]
+    return [len(text) - sum(counts), *counts], [*common, len(words) - sum(common)]
+
+
+def shares(counts):
+    return [c / sum(counts) for c in counts]
+
+
+def near(text, lang, references):
+    """Whether the two distances, each where its guard is reached, are within their limits."""
+    chars, common = histograms(text, lang)
+    if len(text) >= 400 and distance(shares(chars), references[lang][0]) > 0.15 + 1.6 / len(text) ** 0.5:
+        return False
+    return sum(common) < 80 or distance(shares(common), references[lang][1]) <= 0.38
+
+
+def measured(docs):
+    out = dict(quality.SEEDS)
+    for lang in out:
+        own = [histograms(t, lang) for _, t, own in docs if own == lang and t and len(t) >= 400 and len(SPACED.findall(t)) >= 80 and near(t, lang, quality.SEEDS)]
+        mixed = []
+        for k, weight in enumerate((quality.SEED_CHARS, quality.SEED_WORDS)):
+            total = [sum(x) for x in zip(*(h[k] for h in own))] or [0] * len(quality.SEEDS[lang][k])
+            mixed.append([(n + weight * s) / (sum(total) + weight) for n, s in zip(total, quality.SEEDS[lang][k])])
+        out[lang] = tuple(mixed)
+    return out
+
+
+def good(text, lang, references):
     n, _, _, _, repeated = signals(text)
     if n < 20 or 100 * repeated > 30 * n:
         return False
-    if lang not in quality.COMMON_WORDS:
-        return True
-    if len(text) >= 1000:
-        counts = [len(re.findall(p, text)) for p in quality.RARE_CLASSES]
-        shares = [(len(text) - sum(counts)) / len(text), *(c / len(text) for c in counts)]
-        if distance(shares, quality.CHAR_SHARES[lang]) > 0.20:
-            return False
-    if n >= 80:
-        words = [w.lower() for w in SPACED.findall(text)]
-        own = quality.COMMON_WORDS[lang].split()
-        shares = [words.count(w) / n for w in own]
-        if distance([*shares, 1 - sum(shares)], quality.common_shares(len(own))) > 0.38:
-            return False
-    return True
+    return lang not in quality.COMMON_WORDS or near(text, lang, references)
 
 
 def brute(docs, items):
     library = sentencepiece.SentencePieceProcessor(model_file=piece.default_model())
-    kept = [(i, t or "", lang) for i, t, lang in docs if good(t or "", lang)]
+    references = measured(docs)
+    kept = [(i, t or "", lang) for i, t, lang in docs if good(t or "", lang, references)]
     label, _ = grouped(kept, 5, 80)
     kept = [r for r in kept if label[r[0]] == r[0]]
     kept = [r for r in kept if not decontaminated(r[1], items)[1]]

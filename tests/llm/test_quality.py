@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -10,6 +11,8 @@ PLAIN = (
     "The cat of the house is in the garden and it was with a dog that is for the day on as be by to "
     "run and to play in a field of grass, and the sun was on it. "
 ) * 12
+_name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i + 1000))
+PROSE = " ".join(f"{w} {_name(i)}" for i, w in enumerate(PLAIN.split()))
 TABLE = "".join(f"| w{i}x | q{i} | {i * 37} | $ % & * # |\n" for i in range(120))
 
 
@@ -41,11 +44,10 @@ def test_base_counts(spark):
 
 
 def test_distances_tell_junk_from_prose(spark):
-    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i + 1000))
-    prose = " ".join(f"{w} {name(i)}" for i, w in enumerate(PLAIN.split()))
+    prose = PROSE
     rows = [(1, prose, "en"), (2, TABLE, "en"), (3, prose, None), (4, prose, "xx"), (5, "short but fine " * 1, "en")]
     got = {r["doc_id"]: r["q"] for r in quality.judge(documents(spark, rows), into="q").collect()}
-    assert got[1]["char_distance"] < 0.2 < got[2]["char_distance"]
+    assert got[1]["char_distance"] < 0.15 + 1.6 / len(prose) ** 0.5 and got[2]["char_distance"] > 0.15 + 1.6 / len(TABLE) ** 0.5
     assert got[2]["word_distance"] > got[1]["word_distance"]
     assert not got[2]["kept"]
     for i in (3, 4):
@@ -67,5 +69,24 @@ def test_distance_is_jensen_shannon(spark):
     assert got == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
 
 
+def test_references_are_those_of_the_corpus(spark):
+    """Pooled counts of the texts that are near the seeds, whatever junk stands beside them and however rows are dealt out."""
+    rows = [(i, PROSE[i:], "en") for i in range(6)] + [(10 + i, TABLE, "en") for i in range(20)] + [(40, "kurz", "de"), (41, None, "en"), (42, PLAIN, "xx")]
+    df = documents(spark, rows)
+    got = quality.references(df)
+    assert got["de"] == quality.SEEDS["de"]
+    near = [t for _, t, lang in rows[:6]]
+    chars = [sum(map(len, near)) - sum(len(re.findall(p, t)) for t in near for p in quality.RARE_CLASSES)]
+    chars += [sum(len(re.findall(p, t)) for t in near) for p in quality.RARE_CLASSES]
+    words = [w.lower() for t in near for w in SPACED.findall(t)]
+    own = quality.COMMON_WORDS["en"].split()
+    common = [words.count(w) for w in own]
+    common.append(len(words) - sum(common))
+    for counts, seed, weight, have in zip((chars, common), quality.SEEDS["en"], (quality.SEED_CHARS, quality.SEED_WORDS), got["en"]):
+        assert have == pytest.approx([(n + weight * s) / (sum(counts) + weight) for n, s in zip(counts, seed)])
+    assert quality.references(df.repartition(3, "text")) == got
+    assert quality.references(df.limit(0)) == quality.SEEDS
+
+
 def test_empty_table(spark):
     assert quality.judge(documents(spark, [])).count() == 0
