@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word of the whitespace kind: everything but space and the controls 09 to 0D.
@@ -25,3 +25,11 @@ def js_distance(p: Column, q: Column) -> Column:
 
     terms = F.zip_with(p, q, lambda a, b: (half(a, b) + half(b, a)) / 2)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stash import stash
+from .keys import keyed, small
+from .stash import drop, stash
 from .textscan import FOLD, LETTERED, U64, grams, hashes, pieces, within, words
 
 WINDOW = 10
@@ -28,9 +29,6 @@ BITMAP = 24
 #: Rows of benchmark hashes that are broadcast at most, under 200 bytes each; beyond, the join is by shuffle.
 BROADCAST_ROWS = 1 << 16
 
-#: Ids that are broadcast at most, 8 bytes each.
-BROADCAST_IDS = 1 << 21
-
 _CAND = "array<struct<hash: bigint, at: bigint, lead: int, near: array<bigint>>>"
 
 
@@ -231,13 +229,13 @@ def clean(
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """docs without the documents that :func:`scan` finds hits in, all columns as they are.
+    """docs without the rows that :func:`scan` finds hits in, all columns as they are.
 
-    Rows with one id stand or fall together; rows with a null id go by their text. Ids to drop are broadcast while they
-    are few, else joined by shuffle.
+    Each row goes by its own text: of rows with one id only those with a hit fall, and rows with a null id go by their
+    text alone. Ids to drop are broadcast while they are few, else joined by shuffle.
     """
-    key = F.coalesce(F.col(id).cast("long"), F.xxhash64(text))
-    found = scan(docs.select(key.alias("__key"), F.col(text).alias("__text")), items, "__key", "__text", item_id, item_text)
-    gone = stash(found.filter(F.size("spans") > 0).select("__key").distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*docs.columns)
+    rows, key, _ = keyed(docs, id, text)
+    rows = rows.withColumn(key, F.coalesce(key, F.xxhash64(text)))
+    found = scan(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), items, "key", "text", item_id, item_text)
+    gone = stash(found.filter(F.size("spans") > 0).select(F.col("key").alias(key)).distinct())
+    return rows.join(small(gone), key, "left_anti").select(*docs.columns)

@@ -28,9 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import BROADCAST_IDS, keyed, small
 from .rows import groups
 from .stash import drop, stash
 from .textscan import SPACED, U64, grams, hashes, mix, pieces, within, words
@@ -39,10 +40,10 @@ PERMUTATIONS = 128
 ROWS = 4
 BANDS = PERMUTATIONS // ROWS
 BITS = 4
-#: Ids that are broadcast at most, 8 bytes each.
-BROADCAST_IDS = 1 << 21
 #: Classes of a bucket or cell that one task takes.
 SPLIT = 4096
+#: Pairs of one hub that get a copy of the hub's row to themselves.
+SHARE = 1024
 
 _SEEDS = mix(np.arange(1, PERMUTATIONS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _LOW = U64(0x1111111111111111)
@@ -296,16 +297,20 @@ def confirm(pairs: DataFrame, docs: DataFrame, id: str, text: str, size: int, pe
 
     ids = stash(pairs.select(F.col("a").alias(id)).union(pairs.select("b")).distinct(), 10_000)
     # whole texts are not shuffled while the ids are few; beyond, the join deals both out by id
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = docs.select(F.col(id).cast("long").alias(id), text).join(ids, id, "left_semi")
+    wanted = docs.select(F.col(id).cast("long").alias(id), text).join(small(ids), id, "left_semi")
     # the same text again gives the same set; other texts under one id stay, each with its own set
     of = stash(wanted.mapInArrow(sets, "rep long, set binary").dropDuplicates(["rep", "set"]))
-    joined = pairs.join(of.select(F.col("rep").alias("a"), F.col("set").alias("left")), "a").join(
-        of.select(F.col("rep").alias("b"), F.col("set").alias("right")), "b"
-    )
+    # a hub of many pairs has its set once for each share of them
+    heavy = stash(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")).filter("shares > 1"), 10_000)
+    shared = small(heavy)
+    dealt = pairs.join(shared, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1)))).drop("shares")
+    hubs = of.select(F.col("rep").alias("a"), F.col("set").alias("left")).join(shared, "a", "left")
+    hubs = hubs.select("a", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+    joined = dealt.join(hubs, ["a", "share"]).join(of.select(F.col("rep").alias("b"), F.col("set").alias("right")), "b")
     out = "a long, b long, n_a long, n_b long, linked boolean, delta binary"
     done = stash(joined.select("a", "b", "left", "right").mapInArrow(exact, out), 100)
-    drop(of)
+    for made in (ids, of, heavy):
+        drop(made)
     return done
 
 
@@ -359,7 +364,13 @@ def _blocks(members: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
         F.ceil((F.col("all") - F.col("most")) / SPLIT).alias("blocks"),
     )
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    mixed = placed.join(cells, "hub").withColumn("guest", F.col("label") != F.col("main"))
+    few = stash(cells, 10_000)
+    if few.count() <= BROADCAST_IDS:
+        mixed = placed.join(F.broadcast(few), "hub")
+    else:  # a cell's rows are dealt out over as many tasks as it has parts
+        own_part = F.pmod(F.xxhash64("rep"), F.lit(64))
+        mixed = placed.withColumn("deal", own_part).join(few.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))), ["hub", "deal"])
+    mixed = mixed.withColumn("guest", F.col("label") != F.col("main"))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     keep = ("rep", "label", *columns)
     seats = mixed.select("hub", own("parts").alias("part"), F.explode(upto("blocks")).alias("block"), F.lit(False).alias("guest"), *keep)
@@ -390,13 +401,13 @@ def link(
             F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
         )
     )
-    key = Window.partitionBy("key")
+    keys = classes.select("rep", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).filter("n > 1")
     buckets = stash(
-        classes.select("rep", F.explode("keys").alias("key"))
-        .select("rep", "key", F.count("*").over(key).alias("n"), F.min("rep").over(key).alias("low"))
-        .filter("n > 1")
+        keys.join(shared, "key")
         .withColumn("parts", F.ceil(F.col("n") / SPLIT))
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        .select("rep", "key", "low", "parts", "part")
     )
     sigs = classes.select("rep", "sig")
     guests = buckets.filter("parts > 1 and rep = low").select(
@@ -412,24 +423,30 @@ def link(
         .select("key", "part", "rep", "sig")
     )
     pairs = stash(first.mapInArrow(_cells(least), "a long, b long").distinct(), 10_000)
-    tested = confirm(pairs, docs, id, text, shingle, percent)
+    made = [rows, classes, buckets, pairs]
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(df)
+        return df
+
+    tested = keep(confirm(pairs, docs, id, text, shingle, percent))
     links = tested.filter("linked").select("a", "b")
-    labels = components(links)
-    extra = stash(_mixed(tested, labels).mapInArrow(_bridges(percent), "a long, b long"))
+    labels = keep(components(links))
+    extra = keep(stash(_mixed(tested, labels).mapInArrow(_bridges(percent), "a long, b long")))
     if extra.limit(1).count():
         links = links.union(extra)
-        labels = components(links)
+        labels = keep(components(links))
     wide = buckets.filter("parts > 1").select(F.col("low").alias("hub"), "rep").distinct().join(sigs, "rep")
-    across = stash(_blocks(wide, labels, "sig").mapInArrow(_reached(least), "a long, b long").distinct(), 10_000)
+    across = keep(stash(_blocks(wide, labels, "sig").mapInArrow(_reached(least), "a long, b long").distinct(), 10_000))
     if across.limit(1).count():
-        tested = confirm(across, docs, id, text, shingle, percent)
+        tested = keep(confirm(across, docs, id, text, shingle, percent))
         links = links.union(tested.filter("linked").select("a", "b"))
-        labels = components(links)
+        labels = keep(components(links))
         extra = _mixed(tested, labels).mapInArrow(_bridges(percent), "a long, b long")
-        labels = components(links.union(extra))
+        labels = keep(components(links.union(extra)))
     of = classes.select("one", "two", "rep").join(labels, "rep", "left")
     of = of.select("one", "two", F.coalesce("label", "rep").alias("label"))
-    return (
+    out = stash(
         rows.select("id", F.col("n").alias("n_shingles"), "one", "two")
         .join(of, ["one", "two"], "left")
         .select(
@@ -439,26 +456,27 @@ def link(
                 "component_id"
             ),
         )
-        .withColumn("kept", F.col("component_id").isNull() | (F.col(id) == F.col("component_id")))
+        .withColumn("kept", F.col("component_id").isNull() | (F.col(id) == F.col("component_id"))),
+        10_000,
     )
+    for df in made:
+        drop(df)
+    return out
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one document of each component, all columns as they are.
+    """docs without all but one row of each component, all columns as they are.
 
-    The document with the smallest id stays. Of rows with one id, the one with the smallest text stays; rows with a null id
+    The row with the smallest id stays. Rows with one id and different texts are documents of their own, each linked by its text, and
+    have a hash of id and text in the id's place; of rows with the same id and text one stays. Rows with a null id
     stay. Ids to drop are broadcast while they are few, else joined by shuffle.
     """
-    found = stash(link(docs, id, text, shingle, percent).select(id, "kept"), 10_000)
-    named = found.filter(F.col(id).isNotNull())
-    gone = named.filter("not kept").select(id).distinct()
-    twice = named.filter("kept").groupBy(id).agg(F.count("*").alias("n")).filter("n > 1").select(id)
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, id, "left_anti").select(*docs.columns)
-    if not twice.limit(1).count():
-        return left
-    again = left.join(twice, id, "left_semi").select(*docs.columns)
-    order = Window.partitionBy(id).orderBy(F.col(text).asc_nulls_first())
-    one = again.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").select(*docs.columns)
-    return left.join(twice, id, "left_anti").select(*docs.columns).union(one)
+    rows, key, again = keyed(docs, id, text)
+    found = link(rows, key, text, shingle, percent)
+    gone = small(found.filter("not kept").select(key).distinct())
+    left = rows.join(gone, key, "left_anti")
+    if not left.filter(again).limit(1).count():
+        return left.select(*docs.columns)
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    several = left.filter(again).groupBy(key).agg(one).select("row.*")
+    return left.filter(~F.col(again)).select(*docs.columns).union(several)

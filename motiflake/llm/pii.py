@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import let, unused
 
 ROUNDS = 5
 #: Symbols that one network permutes; longer strings go in pieces.
@@ -284,37 +284,38 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "pse
     searched = lambda source: F.transform(F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)), one)
     split = lambda source: F.split(source, PATTERN, -1)
     told = lambda d: F.struct(d["kind"].alias("kind"), d["value"].alias("value"))
+    done_, split_, gaps_, again_, new_ = (unused(docs, f"__pii_{n}") for n in ("done", "split", "gaps", "again", "new"))
     # step by step: matches, gaps with the tails before them, what is found in those gaps, and all put together
-    rows = docs.withColumn("__pii_done", searched(F.col(text))).withColumn("__pii_split", split(F.col(text)))
+    rows = docs.withColumn(done_, searched(F.col(text))).withColumn(split_, split(F.col(text)))
 
     def gap(g: Column, i: Column) -> Column:
-        tail = F.coalesce(F.get("__pii_done", i - 1)["tail"], F.lit(""))
+        tail = F.coalesce(F.get(done_, i - 1)["tail"], F.lit(""))
         return F.struct(F.concat(tail, g).alias("text"), (tail != "").alias("again"))
 
-    rows = rows.withColumn("__pii_gaps", F.transform("__pii_split", gap))
+    rows = rows.withColumn(gaps_, F.transform(split_, gap))
     none = F.array().cast("array<struct<kind: string, value: string, tail: string>>")
     again = lambda w: F.when(w["again"], searched(w["text"])).otherwise(none)
-    rows = rows.withColumn("__pii_again", F.transform("__pii_gaps", again))
+    rows = rows.withColumn(again_, F.transform(gaps_, again))
 
     def woven(gaps: Column, values: Column) -> Column:
         return F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
 
     def filled(w: Column, i: Column) -> Column:
-        values = F.transform(F.get("__pii_again", i), lambda d: F.concat(d["value"], d["tail"]))
+        values = F.transform(F.get(again_, i), lambda d: F.concat(d["value"], d["tail"]))
         return F.when(w["again"], woven(split(w["text"]), values)).otherwise(w["text"])
 
-    whole = woven(F.transform("__pii_gaps", filled), F.transform("__pii_done", lambda d: d["value"]))
+    whole = woven(F.transform(gaps_, filled), F.transform(done_, lambda d: d["value"]))
     found = F.transform(
-        "__pii_again", lambda n, i: F.transform(F.concat(n, F.slice("__pii_done", i + 1, F.lit(1))), told)
+        again_, lambda n, i: F.transform(F.concat(n, F.slice(done_, i + 1, F.lit(1))), told)
     )
     found = F.filter(F.flatten(found), lambda d: d["kind"].isNotNull())
     new = F.struct(
-        F.when(F.size("__pii_done") > 0, whole).otherwise(F.col(text)).alias("text"), found.alias("found")
+        F.when(F.size(done_) > 0, whole).otherwise(F.col(text)).alias("text"), found.alias("found")
     )
-    out = rows.withColumn("__pii", F.when(F.col(text).isNotNull(), new)).drop(
-        "__pii_done", "__pii_split", "__pii_gaps", "__pii_again"
+    out = rows.withColumn(new_, F.when(F.col(text).isNotNull(), new)).drop(
+        done_, split_, gaps_, again_
     )
     none = F.array().cast("array<struct<kind: string, value: string>>")
     return (
-        out.withColumn(text, F.col("__pii.text")).withColumn(into, F.coalesce("__pii.found", none)).drop("__pii")
+        out.withColumn(text, F.col(f"{new_}.text")).withColumn(into, F.coalesce(f"{new_}.found", none)).drop(new_)
     )

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 A written table cuts lineage and survives lost executors, and is read back by column. The folder is the one in
-``spark.checkpoint.dir``; only where no such setting exists, as in tests, a folder of the local machine is set.
+``spark.checkpoint.dir``; only where no such setting exists and all runs on one machine, as in tests, a local folder is set.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
         named = tempfile.mkdtemp(prefix="motiflake-")
         context.setCheckpointDir(named)
     return named

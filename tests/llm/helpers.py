@@ -41,6 +41,6 @@ def documents(spark, rows, extra: bool = True):
 
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     if extra:
-        for name in ("id", "row", "key", "rep", "words", "n_words", "kept", "spans", "quality", "block", "ids"):
+        for name in ("id", "row", "key", "rep", "words", "n_words", "kept", "spans", "quality", "block", "ids", "__key", "__again", "__quality", "__secrets", "__pii_done"):
             df = df.withColumn(name, F.lit(None).cast("string"))
     return df

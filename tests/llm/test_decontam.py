@@ -71,6 +71,8 @@ def test_clean(spark):
     left = decontam.clean(df, items)
     assert left.columns == df.columns
     assert sorted(str((r["doc_id"], r["text"])) for r in left.collect()) == sorted(str(x) for x in [(2, "clean"), (2, "clean"), (None, "fine"), (3, None)])
+    several = documents(spark, [(1, passage, "en"), (1, "fine", "en"), (1, "fine too", "en"), (2, "fine", "en")])
+    assert sorted(r["text"] for r in decontam.clean(several, items).collect()) == ["fine", "fine", "fine too"]
     none = items.limit(0)
     assert decontam.clean(df, none).count() == len(rows)
     assert decontam.scan(documents(spark, []), items).count() == 0

@@ -110,6 +110,29 @@ def test_repeated_ids_nulls_and_keep_one(spark):
     assert minhash.link(documents(spark, [])).count() == 0
 
 
+def test_one_id_on_several_texts(spark, monkeypatch):
+    """Texts of one id are documents of their own: only near copies go, whichever id they have."""
+    from motiflake.llm import keys
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a"), "en"), (1, text("b"), "en"), (1, text("b") + " x", "en"), (1, text("c"), "en"), (1, text("c"), "en"), (2, text("a"), "en"), (3, text("d"), "en"), (1, None, "en")]
+    for most in (keys.BROADCAST_IDS, 0):
+        monkeypatch.setattr(keys, "BROADCAST_IDS", most)
+        left = minhash.keep_one(documents(spark, rows))
+        assert left.columns == documents(spark, rows).columns
+        kinds = sorted("" if r["text"] is None else r["text"][0] for r in left.collect())
+        assert kinds == ["", "a", "b", "c", "d"]
+
+
+def test_pairs_of_a_hub_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHARE", 4)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    rng = random.Random(9)
+    rows = [(i, t, "en") for i, t in enumerate(copies(rng, [f"w{i}" for i in range(120)], 80, 12))]
+    want, _ = brute(rows, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.link(documents(spark, rows), shingle=3, percent=85).collect()} == want
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**63, 3000).astype(U64)
