@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import TEMPLATES
+from . import urls
 
 FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -42,18 +43,20 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, n.doc_id = c.compone
 FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
-OP4 = r"""
+OP4 = rf"""
 WITH r(verdict, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'),
   ('block', 'example.net/de/8'), ('block', 'org/es/')),
 rules AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, length(split_part(rule, '/', 1)) + 1) AS rp FROM r),
 rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-m AS (SELECT page_id, max_by({'rule': rule, 'verdict': verdict}, [length(rule), length(rh)]) AS best
+m AS (SELECT page_id, max_by({{'rule': rule, 'verdict': verdict}}, [length(rule), length(rh)]) AS best
   FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-b(h) AS (VALUES ('casino-win.example.com'), ('cheap-pills.example.com'), ('free-bets.example.com'))
+w(t, l, e) AS (SELECT unnest(string_split('{' '.join(urls.TRADES)}', ' ')), l, e FROM (SELECT unnest(string_split('{' '.join(urls.LURES)}', ' ')) AS l), (SELECT unnest(string_split('{' '.join(urls.ENDINGS)}', ' ')) AS e)),
+b(h) AS (SELECT t || '-' || l || '.' || e FROM w UNION ALL SELECT l || '-' || t || '.' || e FROM w),
+x(page_id) AS (SELECT DISTINCT page_id FROM (SELECT page_id, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS h FROM p) JOIN b USING (h))
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict,
-  CASE WHEN EXISTS (SELECT 1 FROM b WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+  CASE WHEN page_id IN (SELECT page_id FROM x) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m USING (page_id)
 """
 

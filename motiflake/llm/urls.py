@@ -1,9 +1,9 @@
 """URL filters over a sorted digest array.
 
 Rules and blocked hosts become 64-bit xxhash keys in one sorted array, next to the full strings, in a file that Spark ships
-once to each executor and that tasks map into memory. A url's candidate keys (each parent domain with each prefix of its
-path that has the length of some rule's) are probed together by binary search, and a hit counts only if the stored string
-is the candidate's. The file is bounded by ``MAX_BYTES``; larger lists are a table, and :func:`judge_joined` joins it.
+once to each executor and that tasks map into memory. Urls are cut by array functions, and those of one host and path prefix are
+looked up once a batch: their candidate keys (each parent domain with each prefix of the path that has the length of some
+rule's) are probed together by binary search, and a hit counts only if the stored string is the candidate's. The file is bounded by ``MAX_BYTES``; larger lists are a table, and :func:`judge_joined` joins it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,19 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-#: Hosts blocked with their subdomains where no rule decides; a list for trials, to be replaced by a maintained one.
-BLOCKED_HOSTS = ("casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com")
+# What spam hosts are named by.
+TRADES = "casino poker slots bets lottery pills meds loans credit crypto replica watches dating escort torrent warez".split()
+LURES = "win online free cheap best now club deals bonus express vip pro direct instant fast live".split()
+ENDINGS = ("com", "net", "org", "info", "biz", "top", "xyz", "example.com", "example.net", "example.org")
+
+
+def spam_hosts(trades: Iterable[str] = TRADES, lures: Iterable[str] = LURES, endings: Iterable[str] = ENDINGS) -> list[str]:
+    """Hosts of a trade and a lure, in either order, under each ending."""
+    return [f"{name}.{end}" for t in trades for w in lures for name in (f"{t}-{w}", f"{w}-{t}") for end in endings]
+
+
+#: Hosts blocked with their subdomains where no rule decides: made by rule, to be replaced by a maintained list.
+BLOCKED_HOSTS = tuple(spam_hosts())
 MAX_BYTES = 256 << 20
 _KINDS = ("allow", "block", "host")
 
@@ -116,18 +128,11 @@ def ship(spark: SparkSession, rules: Iterable[tuple[str, str]], hosts: Iterable[
     return name
 
 
-def split(url: str | None) -> tuple[str, str]:
-    """Host and path as the base defines them."""
-    _, mark, rest = (url or "").partition("://")
-    if not mark:
-        return "", ""
-    end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
-    stop = min((i for i in (rest.find(c, end) for c in "?#") if i >= 0), default=len(rest))
-    host = rest[:end].encode().translate(_LOWER).decode()
-    return host, rest[end:stop]
-
-
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+def split(urls: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Hosts and paths as the base defines them."""
+    cut = pc.extract_regex(urls.cast(pa.string()), r"(?s)^.*?://(?P<host>[^/?#]*)(?P<path>[^?#]*)")
+    part = lambda name: pc.fill_null(pc.struct_field(cut, name), "")
+    return pc.ascii_lower(part("host")), part("path")
 
 
 def parents(host: str) -> list[str]:
@@ -148,28 +153,30 @@ def judge(
     A rule (verdict, ``host/path``) fits its host and all subdomains where the url's path starts with the rule's. Of those that
     fit, the longest string decides; of equally long ones, the one with the longer host. Without one, rule is null, and a
     url is blocked if its host or a parent domain is among hosts, else allowed. A url that is null or has no ``://`` has an
-    empty host and path, and is allowed. Rows are judged one by one, without a shuffle; other columns are not read.
+    empty host and path, and is allowed. Rows are judged one by one, without a shuffle; other columns are not read; ids that
+    are no whole numbers raise.
     """
     spark = pages.sparkSession
     name = ship(spark, list(rules), list(hosts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _shipped(name)
+        longest = max(digest.lengths, default=0)
         for batch in batches:
-            places = [split(u) for u in batch.column(url).to_pylist()]
+            host, path = split(batch.column(url))
+            # a host has no slash and a path begins with one, so the two can be told apart in one string
+            cases = pc.binary_join_element_wise(host, pc.utf8_slice_codeunits(path, 0, longest), "").dictionary_encode()
             candidates: list[str] = []
             owner: list[int] = []
-            for i, (host, path) in enumerate(places):
-                for parent in parents(host):
-                    for n in digest.lengths:
-                        if n <= len(path):
-                            candidates.append(parent + path[:n])
-                            owner.append(i)
-                    candidates.append(f"#{parent}")
-                    owner.append(i)
+            for i, case in enumerate(cases.dictionary.to_pylist()):
+                own, slash, rest = case.partition("/")
+                for parent in parents(own):
+                    tried = [parent + (slash + rest)[:n] for n in digest.lengths if n <= len(slash + rest)]
+                    candidates += [*tried, f"#{parent}"]
+                    owner += [i] * (len(tried) + 1)
             found = digest.find(candidates)
-            rule: list[str | None] = [None] * len(places)
-            verdict = ["allow"] * len(places)
+            rule: list[str | None] = [None] * len(cases.dictionary)
+            verdict = ["allow"] * len(cases.dictionary)
             for c in np.flatnonzero(found >= 0).tolist():
                 i, text, kind = owner[c], candidates[c], int(digest.kinds[found[c]])
                 if kind == 2:
@@ -178,43 +185,48 @@ def judge(
                 # a parent's candidates come after its children's, so of equal lengths the longer host stays
                 elif rule[i] is None or len(text) > len(rule[i]):
                     rule[i], verdict[i] = text, _KINDS[kind]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id).cast(pa.int64()),
-                    pa.array([h for h, _ in places], pa.string()),
-                    pa.array([p for _, p in places], pa.string()),
-                    pa.array(rule, pa.string()),
-                    pa.array(verdict, pa.string()),
-                ],
-                ["id", "host", "path", "rule", "verdict"],
-            )
+            columns = [pa.array(x, pa.string()).take(cases.indices) for x in (rule, verdict)]
+            yield pa.RecordBatch.from_arrays([batch.column(id).cast(pa.int64()), host, path, *columns], ["id", "host", "path", "rule", "verdict"])
 
     out = pages.select(id, url).mapInArrow(run, "id long, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("id", id)
 
 
 def judge_joined(
-    pages: DataFrame, rules: DataFrame, lengths: list[int], id: str = "page_id", url: str = "url"
+    pages: DataFrame,
+    rules: DataFrame,
+    hosts: DataFrame,
+    lengths: list[int] | None = None,
+    id: str = "page_id",
+    url: str = "url",
 ) -> DataFrame:
-    """As :func:`judge`, for rule lists of any size: rules is a table (verdict, rule), lengths the lengths that its paths
-    have (a blocked host is a rule without a path). Candidates are joined with it by shuffle. One row per row."""
+    """As :func:`judge`, for lists of any size: rules is a table (verdict, rule), hosts one of blocked hosts (host), lengths the
+    lengths that the rules' paths have (found out if not given; they are few). Each different pair of a host and a path
+    prefix is looked up once, so a common host is no hot key of the joins with the lists. One row per row."""
+    if lengths is None:
+        slash = F.instr("rule", "/")
+        told = rules.select(F.when(slash > 0, F.char_length("rule") - slash + 1).otherwise(0).alias("n")).distinct()
+        lengths = sorted(r["n"] for r in told.collect())
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), upper, lower)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    split_up = pages.select(F.monotonically_increasing_id().alias("row"), id, host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id).cast("long").alias("id"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("prefix", F.substring("path", 1, max(lengths, default=0)))
+    cases = rows.select("host", "prefix").filter("host <> ''").distinct()
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    tried = F.flatten(
-        F.transform(
-            F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.char_length("path")),
-            lambda n: F.transform(above, lambda h: F.concat(h, F.substring("path", F.lit(1), n))),
-        )
-    )
-    candidates = split_up.filter("host <> ''").select("row", F.explode(tried).alias("rule"))
-    met = candidates.join(rules, "rule").groupBy("row")
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("prefix"))
+    tried = F.flatten(F.transform(fitting, lambda n: F.transform(above, lambda h: F.concat(h, F.substring("prefix", F.lit(1), n)))))
     size = F.struct(F.char_length("rule"), F.char_length(F.substring_index("rule", "/", 1)))
-    best = met.agg(F.max_by(F.struct("rule", "verdict"), size).alias("best"))
-    return split_up.join(best, "row", "left").select(
-        id, "host", "path", "best.rule", F.coalesce("best.verdict", F.lit("allow")).alias("verdict")
+    met = cases.select("host", "prefix", F.explode(tried).alias("rule")).join(rules.select("verdict", "rule"), "rule")
+    best = met.groupBy("host", "prefix").agg(F.max_by(F.struct("rule", "verdict"), size).alias("best"))
+    parent = cases.select("host").distinct().select("host", F.explode(above).alias("parent"))
+    blocked = parent.join(hosts.select(F.lower("host").alias("parent")).distinct(), "parent", "left_semi").select("host").distinct()
+    told = cases.join(best, ["host", "prefix"], "left").join(blocked.withColumn("bad", F.lit(True)), "host", "left")
+    told = told.select(
+        "host", "prefix", "best.rule", F.coalesce("best.verdict", F.when(F.col("bad"), "block"), F.lit("allow")).alias("verdict")
+    )
+    return rows.join(told, ["host", "prefix"], "left").select(
+        F.col("id").alias(id), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")
     )

@@ -41,8 +41,17 @@ def test_against_brute_force(spark):
 
 def test_joined_form_agrees(spark):
     rules = spark.createDataFrame(list(urls.RULES), "verdict string, rule string")
-    own = sorted(map(str, urls.judge(pages(spark), urls.RULES, []).collect()))
-    assert sorted(map(str, urls.judge_joined(pages(spark), rules, [4, 5]).collect())) == own
+    hosts = spark.createDataFrame([(h,) for h in urls.BLOCKED_HOSTS], "host string")
+    own = sorted(map(str, urls.judge(pages(spark)).collect()))
+    assert sorted(map(str, urls.judge_joined(pages(spark), rules, hosts).collect())) == own
+    assert "block" in str(own) and "casino-win" in str(own)
+    none = urls.judge_joined(pages(spark), rules.limit(0), hosts.limit(0))
+    assert none.count() == len(URLS) and {r["verdict"] for r in none.collect()} == {"allow"}
+
+
+def test_hosts_made_by_rule():
+    assert len(set(urls.BLOCKED_HOSTS)) == 2 * len(urls.TRADES) * len(urls.LURES) * len(urls.ENDINGS)
+    assert {"casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com"} <= set(urls.BLOCKED_HOSTS)
 
 
 def test_collisions_are_told_apart(tmp_path, monkeypatch):
