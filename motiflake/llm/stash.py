@@ -38,6 +38,23 @@ def stash(df: DataFrame, batch: int = 1000) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_by(df: DataFrame, column: str, batch: int = 1) -> DataFrame:
+    """As :func:`stash`, but kept apart by the hash of a column into as many parts as shuffles have: a join or grouping on that
+    column reads it where it lies, so that wide rows are not shuffled."""
+    spark = df.sparkSession
+    name = f"stash_{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/stash-{name}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(batch))
+    try:
+        df.write.bucketBy(parts, column).option("path", path).format("parquet").saveAsTable(name)
+    finally:
+        spark.conf.set(conf, before)
+    return spark.table(name)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a stashed table that nothing reads any more."""
     spark = df.sparkSession
@@ -46,3 +63,5 @@ def drop(df: DataFrame) -> None:
         if "/stash-" in path:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if "/stash-stash_" in path:
+            spark.sql(f"DROP TABLE IF EXISTS {path.rpartition('/stash-')[2]}")

@@ -84,6 +84,55 @@ def test_states_help_on_held_out_texts(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def plain_scores(rows, states, rounds):
+    """The whole training by plain recursions, text by text; every word is frequent enough for a class of its own."""
+    import pyarrow as pa
+
+    from motiflake.llm.textscan import hashes, words
+
+    texts = [[*spaced(t), "\n"] for _, t, _ in rows]
+    train = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for i, _, _ in rows]
+    c = Counter(w for x, own in zip(texts, train) if own for w in x)
+    ends = c.pop("\n")
+    hashed = lambda w: int(hashes(words(pa.array([w])))[0].view(np.int64))
+    listed = sorted(c, key=lambda w: (-c[w], hashed(w)))
+    number = {"\n": 0, **{w: 1 + i for i, w in enumerate(listed)}}
+    kinds = [[number.get(w, hmm.UNKNOWN) for w in x] for x in texts]
+    count = np.zeros(hmm.CLASSES)
+    count[0] = ends
+    for w in listed:
+        count[number[w]] = c[w]
+    spare = np.where(count > 0, 0.5, 0.0)
+    spare[hmm.UNKNOWN] = 0.5
+    prior = (count + spare) / (count + spare).sum()
+    model = hmm.begin_with(prior, states)
+    for r in range(rounds):
+        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
+        for x, own in zip(kinds, train):
+            if own:
+                _, g, mv, em = simple(model, x)
+                start, move, emit = start + g, move + mv, emit + em
+        if r < rounds - 1:
+            model = hmm.fit(hmm.Model(start, move, emit), prior, spare)
+    part = (emit.sum(axis=0) + 1) / (emit.sum() + states)
+    last = emit + spare[:, None] * part + hmm.PRIOR * prior[:, None]
+    model = hmm.Model((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True), last / last.sum(axis=0))
+    assert model.emit.sum(axis=0) == pytest.approx(np.ones(states))
+    return [simple(model, x)[0] for x in kinds]
+
+
+@pytest.mark.parametrize("states,rounds", [(4, 3), (2, 1)])
+def test_scores_are_those_of_plain_training(spark, monkeypatch, states, rounds):
+    monkeypatch.setattr(hmm, "BLOCK", 2048)
+    monkeypatch.setattr(hmm, "RANGE", 50)  # several ranges of words
+    monkeypatch.setattr(hmm, "PIECE", 16)
+    rows = [(1000 + i, t, "en") for i, (_, t, _) in enumerate(corpus()) if t is None or len(t) < 400][:150]
+    want = plain_scores(rows, states, rounds)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(documents(spark, rows).repartition(3), states=states, rounds=rounds).collect()}
+    for (i, _, _), x in zip(rows, want):
+        assert got[i] == pytest.approx(x, rel=2e-3), i
+
+
 def test_empty_and_untrained(spark):
     assert hmm.score(documents(spark, [])).count() == 0
     held = next(i for i in range(100) if hmm.is_held_out(i))
