@@ -32,7 +32,7 @@ from .rows import groups
 from .stash import drop, stash, stash_by
 from .textscan import FOLD, SPACED, U64, hashes, mix, pieces, words
 
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: Tokens that a recursion takes one after another; longer texts are cut, and their pieces run side by side.
 PIECE = 1024
 OWN = 8192
