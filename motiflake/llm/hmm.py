@@ -38,7 +38,7 @@ PIECE = 1024
 OWN = 8192
 SUFFIXES = 4096
 #: Words of blocks that a range of hashes has.
-RANGE = 1 << 20
+RANGE = 1 << 18
 #: Lists of frequent words that one task merges.
 MERGE = 64
 #: 0 is the end, then come the words with a class of their own, the suffixes, and words that training lacks.

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PARTS = 4
+
 
 def folder(spark: SparkSession) -> str:
     context = spark.sparkContext
@@ -39,12 +41,12 @@ def stash(df: DataFrame, batch: int = 1000) -> DataFrame:
 
 
 def stash_by(df: DataFrame, column: str, batch: int = 1) -> DataFrame:
-    """As :func:`stash`, but kept apart by the hash of a column into as many parts as shuffles have: a join or grouping on that
-    column reads it where it lies, so that wide rows are not shuffled."""
+    """As :func:`stash`, but kept apart by the hash of a column into ``PARTS`` times as many parts as shuffles have: a join on that
+    column reads it where it lies, so that wide rows are not shuffled, and few of them are sorted together."""
     spark = df.sparkSession
     name = f"stash_{uuid.uuid4().hex}"
     path = f"{folder(spark)}/stash-{name}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(conf)
     spark.conf.set(conf, str(batch))
