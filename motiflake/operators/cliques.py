@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import SPAN, draw
 from ..plans.stash import stash
 from .enumerate import cliques, oriented_by_degree
-from .normalize import soften
+from .normalize import adjacency, soften
 
 
 def exact(edges: DataFrame, k: int) -> DataFrame:
@@ -33,13 +33,18 @@ def edge_sampling(edges: DataFrame, k: int, keep: float, seed: int = 1) -> DataF
 
 
 def graft(edges: DataFrame, k: int, share: float, seed: int = 1) -> DataFrame:
-    """Cliques through edges taken by chance, over the share taken and a clique's number of edges."""
-    found = cliques(edges, k).select("nodes")
+    """Cliques through edges taken by chance, over the share taken and a clique's number of edges. Growth starts from those
+    edges' common neighbours and follows the degree order among them, so nothing else is listed."""
+    near = adjacency(edges)
+    lists = lambda c, n: near.select(F.col("id").alias(c), F.col("nbrs").alias(n))
     chosen = edges.filter(draw(F.col("src"), F.col("dst"), seed, "graft") < int(share * SPAN)).select("src", "dst")
-    pairs = found.select(F.posexplode("nodes").alias("i", "src"), "nodes").select(
-        "src", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(k))).alias("dst")
-    )
-    hits = pairs.join(chosen, ["src", "dst"], "left_semi").agg(F.count("*").alias("h"))
+    rows = chosen.join(lists("src", "one"), "src").join(lists("dst", "two"), "dst").select(F.array_intersect("one", "two").alias("left"))
+    if k > 3:
+        after = oriented_by_degree(edges).groupBy(F.col("u").alias("w")).agg(F.collect_list("v").alias("next"))
+        for size in range(3, k):
+            rows = rows.filter(F.size("left") >= k - size + 1).select("left", F.explode("left").alias("w"))
+            rows = rows.join(after, "w").select(F.array_intersect("left", "next").alias("left"))
+    hits = rows.agg(F.coalesce(F.sum(F.size("left")), F.lit(0)).alias("h")) if k > 2 else rows.agg(F.count("*").alias("h"))
     m = edges.agg(F.count("*").alias("m"))
     s = chosen.agg(F.count("*").alias("s"))
     return hits.join(F.broadcast(m)).join(F.broadcast(s)).select((F.col("h") * F.col("m") / F.col("s") / comb(k, 2)).alias("cliques"))

@@ -41,10 +41,31 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def hop_distribution(edges: DataFrame, most: int, sources: DataFrame | None = None) -> DataFrame:
-    """(hops, pairs): ordered pairs of a source and a node that many hops away."""
-    own = distances(edges, nodes(edges) if sources is None else sources, most)
-    return own.filter("hops > 0").groupBy("hops").agg(F.count("*").alias("pairs"))
+def hop_distribution(edges: DataFrame, most: int | None = None, sources: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """(hops, pairs): ordered pairs of a source and a node that many hops away, up to ``most`` if given. About ``block`` sources
+    at a time; what a front reaches lies in the two fronts before it or is new, so no list of all seen pairs is kept."""
+    both = stash(both_ways(edges))
+    own = stash((nodes(edges) if sources is None else sources).select("id"))
+    parts = max(1, -(-own.count() // block))
+    counts = []
+    for part in range(parts):
+        start = own.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part) if parts > 1 else own
+        front, hop = stash(start.select(F.col("id").alias("source"), "id")), 0
+        before = front.limit(0)
+        while most is None or hop < most:
+            hop += 1
+            reached = front.join(both, front.id == both.u).select("source", F.col("v").alias("id")).distinct()
+            new = stash(reached.join(front, ["source", "id"], "left_anti").join(before, ["source", "id"], "left_anti"))
+            n = new.count()
+            if not n:
+                break
+            counts.append((hop, n))
+            if hop > 1:
+                drop(before)
+            before, front = front, new
+        drop(front)
+    drop(both)
+    return edges.sparkSession.createDataFrame(counts, "hops int, n long").groupBy("hops").agg(F.sum("n").alias("pairs"))
 
 
 def cores(edges: DataFrame) -> DataFrame:

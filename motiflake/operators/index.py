@@ -161,8 +161,7 @@ def node_pairs(found: DataFrame) -> DataFrame:
 def seed_metrics(found: DataFrame, orthologs: DataFrame) -> DataFrame:
     """One row: seeds, mean size, node correctness (squares of a seed's right nodes over its size, over all nodes), pairs, and
     right pairs. orthologs is (n1, n2)."""
-    numbered_seeds = found.withColumn("s", F.monotonically_increasing_id())
-    at = numbered_seeds.select("s", F.size("nodes1").alias("size"), F.explode(F.arrays_zip("nodes1", "nodes2")).alias("p")).select(
+    at = found.distinct().select(F.struct("key", "nodes1", "nodes2").alias("s"), F.size("nodes1").alias("size"), F.explode(F.arrays_zip("nodes1", "nodes2")).alias("p")).select(
         "s", "size", F.col("p.nodes1").alias("n1"), F.col("p.nodes2").alias("n2")
     )
     right = orthologs.select("n1", "n2").distinct().withColumn("right", F.lit(1))

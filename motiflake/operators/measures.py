@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import hypergeometric_tail, ks_tail
 from ..plans import catalogs
+from ..plans.stash import stash
 from .aggregate import classify
 from .enumerate import triangles
 from .normalize import both_ways, degrees, nodes
@@ -117,45 +119,99 @@ def orbit_weights(dependencies: list[int]) -> list[float]:
     return [1 - float(np.log(o) / np.log(len(dependencies))) for o in dependencies]
 
 
+def _similarity(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities of all rows of x with all rows of y."""
+    total = np.zeros((len(x), len(y)))
+    for j in range(len(w)):
+        p, q = x[:, j][:, None], y[:, j][None, :]
+        total += w[j] * np.abs(np.log(p + 1) - np.log(q + 1)) / np.log(np.maximum(p, q) + 2)
+    return np.round(1 - total / w.sum(), 9)
+
+
 def top_pairs(one: DataFrame, two: DataFrame, weights: list[float], n: int, block: int = 1024) -> DataFrame:
     """(n1, n2, similarity): the n most similar pairs of nodes of vectors (node, vector), ties by node ids.
 
-    Vectors are packed in blocks, and each pair of blocks is a task's work that returns its own n best pairs, so that what
-    leaves a task does not grow with the pairs it looks at.
+    Nodes of equal vectors are one class, which needs its n smallest ids at most. Classes are ranged by the count of weightiest
+    orbit into blocks. Equal classes, and then blocks of one range, give a bound that the n-th best pair reaches; of the
+    other pairs of blocks only those are compared whose ranges allow that much.
     """
     w = np.array(weights)
-
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        parts = max(1, -(-df.count() // block))
-        at = F.pmod(F.xxhash64("node"), F.lit(parts))
-        rows = df.groupBy(at.alias(name)).agg(F.collect_list(F.struct("node", F.col("vector").cast("array<double>").alias("vector"))).alias(f"{name}_rows"))
-        return rows
+    lead = int(w.argmax())
+    spark = one.sparkSession
+
+    def classes(df: DataFrame) -> DataFrame:
+        # a class's n smallest ids: those of each part of it, and then of these
+        rows = df.select("node", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"))
+        first = F.row_number().over(Window.partitionBy("vector", "part").orderBy("node"))
+        few = rows.withColumn("at", first).filter(F.col("at") <= n)
+        return few.groupBy("vector").agg(F.slice(F.sort_array(F.collect_list("node")), 1, n).alias("ids"))
+
+    left, right = stash(classes(one)), stash(classes(two))
+    value = F.get("vector", F.lit(lead))
+    cuts = left.union(right).select(value.alias("v"))
+    count = max(1, -(-max(left.count(), right.count()) // block))
+    marks = sorted(set(cuts.agg(F.percentile_approx("v", [i / count for i in range(1, count)], 10_000).alias("p")).first()["p"] or [])) if count > 1 else []
+
+    def ranged(df: DataFrame, name: str) -> DataFrame:
+        place = F.size(F.filter(F.array(*map(F.lit, marks)).cast("array<double>"), lambda m: m <= value))
+        # a range of many classes is dealt out, so that no task gets more than about a block of each side
+        rows = df.select(place.alias("range"), value.alias("v"), F.struct("vector", "ids").alias("row"))
+        sizes = rows.groupBy("range").agg(F.ceil(F.count("*") / block).alias("parts"))
+        dealt = rows.join(F.broadcast(sizes), "range").withColumn("part", F.pmod(F.xxhash64("row.vector"), F.col("parts")))
+        packed = dealt.groupBy("range", "part").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.collect_list("row").alias("rows"))
+        return packed.select(*(F.col(c).alias(f"{name}_{c}") for c in packed.columns))
+
+    l, r = stash(ranged(left, "l")), stash(ranged(right, "r"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(value):
             rows = value.values
-            ids = rows.field("node").to_numpy()
-            return ids, rows.field("vector").flatten().to_numpy().reshape(len(ids), -1)
+            vectors = rows.field("vector")
+            return rows.field("ids"), vectors.flatten().to_numpy().reshape(len(vectors), -1)
 
         for batch in batches:
             for i in range(batch.num_rows):
-                (a, x), (b, y) = read(batch.column("left_rows")[i]), read(batch.column("right_rows")[i])
-                total = np.zeros((len(a), len(b)))
-                for j in range(len(w)):
-                    p, q = x[:, j][:, None], y[:, j][None, :]
-                    total += w[j] * np.abs(np.log(p + 1) - np.log(q + 1)) / np.log(np.maximum(p, q) + 2)
-                found = np.round(1 - total / w.sum(), 9).ravel()
-                order = np.lexsort((np.tile(b, len(a)), np.repeat(a, len(b)), -found))[:n]
+                (a, x), (b, y) = read(batch.column("l_rows")[i]), read(batch.column("r_rows")[i])
+                found = _similarity(w, x, y)
+                flat = found.ravel()
+                # the n best pairs of classes by what they reach and their first ids have the n best pairs of nodes among them
+                near = np.flatnonzero(flat >= np.partition(flat, len(flat) - n)[len(flat) - n]) if len(flat) > n else np.arange(len(flat))
+                first_a, first_b = (np.array([x[0].as_py() for x in ids], np.int64) for ids in (a, b))
+                order = near[np.lexsort((first_b[near % len(y)], first_a[near // len(y)], -flat[near]))[:n]]
+                out: list[tuple] = []
+                for p in order.tolist():
+                    # pairs of two lists in order of the first and then the second: n of them are enough
+                    own = ((-flat[p], u, v) for u in a[p // len(y)].as_py() for v in b[p % len(y)].as_py())
+                    out += islice(own, n)
+                out = sorted(out)[:n]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[order // len(b)]), pa.array(b[order % len(b)]), pa.array(found[order])], ["n1", "n2", "similarity"]
+                    [pa.array([u for _, u, _ in out], pa.int64()), pa.array([v for _, _, v in out], pa.int64()), pa.array([-s for s, _, _ in out], pa.float64())],
+                    ["n1", "n2", "similarity"],
                 )
 
-    left, right = packed(one, "left"), packed(two, "right")
-    ids = right.agg(F.collect_set("right").alias("ids"))  # one number per block
-    paired = left.join(F.broadcast(ids)).select("left_rows", F.explode("ids").alias("right")).join(right, "right")
-    spread = paired.select("left_rows", "right_rows").repartition(F.col("left_rows")[0]["node"], F.col("right_rows")[0]["node"])
-    out = spread.mapInArrow(best, "n1 long, n2 long, similarity double")
-    return out.orderBy(F.desc("similarity"), "n1", "n2").limit(n)
+    schema = "n1 long, n2 long, similarity double"
+    top = lambda df: df.orderBy(F.desc("similarity"), "n1", "n2").limit(n)
+    near = l.join(r, F.col("l_range") == F.col("r_range")).select("l_rows", "r_rows", "l_range", "l_part", "r_part")
+    spread = lambda df: df.repartition("l_range", "l_part", "r_part").select("l_rows", "r_rows")
+    first = stash(top(spread(near).mapInArrow(best, schema)))
+    found = first.count()
+    reached = first.agg(F.min("similarity").alias("s")).first()["s"] if found == n else -1.0
+    # ranges are few; of each pair of others the most that two vectors in them can reach
+    meta = lambda df, s: df.groupBy(f"{s}_range").agg(F.min(f"{s}_low").alias(f"{s}_low"), F.max(f"{s}_high").alias(f"{s}_high")).collect()
+    open_pairs = []
+    rights = meta(r, "r")
+    for p in meta(l, "l"):
+        for q in rights:
+            if p["l_range"] != q["r_range"]:
+                low, high = (p["l_high"], q["r_low"]) if p["l_high"] < q["r_low"] else (q["r_high"], p["l_low"])
+                gap = w[lead] * abs(np.log(high + 1) - np.log(low + 1)) / np.log(max(p["l_high"], q["r_high"]) + 2) if high > low else 0.0
+                if round(1 - gap / w.sum(), 9) >= reached:
+                    open_pairs.append((p["l_range"], q["r_range"]))
+    if not open_pairs:
+        return first
+    pairs = spark.createDataFrame(open_pairs, "l_range int, r_range int")
+    more = l.join(F.broadcast(pairs), "l_range").join(r, "r_range").select("l_rows", "r_rows", "l_range", "l_part", "r_part")
+    return top(first.union(spread(more).mapInArrow(best, schema)))
 
 
 # ---- prediction
@@ -165,21 +221,15 @@ def predict(sets: DataFrame, edges: DataFrame, k: int, orbit_a: int, orbit_b: in
     """(u, v, score): pairs of nodes without an edge that an edge would put into the two orbits, scored by the motifs of each
     set and the inverse degrees of its other nodes."""
     motifs = catalogs.pair_motifs(sets.sparkSession, k, orbit_a, orbit_b, by_order)
-    rows = classify(sets, k).select("ordinal", F.transform("perm", lambda p: F.get("nodes", p)).alias("own"))
-    rows = rows.join(F.broadcast(motifs.select("ordinal").distinct()), "ordinal", "left_semi").withColumn("s", F.monotonically_increasing_id())
+    rows = classify(sets, k).select("ordinal", F.transform("perm", lambda p: F.get("nodes", p)).alias("own")).join(F.broadcast(motifs), "ordinal")
+    pick = lambda i: F.get("own", F.col(i))
+    others = F.filter("own", lambda x, p: (p != F.col("i")) & (p != F.col("j")))
+    told = rows.select(F.least(pick("i"), pick("j")).alias("u"), F.greatest(pick("i"), pick("j")).alias("v"), F.explode(others).alias("x"), "motifs")
+    # motifs are counted per pair and other node before degrees come in
+    counted = told.groupBy("u", "v", "x").agg(F.sum("motifs").alias("n"))
     deg = degrees(edges).select(F.col("id").alias("x"), (1 / F.col("deg")).alias("inv"))
-    at = rows.select("s", "ordinal", "own", F.posexplode("own").alias("pos", "x")).join(deg, "x")
-    listed = at.groupBy("s").agg(
-        F.first("ordinal").alias("ordinal"), F.first("own").alias("own"), F.sort_array(F.collect_list(F.struct("pos", "inv"))).alias("w")
-    )
-    inv = F.transform("w", lambda x: x["inv"])
-    told = listed.withColumn("inv", inv).join(F.broadcast(motifs), "ordinal")
-    pick = lambda c, i: F.get(c, F.col(i))
-    others = F.aggregate("inv", F.lit(0.0), lambda s, x: s + x) - pick("inv", "i") - pick("inv", "j")
-    pairs = told.select(
-        F.least(pick("own", "i"), pick("own", "j")).alias("u"), F.greatest(pick("own", "i"), pick("own", "j")).alias("v"), (others * F.col("motifs")).alias("x")
-    )
-    return pairs.groupBy("u", "v").agg(F.round(F.sum("x"), 6).alias("score")).filter("score <> 0")
+    scored = counted.join(deg, "x").groupBy("u", "v").agg(F.round(F.sum(F.col("n") * F.col("inv")), 6).alias("score"))
+    return scored.filter("score <> 0")
 
 
 def top_predictions(scored: DataFrame, known: DataFrame, n: int) -> DataFrame:

@@ -131,13 +131,14 @@ def accept_reject(edges: DataFrame, k: int, n: int, seed: int = 1) -> DataFrame:
     return told.join(F.broadcast(fine.select("gint")), "gint", "left_semi").select("sample", "nodes", "gint")
 
 
-def walk(edges: DataFrame, k: int, chains: int, steps: int, seed: int = 1) -> DataFrame:
+def walk(edges: DataFrame, k: int, chains: int, steps: int, seed: int = 1, starts: DataFrame | None = None) -> DataFrame:
     """(chain, step, nodes, multiplier): what chains of steps over edges hold in their last k - 1 edges, whenever these
     have k different nodes. A step swaps one end of the edge for a neighbour of the other, each neighbouring edge being as likely.
+    starts(sample, u, v) replaces the edges by chance.
     multiplier is the product, over the inner edges of the stretch, of the number of neighbouring edges (1 / it if there is
     one inner edge or none)."""
     lists = adjacency(edges).select(F.col("id").alias("w"), "nbrs")
-    at = start_edges(edges, chains, seed).withColumnRenamed("sample", "chain")
+    at = (start_edges(edges, chains, seed) if starts is None else starts).withColumnRenamed("sample", "chain")
     at = at.join(lists, F.col("u") == F.col("w")).select("chain", "u", "v", F.col("nbrs").alias("nu"))
     at = at.join(lists, F.col("v") == F.col("w")).select("chain", "u", "v", "nu", F.col("nbrs").alias("nv"))
     edge = lambda u, v, d: F.struct(u.alias("u"), v.alias("v"), d.cast("double").alias("d"))
@@ -167,6 +168,14 @@ def walk(edges: DataFrame, k: int, chains: int, steps: int, seed: int = 1) -> Da
     return held.select("chain", "step", "nodes", inner.alias("multiplier"))
 
 
+def walk_from_all(edges: DataFrame, k: int, steps: int, seed: int = 1) -> DataFrame:
+    """As :func:`walk`, with a chain from every edge: chains are numbered by the edges' order, and which end comes first is by chance."""
+    own = numbered(edges.select("src", "dst"), "src", "dst")
+    turned = draw(seed, F.col("no"), "turn") % 2 == 0
+    pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
+    return walk(edges, k, 0, steps, seed, own.select(F.col("no").alias("sample"), pick("src", "dst").alias("u"), pick("dst", "src").alias("v")))
+
+
 def edge_cover(edges: DataFrame, k: int, rounds: int, seed: int = 1) -> DataFrame:
     """(sample, nodes, gint, multiplier): samples that between them take as many edges as they can. Each round samples from
     edges that no set has taken yet; rounds end when none is left or after ``rounds``."""
@@ -251,7 +260,10 @@ def recent_once(samples: DataFrame) -> DataFrame:
 
 def from_lines(lines: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """(sample, nodes, gint) of samples given as lines (value) of k node numbers."""
-    own = lines.select(F.monotonically_increasing_id().alias("sample"), F.split(F.trim("value"), r"\s+").cast("array<bigint>").alias("nodes"))
+    from ..plans.stash import stash
+
+    # written once, so that a line keeps its number when a task runs again
+    own = stash(lines.select(F.monotonically_increasing_id().alias("sample"), F.split(F.trim("value"), r"\s+").cast("array<bigint>").alias("nodes")))
     return induced_gint(own.filter(F.size("nodes") == k), edges, k, key="sample")
 
 

@@ -27,9 +27,6 @@ def draw(*parts) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(map(str, parts))})), 1, 8))::BIGINT"
 
 
-SPARSE = f"whole AS (SELECT DISTINCT {_ENDS} {_LINES} WHERE {_12}), edges AS (SELECT * FROM whole WHERE {draw('src', 'dst', 1)} >= 2147483648)"
-
-
 def values(rows, names: str, alias: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(str, r)) + ')' for r in rows)}) {alias}({names})"
 

@@ -1,7 +1,7 @@
 """Intermediate tables of loops, written into the folder that the whole cluster shares and read again.
 
 That cuts lineage and survives lost executors. The folder is the one in ``spark.checkpoint.dir``; only where no such
-setting exists, as in tests, a folder of the local machine is set.
+setting exists and all runs on one machine, as in tests, a local folder is set.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def stash(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
         folder = tempfile.mkdtemp(prefix="motiflake-")
         context.setCheckpointDir(folder)
     path = f"{folder}/loop-{uuid.uuid4().hex}"

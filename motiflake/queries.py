@@ -141,9 +141,9 @@ def hits_into_set(spark, sf_dir):
     return nm.hits_into(graphs.g12_weighted(spark, sf_dir), keep)
 
 
-@query("SELECT a.c_name AS name1, b.s_name AS name2 FROM customer a JOIN supplier b ON 'x_' || a.c_nationkey = 'x_' || b.s_nationkey WHERE a.c_custkey % 50 = 0")
+@query("SELECT a.c_name AS name1, b.s_name AS name2 FROM customer a JOIN supplier b ON 'x_' || a.c_nationkey = 'x_' || b.s_nationkey")
 def ortholog_join(spark, sf_dir):
-    one = graphs.table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0")
+    one = graphs.table(spark, sf_dir, "customer")
     two = graphs.table(spark, sf_dir, "supplier")
     left = one.select(F.concat_ws("_", "c_name", "c_nationkey").alias("name"))
     right = two.select(F.concat_ws("_", "s_name", "s_nationkey").alias("name"))
@@ -175,14 +175,9 @@ def graphlet_freq_k4(spark, sf_dir):
     return ag.frequency(en.connected_sets(graphs.g12(spark, sf_dir), 4), 4)
 
 
-@query(f"WITH {sql.SPARSE}, {sql.classified(5)} SELECT o.ordinal, coalesce(c.count, 0) AS count FROM {sql.connected(5)} o LEFT JOIN (SELECT ordinal, count(*) AS count FROM cls GROUP BY 1) c USING (ordinal)")
+@query(f"WITH {sql.G12}, {sql.classified(5)} SELECT o.ordinal, coalesce(c.count, 0) AS count FROM {sql.connected(5)} o LEFT JOIN (SELECT ordinal, count(*) AS count FROM cls GROUP BY 1) c USING (ordinal)")
 def graphlet_freq_k5(spark, sf_dir):
-    return ag.frequency(en.connected_sets(sparse(spark, sf_dir), 5), 5)
-
-
-def sparse(spark, sf_dir) -> DataFrame:
-    """g12 without the half of its edges that a draw takes, for sets of five and more."""
-    return nm.soften(graphs.g12(spark, sf_dir), 0.5, 1)
+    return ag.frequency(en.connected_sets(graphs.g12(spark, sf_dir), 5), 5)
 
 
 @query(f"WITH {sql.G12}, {sql.classified(4)}, c AS (SELECT ordinal, count(*) AS n FROM cls GROUP BY 1) SELECT o.ordinal, round(coalesce(n, 0) / (SELECT sum(n) FROM c), 9) AS concentration FROM {sql.connected(4)} o LEFT JOIN c USING (ordinal)")
@@ -200,9 +195,9 @@ def orbit_degrees_k4(spark, sf_dir):
     return ag.orbit_degrees(en.connected_sets(graphs.g12(spark, sf_dir), 4), 4)
 
 
-@query(f"WITH {sql.SPARSE}, {sql.classified(5)}, {sql.orbited(5)} SELECT node, orbit, count(*) AS count FROM orb GROUP BY 1, 2")
+@query(f"WITH {sql.G12}, {sql.classified(5)}, {sql.orbited(5)} SELECT node, orbit, count(*) AS count FROM orb GROUP BY 1, 2")
 def orbit_degrees_k5(spark, sf_dir):
-    return ag.orbit_degrees(en.connected_sets(sparse(spark, sf_dir), 5), 5)
+    return ag.orbit_degrees(en.connected_sets(graphs.g12(spark, sf_dir), 5), 5)
 
 
 @query(sql.orbit_table_k4())
@@ -273,7 +268,7 @@ def triangle_list(spark, sf_dir):
 @query(f"WITH {sql.ARCS}, {sql.directed_k3()} SELECT ordinal, count(*) AS count FROM cls GROUP BY 1")
 def directed_freq_k3(spark, sf_dir):
     arcs = graphs.arcs_between(spark, sf_dir).distinct()
-    sets = en.connected_sets(nm.clean(arcs), 3).select(F.monotonically_increasing_id().alias("set_id"), "nodes")
+    sets = en.connected_sets(nm.clean(arcs), 3).select(F.array_sort("nodes").alias("set_id"), "nodes")
     return ag.counts(en.induced_gint(sets, arcs, 3, directed=True), 3, directed=True)
 
 
@@ -282,25 +277,24 @@ def directed_freq_k3(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {sql.G12}, {sql.BOTH}, r(id, x) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, r.x FROM r JOIN b ON b.u = r.id AND r.x < b.v) SELECT id, min(x) AS cc FROM (SELECT id, x FROM r UNION ALL SELECT DISTINCT u, u FROM b) GROUP BY id")
 def component_labels(spark, sf_dir):
-    return gl.components(sparse(spark, sf_dir))
-
-
-ORACLE["component_labels"] = ORACLE["component_labels"].replace(sql.G12, sql.SPARSE)
+    return gl.components(graphs.g12(spark, sf_dir))
 
 
 @query(
-    f"WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, r(id, x) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, r.x FROM r JOIN b ON b.u = r.id AND r.x < b.v), l AS (SELECT id, min(x) AS cc FROM r GROUP BY id), "
+    f"WITH RECURSIVE {sql.G12}, {sql.BOTH}, r(id, x) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, r.x FROM r JOIN b ON b.u = r.id AND r.x < b.v), l AS (SELECT id, min(x) AS cc FROM r GROUP BY id), "
     "s AS (SELECT cc, count(*) AS size FROM l GROUP BY 1 HAVING count(*) >= 4), w AS (SELECT cc, size, size::DOUBLE * (size - 1) * (size - 2) * (size - 3) AS ways FROM s), h AS (SELECT cc, size, ways / (SELECT sum(ways) FROM w) AS share FROM w) "
     "SELECT cc, size, round(share, 9) AS share, round(sum(share) OVER (ORDER BY size DESC, cc), 9) AS upto FROM h"
 )
 def component_shares(spark, sf_dir):
-    return sp.component_shares(sparse(spark, sf_dir), 4)
+    return sp.component_shares(graphs.g12(spark, sf_dir), 4)
 
 
-@query(f"WITH RECURSIVE {sql.G12}, {sql.BOTH}, s AS (SELECT DISTINCT u AS source FROM b WHERE u < 50), d(source, id, hops) AS (SELECT source, source, 0 FROM s UNION SELECT d.source, b.v, d.hops + 1 FROM d JOIN b ON b.u = d.id WHERE d.hops < 4), f AS (SELECT source, id, min(hops) AS hops FROM d GROUP BY 1, 2) SELECT hops, count(*) AS pairs FROM f WHERE hops > 0 GROUP BY 1")
+@query(
+    f"WITH RECURSIVE {sql.G12}, {sql.BOTH}, d(source, id, hops) USING KEY (source, id) AS (SELECT DISTINCT u, u, 0 FROM b UNION SELECT d.source, b.v, min(d.hops) + 1 FROM d JOIN b ON b.u = d.id "
+    "ANTI JOIN recurring.d r ON r.source = d.source AND r.id = b.v GROUP BY 1, 2) SELECT hops, count(*) AS pairs FROM d WHERE hops > 0 GROUP BY 1"
+)
 def hop_distribution(spark, sf_dir):
-    edges = graphs.g12(spark, sf_dir)
-    return gl.hop_distribution(edges, 4, nm.nodes(edges).filter("id < 50"))
+    return gl.hop_distribution(graphs.g12(spark, sf_dir))
 
 
 @query()
@@ -379,9 +373,9 @@ def predicted_edges(spark, sf_dir):
 
 @query()
 def held_out_prediction(spark, sf_dir):
-    parts = nm.split(graphs.gadj(spark, sf_dir), 10, 11)
+    parts = nm.split(graphs.g12(spark, sf_dir), 10, 11)
     train, test = (parts.filter(F.col("part") == p).select("src", "dst") for p in ("train", "test"))
-    return ms.hold_out(ms.predict(en.connected_sets(nm.soften(train, 0.7, 2), 4), train, 4, 11, 11), train, test, 100)
+    return ms.hold_out(ms.predict(en.connected_sets(train, 4), train, 4, 11, 11), train, test, 100)
 
 
 @query("WITH r AS (SELECT l_quantity AS score, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS label FROM lineitem), g AS (SELECT score, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS q FROM r GROUP BY 1), t AS (SELECT sum(p) AS pp, sum(q) AS qq FROM g), c AS (SELECT p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM g WINDOW w AS (ORDER BY score DESC)) SELECT round(sum(q * (tp - p / 2) / (pp * qq)), 9) AS auroc, round(sum(p / pp * tp / (tp + fp)), 9) AS average_precision FROM c, t")
@@ -398,7 +392,7 @@ def count_objectives(spark, sf_dir):
 
 @query()
 def hamming_objective(spark, sf_dir):
-    one, two = (ag.counts(en.connected_sets(g, 4), 4) for g in (sparse(spark, sf_dir), nm.soften(graphs.g12(spark, sf_dir), 0.5, 77)))
+    one, two = (ag.counts(en.connected_sets(g, 4), 4) for g in graphs.two_networks(spark, sf_dir))
     return ms.hamming_objective(one, two, 4)
 
 
@@ -492,7 +486,7 @@ def sampled_by_joins_k4(spark, sf_dir):
 
 @query()
 def sampled_reservoir_k3(spark, sf_dir):
-    rows = sp.reservoir(graphs.g12(spark, sf_dir), 3, 500, rounds=4)
+    rows = sp.reservoir(graphs.g12(spark, sf_dir), 3, 500)
     return ag.counts(rows, 3)
 
 
@@ -676,7 +670,7 @@ def stamped_graph(spark, sf_dir):
 
 @query()
 def global_measures(spark, sf_dir):
-    return lo.global_measures(nm.soften(graphs.g12(spark, sf_dir), 0.7, 6))
+    return lo.global_measures(graphs.g12(spark, sf_dir))
 
 
 @query("SELECT * FROM (SELECT '1' AS feature, round(regr_intercept(l_extendedprice, l_quantity), 6) AS weight FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 6) FROM lineitem)")
