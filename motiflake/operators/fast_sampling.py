@@ -51,7 +51,11 @@ class Lists:
 
 
 def lists(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = edges.select("src", "dst").toPandas().to_numpy(np.int64)
+    return arrays(edges.select("src", "dst").toPandas().to_numpy(np.int64))
+
+
+def arrays(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, at and near of :class:`Lists` for rows of two ends."""
     ids, flat = np.unique(rows, return_inverse=True)
     ends = flat.reshape(-1, 2)
     both = np.concatenate([ends, ends[:, ::-1]])

@@ -176,6 +176,31 @@ def walk_from_all(edges: DataFrame, k: int, steps: int, seed: int = 1) -> DataFr
     return walk(edges, k, 0, steps, seed, own.select(F.col("no").alias("sample"), pick("src", "dst").alias("u"), pick("dst", "src").alias("v")))
 
 
+def window_walk(edges: DataFrame, w: int, chains: int, steps: int, seed: int = 1) -> DataFrame:
+    """(window, nodes): walks from node to node that hold the nodes they come by until these are w; that is a window, and the walk
+    goes on with the later half of them. window is the chain's number times the steps, and the step."""
+    from ..plans.stash import stash
+
+    lists = adjacency(edges).select(F.col("id").alias("at"), "nbrs")
+    state = start_edges(edges, chains, seed).select(F.col("sample").alias("chain"), F.array("u", "v").alias("held"), F.col("v").alias("at"))
+    out = None
+    for t in range(1, steps + 1):
+        moved = state.join(lists, "at").withColumn("to", F.get("nbrs", below(F.size("nbrs"), seed, F.col("chain"), "window", t).cast("int")))
+        held = F.array_union("held", F.array("to"))
+        state = stash(moved.select("chain", held.alias("held"), F.col("to").alias("at")))
+        full = state.filter(F.size("held") == w).select((F.col("chain") * (steps + 1) + t).alias("window"), F.array_sort("held").alias("nodes"))
+        out = full if out is None else out.union(full)
+        state = state.withColumn("held", F.when(F.size("held") == w, F.slice("held", w // 2 + 1, w)).otherwise(F.col("held")))
+    return out
+
+
+def near_top(rows: DataFrame, score: str, delta: float, *key: str, seed: int = 1) -> DataFrame:
+    """One of the rows whose score is within delta of the highest, by chance; key names the row."""
+    top = rows.agg((F.max(score) - delta).alias("least"))
+    fine = rows.join(F.broadcast(top), F.col(score) >= F.col("least")).drop("least")
+    return fine.orderBy(draw(seed, *(F.col(c) for c in key)), *key).limit(1)
+
+
 def edge_cover(edges: DataFrame, k: int, rounds: int, seed: int = 1) -> DataFrame:
     """(sample, nodes, gint, multiplier): samples that between them take as many edges as they can. Each round samples from
     edges that no set has taken yet; rounds end when none is left or after ``rounds``."""

@@ -4,6 +4,7 @@ literal tables of at most 1,024 rows. Written apart from the engine's own plans,
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 from math import factorial
 
 from .functions import graphlets
@@ -72,7 +73,7 @@ def classified(k: int) -> str:
     rows = [(g, ordinal[g], perm[g].tolist()) for g in range(len(ordinal)) if graphlets.is_connected(g, k)]
     return (
         f"{sets(k)}, pr AS (SELECT * FROM {values(bits, 'i, j, w', 'p')}), cm AS (SELECT * FROM {values(rows, 'gint, ordinal, perm', 'c')}), "
-        f"gn AS (SELECT s, sum(w)::BIGINT AS gint FROM s{k}, pr JOIN edges ON src = s[j + 1] AND dst = s[i + 1] GROUP BY s), "
+        f"gn AS (SELECT s, sum(w)::BIGINT AS gint FROM (SELECT s, w, s[j + 1] AS src, s[i + 1] AS dst FROM s{k}, pr) JOIN edges USING (src, dst) GROUP BY s), "
         "cls AS (SELECT s, ordinal, perm FROM gn JOIN cm USING (gint))"
     )
 
@@ -137,7 +138,7 @@ def directed_k3() -> str:
     ordinal, _, _ = graphlets.canonical_map(k, True)
     return (
         f"{sets(3)}, pr AS (SELECT * FROM {values(bits, 'i, j, w', 'p')}), cm AS (SELECT * FROM {values(list(enumerate(ordinal)), 'gint, ordinal', 'c')}), "
-        "gn AS (SELECT s, sum(w)::BIGINT AS gint FROM s3, pr JOIN arcs ON arcs.src = s[i + 1] AND arcs.dst = s[j + 1] GROUP BY s), "
+        "gn AS (SELECT s, sum(w)::BIGINT AS gint FROM (SELECT s, w, s[i + 1] AS src, s[j + 1] AS dst FROM s3, pr) JOIN arcs USING (src, dst) GROUP BY s), "
         "cls AS (SELECT s, ordinal FROM gn JOIN cm USING (gint))"
     )
 
@@ -219,3 +220,160 @@ def minimum(gint: int, k: int) -> int:
 
     edges = graphlets.decode(gint, k)
     return min(graphlets.encode([(p[i], p[j]) for i, j in edges], k) for p in permutations(range(k)))
+
+
+class Plain:
+    """Catalogs of k nodes the plain way: every relabelling of every graph, tried one by one."""
+
+    def __init__(self, k: int) -> None:
+        from itertools import combinations, permutations
+
+        self.k = k
+        self.pairs = [p for p, _ in sorted(graphlets.bit_of(k).items(), key=lambda x: x[1]) if p[0] > p[1]]
+        place = {frozenset(p): i for i, p in enumerate(self.pairs)}
+        moves = [[place[frozenset((p[i], p[j]))] for i, j in self.pairs] for p in permutations(range(k))]
+        perms = list(permutations(range(k)))
+        self.least = [min(sum(1 << m[b] for b in range(len(m)) if g >> b & 1) for m in moves) for g in range(1 << len(self.pairs))]
+        self.numbers = sorted(set(self.least))
+        self.ordinal = {g: i for i, g in enumerate(self.numbers)}
+        self.orbits = []
+        nth = 0
+        for g in self.numbers:
+            same = [p for p, m in zip(perms, moves) if sum(1 << m[b] for b in range(len(m)) if g >> b & 1) == g]
+            first = [min(p[v] for p in same) for v in range(k)]
+            names = {v: nth + i for i, v in enumerate(sorted(set(first)))}
+            nth += len(names)
+            self.orbits.append([names[v] for v in first])
+        self._subsets = [c for n in range(1, k) for c in combinations(range(k), n)]
+
+    def edges(self, gint: int) -> list[tuple[int, int]]:
+        return [p for b, p in enumerate(self.pairs) if gint >> b & 1]
+
+    def connected(self, gint: int) -> bool:
+        """No set of some nodes without an edge to the others."""
+        ends = self.edges(gint)
+        return all(any((u in c) != (v in c) for u, v in ends) for c in self._subsets)
+
+    def ways(self, gint: int) -> int:
+        """Sequences of edges that build the graph node by node, each from an edge to a node within to one outside."""
+        ends = self.edges(gint)
+
+        def more(held: frozenset) -> int:
+            if len(held) == self.k:
+                return 1
+            return sum(more(held | {u, v}) for u, v in ends if (u in held) != (v in held))
+
+        return sum(more(frozenset(e)) for e in ends) if self.connected(gint) else 0
+
+    def without(self, gint: int, node: int, smaller: Plain) -> int:
+        at = {v: i for i, v in enumerate(v for v in range(self.k) if v != node)}
+        kept = {frozenset((at[u], at[v])) for u, v in self.edges(gint) if node not in (u, v)}
+        return smaller.ordinal[smaller.least[sum(1 << b for b, p in enumerate(smaller.pairs) if frozenset(p) in kept)]]
+
+
+@lru_cache(maxsize=None)
+def plain(k: int) -> Plain:
+    return Plain(k)
+
+
+def _table(rows, names: str) -> str:
+    return f"SELECT * FROM {values(rows, names, 'x')}"
+
+
+def plain_map(k: int) -> str:
+    return _table([(g, c) for g, c in enumerate(plain(k).least)], "gint, canonical")
+
+
+def plain_orbits(k: int) -> str:
+    own = plain(k)
+    rows, place = [], {}
+    for o, g in enumerate(own.numbers):
+        for p, x in enumerate(own.orbits[o]):
+            if own.connected(g):
+                place.setdefault(x, len(place))
+            rows.append((o, p, x, place.get(x, "NULL")))
+    return _table(rows, "ordinal, pos, orbit, connected_orbit")
+
+
+def plain_alphas(k: int) -> str:
+    own = plain(k)
+    return _table([(o, own.ways(g)) for o, g in enumerate(own.numbers)], "ordinal, alpha").replace("SELECT *", "SELECT ordinal, alpha::BIGINT AS alpha")
+
+
+def plain_subcanonicals(k: int) -> str:
+    own, less = plain(k), plain(k - 1)
+    return _table([(o, v, own.without(g, v, less)) for o, g in enumerate(own.numbers) for v in range(k)], "ordinal, removed, sub_ordinal")
+
+
+def plain_distances(k: int) -> list[tuple[int, int, int]]:
+    """Edge flips between graphs, by flipping: breadth first from each canonical graph over all numbers."""
+    own, out = plain(k), []
+    for o, g in enumerate(own.numbers):
+        seen, front, steps = {g}, [g], 0
+        near = {o: 0}
+        while front:
+            steps += 1
+            front = [x for x in {y ^ (1 << b) for y in front for b in range(len(own.pairs))} if x not in seen]
+            seen |= set(front)
+            for x in front:
+                near.setdefault(own.ordinal[own.least[x]], steps)
+        out += [(o, c, d) for c, d in near.items()]
+    return out
+
+
+def plain_chains(k: int) -> str:
+    rows = []
+    for o, g in enumerate(plain(k).numbers):
+        n, at = k, o
+        rows.append((o, n, at))
+        while n > 3:
+            own, less = plain(n), plain(n - 1)
+            at = min({own.without(own.numbers[at], v, less) for v in range(n)}, key=lambda c: (not less.connected(less.numbers[c]), c))
+            n -= 1
+            rows.append((o, n, at))
+    return _table(rows, "ordinal, chain_k, chain_ordinal")
+
+
+def plain_report(k: int) -> str:
+    own = plain(k)
+    rows = [(o, str(own.connected(g)).lower(), g, "'" + " ".join(sorted({str(x) for x in own.orbits[o]}, key=int)) + "'") for o, g in enumerate(own.numbers)]
+    return _table(rows, "ordinal, connected, gint, orbits")
+
+
+def ks(values_of: str, value: str) -> str:
+    """The distance of two distributions told as v(value, a, b): the largest gap of running shares, its chance and the Euclidean
+    distance of shares."""
+    lam = "(sqrt(n) + 0.12 + 0.11 / sqrt(n)) * ks"
+    return (
+        f"WITH {values_of}, t AS (SELECT sum(a) AS na, sum(b) AS nb FROM v), s AS (SELECT {value}, a / na AS a, b / nb AS b, na, nb FROM v, t), "
+        f"g AS (SELECT abs(sum(a) OVER w - sum(b) OVER w) AS gap, (a - b) * (a - b) AS sq, na, nb FROM s WINDOW w AS (ORDER BY {value})), "
+        "f AS (SELECT round(max(gap), 9) AS ks, round(sqrt(sum(sq)), 9) AS euclidean, max(na) * max(nb) / (max(na) + max(nb)) AS n FROM g), "
+        f"l AS (SELECT *, {lam} AS lam FROM f) SELECT ks, euclidean, round(CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, "
+        "(SELECT sum(2 * CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * j * j * lam * lam)) FROM (SELECT unnest(range(1, 101)) AS j)))) END, 9) AS p_value FROM l"
+    )
+
+
+def held_out(k: int, orbit_a: int, orbit_b: int, n: int) -> str:
+    """How many of the n best predictions from nine tenths of the edges are in the last tenth."""
+    part = f"p AS (SELECT src, dst, row_number() OVER (ORDER BY {draw('src', 'dst', 11)}, src, dst) <= ceil((SELECT count(*) FROM whole) * 10 / 100) AS test FROM whole)"
+    graph = f"{G12.replace('edges AS', 'whole AS')}, {part}, edges AS (SELECT src, dst FROM p WHERE NOT test)"
+    scored = predict(k, orbit_a, orbit_b).replace(f"WITH {G12}", f"WITH {graph}")
+    best = f"best AS (SELECT u, v FROM ({scored.partition(') SELECT u, v,')[2].join(['SELECT u, v,', ''])}) WHERE (u, v) NOT IN (SELECT (src, dst) FROM edges) ORDER BY score DESC, u, v LIMIT {n})"
+    return f"{scored.partition(') SELECT u, v,')[0]}), {best} SELECT (SELECT count(*) FROM best) AS predicted, (SELECT count(*) FROM best JOIN p ON p.src = u AND p.dst = v WHERE test) AS hits"
+
+
+def hamming_objective(k: int) -> str:
+    """Surplus counts of a graph without a twentieth of its edges times their mean distance to what it is short of."""
+    named = f"WITH whole AS (SELECT DISTINCT {_ENDS} {_LINES} WHERE {_12}), "
+
+    def counts(name: str, where: str) -> str:
+        own = f"edges AS (SELECT * FROM whole{where}), {classified(k)}"
+        return f"{name} AS (WITH {own} SELECT ordinal, count(*)::DOUBLE AS n FROM cls GROUP BY 1)"
+
+    return (
+        f"{named}{counts('c1', " WHERE " + draw("src", "dst", 20) + " % 20 <> 0")}, {counts('c2', '')}, "
+        f"far AS (SELECT * FROM {values(plain_distances(k), 'a, b, dist', 'd')}), "
+        "gap AS (SELECT ordinal, coalesce(c1.n, 0) - coalesce(c2.n, 0) AS gap FROM c1 FULL JOIN c2 USING (ordinal)), "
+        "l AS (SELECT sum(-gap) AS al FROM gap WHERE gap < 0) "
+        "SELECT round(coalesce(sum(x.gap * -y.gap / al * dist), 0), 6)::DOUBLE AS hamming FROM gap x JOIN far ON a = x.ordinal JOIN gap y ON b = y.ordinal, l WHERE x.gap > 0 AND y.gap < 0"
+    )

@@ -54,6 +54,27 @@ def hamming(spark: SparkSession, k: int) -> DataFrame:
     return spark.createDataFrame(rows, "c1 int, c2 int, dist int").coalesce(1)
 
 
+def hamming_neighbours(spark: SparkSession, k: int, distance: int) -> DataFrame:
+    """(c1, c2): ordinals whose graphs are that many edge flips apart at least."""
+    return hamming(spark, k).filter(f"dist = {int(distance)}").select("c1", "c2")
+
+
+def map_differences(one: DataFrame, two: DataFrame, places: DataFrame) -> DataFrame:
+    """(gint): numbers that two canonical maps (gint, ordinal, perm) take to different graphs, or whose nodes they take to different
+    orbits of places (ordinal, pos, orbit); maps that differ by automorphisms alone have none."""
+    from pyspark.sql import functions as F
+
+    orbit = places.groupBy("ordinal").agg(F.sort_array(F.collect_list(F.struct("pos", "orbit"))).alias("o"))
+    # a map's perm says which node stands in each canonical place; node by node that is the orbit it lands in
+    lands = lambda c: F.sort_array(F.transform(F.col(f"{c}.own"), lambda n, i: F.struct(n.alias("node"), F.get(F.col(f"{c}.o"), i).alias("orbit"))))
+    rows = lambda m, name: m.join(F.broadcast(orbit), "ordinal").select(
+        "gint", F.struct("ordinal", F.col("perm").alias("own"), F.transform("o", lambda x: x["orbit"]).alias("o")).alias(name)
+    )
+    both = rows(one, "a").join(rows(two, "b"), "gint", "full_outer")
+    same = (F.col("a.ordinal") == F.col("b.ordinal")) & (lands("a") == lands("b"))
+    return both.filter(~F.coalesce(same, F.lit(False))).select("gint")
+
+
 def crosswalk(spark: SparkSession, k: int) -> DataFrame:
     rows = graphlets.crosswalk(k)
     schema = ", ".join(f"{c} long" for c in rows[0])

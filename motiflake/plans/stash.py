@@ -9,11 +9,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stash(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
@@ -21,6 +20,12 @@ def stash(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
         folder = tempfile.mkdtemp(prefix="motiflake-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def stash(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     path = f"{folder}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +21,18 @@ from .operators import normalize as nm
 from .operators import sampling as sp
 from .operators import windows as wi
 from .plans import catalogs
-from .plans.stash import stash
-from .sources import graphs
+from .functions import udfs
+from .plans.stash import shared_folder, stash
+from .sources import formats, graphs, sinks
 from . import oracle as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+#: SQL, or what makes it when it is asked for.
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle is not None:
@@ -371,7 +374,7 @@ def predicted_edges(spark, sf_dir):
     return ms.predict(en.connected_sets(edges, 4), edges, 4, 11, 11)
 
 
-@query()
+@query(lambda: sql.held_out(4, 11, 11, 100))
 def held_out_prediction(spark, sf_dir):
     parts = nm.split(graphs.g12(spark, sf_dir), 10, 11)
     train, test = (parts.filter(F.col("part") == p).select("src", "dst") for p in ("train", "test"))
@@ -390,13 +393,13 @@ def count_objectives(spark, sf_dir):
     return ms.count_objectives(one, two)
 
 
-@query()
+@query(lambda: sql.hamming_objective(4))
 def hamming_objective(spark, sf_dir):
     one, two = (ag.counts(en.connected_sets(g, 4), 4) for g in graphs.two_networks(spark, sf_dir))
     return ms.hamming_objective(one, two, 4)
 
 
-@query()
+@query(sql.ks(f"{_TWO}, d1 AS (SELECT u, count(*) AS d FROM (SELECT src AS u FROM e1 UNION ALL SELECT dst FROM e1) GROUP BY 1), d2 AS (SELECT u, count(*) AS d FROM (SELECT src AS u FROM e2 UNION ALL SELECT dst FROM e2) GROUP BY 1), v AS (SELECT deg, coalesce(a, 0)::DOUBLE AS a, coalesce(b, 0)::DOUBLE AS b FROM (SELECT d AS deg, count(*) AS a FROM d1 GROUP BY 1) FULL JOIN (SELECT d AS deg, count(*) AS b FROM d2 GROUP BY 1) USING (deg))", "deg"))
 def degree_distribution_distance(spark, sf_dir):
     one, two = (nm.degree_distribution(g) for g in graphs.two_networks(spark, sf_dir))
     return ms.distribution_distance(one, two, "deg")
@@ -687,30 +690,241 @@ def canonical_map_k4(spark, sf_dir):
     return own.select("gint", "canonical")
 
 
-def _catalog(name: str, make):
+def _catalog(name: str, make, oracle=None):
     def run(spark, sf_dir):
         return make(spark)
 
     run.__name__ = name
-    query()(run)
-
-
-for _name, _make in {
-    "catalog_k5": lambda s: catalogs.canon(s, 5).withColumn("orbits", F.array_join("orbits", " ")),
-    "catalog_directed_k4": lambda s: catalogs.canon(s, 4, True).withColumn("orbits", F.array_join("orbits", " ")),
-    "catalog_orbits_k5": lambda s: catalogs.orbits(s, 5),
-    "catalog_alphas_k5": lambda s: catalogs.alphas(s, 5, "EBE"),
-    "catalog_subcanonicals_k5": lambda s: catalogs.subcanon(s, 5),
-    "catalog_hamming_k5": lambda s: catalogs.hamming(s, 5),
-    "catalog_crosswalk_k5": lambda s: catalogs.crosswalk(s, 5),
-    "catalog_minimal_chains_k5": lambda s: catalogs.minimal_chains(s, 5),
-    "catalog_directed_totals": catalogs.directed_totals,
-    "catalog_report_k4": lambda s: catalogs.report(s, 4),
-    "catalog_drawings_k4": lambda s: catalogs.dot(s, 4),
-    "catalog_unambiguous_k5": lambda s: ag.unambiguous(s, 5, 4),
-    "chained_canonicals_k5": lambda s: nm.chained_canonicals(s, 5),
-}.items():
-    _catalog(_name, _make)
+    query(oracle)(run)
+
+
+for _name, _make, _sql in (
+    ("catalog_k5", lambda s: catalogs.canon(s, 5).withColumn("orbits", F.array_join("orbits", " ")), None),
+    ("catalog_directed_k4", lambda s: catalogs.canon(s, 4, True).withColumn("orbits", F.array_join("orbits", " ")), None),
+    ("canonical_map_k5", lambda s: catalogs.canon_map(s, 5).join(catalogs.canon(s, 5).select("ordinal", F.col("gint").alias("canonical")), "ordinal").select("gint", "canonical"), lambda: sql.plain_map(5)),
+    ("catalog_orbits_k5", lambda s: catalogs.orbits(s, 5), lambda: sql.plain_orbits(5)),
+    ("catalog_alphas_k5", lambda s: catalogs.alphas(s, 5, "EBE"), lambda: sql.plain_alphas(5)),
+    ("catalog_subcanonicals_k5", lambda s: catalogs.subcanon(s, 5), lambda: sql.plain_subcanonicals(5)),
+    ("catalog_hamming_k5", lambda s: catalogs.hamming(s, 5), lambda: sql._table(sql.plain_distances(5), "c1, c2, dist")),
+    ("hamming_neighbours_k5", lambda s: catalogs.hamming_neighbours(s, 5, 2), lambda: sql._table([(a, b) for a, b, d in sql.plain_distances(5) if d == 2], "c1, c2")),
+    ("catalog_crosswalk_k5", lambda s: catalogs.crosswalk(s, 5), None),
+    ("catalog_minimal_chains_k5", lambda s: catalogs.minimal_chains(s, 5), lambda: sql.plain_chains(5)),
+    ("catalog_directed_totals", catalogs.directed_totals, None),
+    ("catalog_report_k4", lambda s: catalogs.report(s, 4), lambda: sql.plain_report(4)),
+    ("catalog_drawings_k4", lambda s: catalogs.dot(s, 4), None),
+    ("catalog_unambiguous_k5", lambda s: ag.unambiguous(s, 5, 4), None),
+    ("chained_canonicals_k5", lambda s: nm.chained_canonicals(s, 5), None),
+    ("map_differences_k4", lambda s: catalogs.map_differences(catalogs.canon_map(s, 4), catalogs.canon_map(s, 4).withColumn("ordinal", F.when(F.col("gint") == 5, 0).otherwise(F.col("ordinal"))), catalogs.orbits(s, 4)), "SELECT 5::BIGINT AS gint"),
+):
+    _catalog(_name, _make, _sql)
+
+
+@query(lambda: sql.plain_map(5))
+def canonicalize_udf(spark, sf_dir):
+    udfs.register(spark)
+    spark.range(1 << 10).createOrReplaceTempView("graph_numbers")
+    return spark.sql("SELECT id AS gint, canonicalize(id, 5).canonical AS canonical FROM graph_numbers")
+
+
+@query()
+def sampled_by_table_function(spark, sf_dir):
+    udfs.register(spark)
+    graphs.g12(spark, sf_dir).createOrReplaceTempView("graph_edges")
+    rows = spark.sql("SELECT * FROM sample_graphlets(TABLE(graph_edges) WITH SINGLE PARTITION, 4, 5000, 'EBE')")
+    return ag.counts(rows, 4)
+
+
+# ---- text files, written and read again
+
+
+def _written(rows: DataFrame, ending: str, **options) -> str:
+    """The path of lines (value), written as text."""
+    path = f"{shared_folder(rows.sparkSession)}/text-{uuid.uuid4().hex}{ending}"
+    rows.select("value").write.options(**options).text(path)
+    return path
+
+
+_G12_TEXT = f"WITH {sql.G12} SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM edges"
+
+
+def _file_query(name: str, write, read) -> None:
+    def run(spark, sf_dir):
+        return read(spark, write(graphs.g12(spark, sf_dir)))
+
+    run.__name__ = name
+    query(_G12_TEXT)(run)
+
+
+def _spaced(*columns: str, sep: str = " "):
+    return F.concat_ws(sep, *(F.col(c).cast("string") for c in columns)).alias("value")
+
+
+def _as_leda(edges: DataFrame) -> DataFrame:
+    """The lines of one file, in order: head, nodes, edges by the nodes' numbers."""
+    own = nm.numbered(nm.nodes(edges), "id")
+    at = lambda c: own.select(F.col("id").alias(c), (F.col("no") + 1).alias(f"{c}_no"))
+    head = edges.sparkSession.createDataFrame([(0, 0, t) for t in ("LEDA.GRAPH", "string", "short", "-2")], "part int, at long, value string")
+    nodes = own.select(F.lit(1).alias("part"), F.col("no").alias("at"), F.format_string("|{%s}|", F.col("id").cast("string")).alias("value"))
+    ends = edges.join(at("src"), "src").join(at("dst"), "dst").select(
+        F.lit(2).alias("part"), F.col("src").alias("at"), F.concat(_spaced("src_no", "dst_no"), F.lit(" 0 |{}|")).alias("value")
+    )
+    return head.union(nodes).union(ends).coalesce(1).sortWithinPartitions("part", "at")
+
+
+for _name, _write, _read in (
+    ("read_edge_list", lambda e: _written(e.select(_spaced("src", "dst")), ".el"), formats.read),
+    ("read_edge_list_gz", lambda e: _written(e.select(_spaced("src", "dst", sep="\t")), ".txt.gz", compression="gzip"), formats.read),
+    ("read_edge_list_bz2", lambda e: _written(e.select(_spaced("src", "dst")), ".el.bz2", compression="bzip2"), formats.read),
+    ("read_csv", lambda e: _written(e.select(_spaced("src", "dst", sep=";")), ".csv"), formats.read),
+    ("read_lgf", lambda e: _written(e.select(F.concat(_spaced("src", "dst"), F.lit(" 0 1")).alias("value")), ".lgf"), formats.read),
+    ("read_graphml", lambda e: _written(e.select(F.format_string('<edge source="%d" target="%d"/>', "src", "dst").alias("value")), ".graphml"), formats.read),
+    ("read_gml", lambda e: _written(e.select(F.format_string("edge [\n source %d\n target %d\n ]", "src", "dst").alias("value")), ".gml"), formats.read),
+    ("read_leda", lambda e: _written(_as_leda(e), ".gw"), formats.read),
+):
+    _file_query(_name, _write, _read)
+
+
+@query(f"WITH {sql.G12} SELECT src, dst FROM edges")
+def read_checked(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    top = edges.agg(F.max("dst"), F.count("*")).first()
+    head = spark.createDataFrame([(0, f"{top[0] + 1} {top[1]}")], "at int, value string")
+    lines = head.union(edges.select(F.lit(1), _spaced("src", "dst"))).coalesce(1).sortWithinPartitions("at")
+    return formats.checked(spark, _written(lines, ".txt"))
+
+
+@query("SELECT p_partkey::VARCHAR AS id FROM part WHERE p_size <= 10 AND p_partkey IN (WITH " + sql.G12 + ", " + sql.BOTH + " SELECT u FROM b)")
+def read_interest(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    part = graphs.table(spark, sf_dir, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("id"))
+    path = _written(part.join(nm.nodes(edges), "id", "left_semi").select(_spaced("id")), ".txt")
+    return formats.interest(spark, path, edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_size::DOUBLE AS weight FROM part")
+def read_importance(spark, sf_dir):
+    return formats.importance(spark, _written(graphs.table(spark, sf_dir, "part").select(_spaced("p_partkey", "p_size")), ".txt"))
+
+
+@query(f"WITH {sql.G12}, {sql.BOTH} SELECT u::VARCHAR AS id, count(*)::DOUBLE AS heur FROM b GROUP BY u")
+def read_orbit_vectors(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    rows = ms.exact_orbits(edges)
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.odv"
+    sinks.vectors(rows, path)
+    return formats.orbit_value(formats.orbit_vectors(spark, path), nm.nodes(edges).select(F.col("id").cast("string").alias("id")), 0)
+
+
+@query(f"WITH {sql.G12}, {sql.classified(3)} SELECT ordinal::VARCHAR AS key, array_to_string(list_transform(perm, lambda p: s[p + 1]), ' ') AS nodes FROM cls")
+def read_index(spark, sf_dir):
+    rows = ag.index_rows(en.sort_sets(en.connected_sets(graphs.g12(spark, sf_dir), 3), 3), 3)
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.index"
+    sinks.index(rows, path)
+    return formats.index_lines(spark, path, 3).select("key", F.array_join("nodes", " ").alias("nodes"))
+
+
+_SEED_LINES = "SELECT 's' || s_suppkey AS key, s_suppkey || ',' || s_nationkey AS nodes1, s_nationkey || ',' || s_suppkey AS nodes2"
+
+
+def _seed_rows(spark, sf_dir) -> DataFrame:
+    own = graphs.table(spark, sf_dir, "supplier")
+    two = lambda a, b: F.concat_ws(",", F.col(a).cast("string"), F.col(b).cast("string"))
+    return own.select(F.concat(F.lit("s"), "s_suppkey").alias("key"), two("s_suppkey", "s_nationkey").alias("a"), two("s_nationkey", "s_suppkey").alias("b"), "s_nationkey")
+
+
+@query(f"{_SEED_LINES} FROM supplier")
+def read_seeds(spark, sf_dir):
+    rows = formats.seeds(spark, _written(_seed_rows(spark, sf_dir).select(_spaced("key", "a", "b")), ".seeds"))
+    return rows.select("key", F.array_join("nodes1", ",").alias("nodes1"), F.array_join("nodes2", ",").alias("nodes2"))
+
+
+@query(f"{_SEED_LINES}, s_nationkey::DOUBLE AS similarity, min(r) OVER (PARTITION BY s_nationkey) AS first, count(*) OVER (PARTITION BY s_nationkey) AS alike FROM (SELECT *, row_number() OVER (ORDER BY s_nationkey DESC) - 1 AS r FROM supplier)")
+def read_ranked_seeds(spark, sf_dir):
+    rows = formats.ranked_seeds(spark, _written(_seed_rows(spark, sf_dir).select(_spaced("key", "a", "b", "s_nationkey")), ".seeds"))
+    tied = rows.groupBy("similarity").agg(F.min("place").alias("first"), F.count("*").alias("alike"))
+    return rows.join(tied, "similarity").select("key", F.array_join("nodes1", ",").alias("nodes1"), F.array_join("nodes2", ",").alias("nodes2"), "similarity", "first", "alike")
+
+
+@query("SELECT s_suppkey::VARCHAR AS n1, s_nationkey::VARCHAR AS n2 FROM supplier WHERE s_suppkey <> 0 AND s_nationkey <> 0")
+def read_orthologs(spark, sf_dir):
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.tsv"
+    graphs.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name").write.csv(path, sep="\t", header=True)
+    return formats.orthologs(spark, path, "s_suppkey", "s_nationkey")
+
+
+@query("SELECT s_suppkey::VARCHAR AS n1, s_nationkey::VARCHAR AS n2, s_acctbal AS similarity FROM supplier")
+def read_similarities(spark, sf_dir):
+    rows = graphs.table(spark, sf_dir, "supplier").select(_spaced("s_suppkey", "s_nationkey", "s_acctbal"))
+    return formats.similarities(spark, _written(rows, ".sim"))
+
+
+@query("SELECT count(*)::BIGINT AS n, 5::BIGINT AS m, 0.5::DOUBLE AS density, string_agg(p_partkey::VARCHAR, ' ' ORDER BY p_partkey) AS nodes FROM part GROUP BY p_brand")
+def read_clusters(spark, sf_dir):
+    own = graphs.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list("p_partkey")).alias("nodes"))
+    found = own.select(F.size("nodes").cast("long").alias("n"), F.lit(5).cast("long").alias("m"), F.lit(0.5).alias("density"), "nodes")
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.clusters"
+    sinks.lines(lo.cluster_lines(found), path)
+    return formats.clusters(spark, path).select("n", "m", "density", F.array_join("nodes", " ").alias("nodes"))
+
+
+@query("SELECT p_partkey::VARCHAR AS node, count(*) OVER (PARTITION BY CASE WHEN p_size > 40 THEN '' ELSE p_brand END) AS size FROM part")
+def read_partition(spark, sf_dir):
+    part = graphs.table(spark, sf_dir, "part")
+    listed = part.filter("p_size <= 40").groupBy("p_brand").agg(F.collect_list(F.col("p_partkey").cast("string")).alias("nodes"))
+    path = _written(listed.select(F.array_join("nodes", " ").alias("value")), ".parts")
+    rows = formats.partition(spark, path, part.select(F.col("p_partkey").cast("string").alias("id")))
+    size = rows.groupBy("community").agg(F.count("*").alias("size"))
+    return rows.join(size, "community").select("node", "size")
+
+
+@query(sql.predict(4, 11, 11).replace("SELECT u, v, round", "SELECT u::VARCHAR AS u, v::VARCHAR AS v, round"))
+def read_predictions(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.tsv"
+    sinks.predictions(ms.predict(en.connected_sets(edges, 4), edges, 4, 11, 11), path)
+    return formats.predictions(spark, path)
+
+
+@query(lambda: sql.plain_orbits(4))
+def stored_catalog(spark, sf_dir):
+    path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    sinks.catalog(catalogs.orbits(spark, 4).withColumn("k", F.lit(4)), path)
+    return spark.read.parquet(path).drop("k")
+
+
+# ---- more walks
+
+
+@query()
+def walks_from_all_edges(spark, sf_dir):
+    edges = graphs.g12(spark, sf_dir)
+    rows = stash(sp.walk_from_all(edges, 4, 4).withColumn("sample", F.xxhash64("chain", "step")))
+    told = en.induced_gint(rows.select("sample", "nodes"), edges, 4, key="sample").join(rows.select("sample", "multiplier"), "sample")
+    return sp.estimate(stash(told), edges, 4, "MCMC")
+
+
+@query()
+def window_walks(spark, sf_dir):
+    return sp.window_walk(graphs.g12(spark, sf_dir), 6, 500, 12).select("window", F.array_join("nodes", " ").alias("nodes"))
+
+
+@query()
+def index_lines_k6(spark, sf_dir):
+    rows = _index(graphs.g12(spark, sf_dir), 6)
+    return rows.select("line_no", "key", F.array_join("nodes", " ").alias("nodes"))
+
+
+@query()
+def alignments_merged_over_a_floor(spark, sf_dir):
+    one, two = graphs.two_networks(spark, sf_dir)
+    found = stash(lo.align_all(one, two, _seeds(spark, sf_dir), least_ec=0.9, most=2, size=8))
+    return lo.merge_with_floor(one, two, found, 0.5)
+
+
+@query()
+def rewired_towards(spark, sf_dir):
+    one, two = graphs.two_networks(spark, sf_dir)
+    return lo.rewire_towards(one, two, dict.fromkeys(lo.OBJECTIVES, 1.0), 20, stagnation=20)
 
 
 def queries() -> dict[str, Query]:
@@ -718,4 +932,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {name: told if isinstance(told, str) else told() for name, told in ORACLE.items()}

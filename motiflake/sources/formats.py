@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..operators.normalize import nodes, numbered
 
 
@@ -96,6 +97,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"{path}: none of {', '.join(READERS)}")
 
 
+def checked(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of a file whose first line has the numbers of nodes and edges and each other line an edge of nodes numbered from
+    0. Numbers out of range, loops, edges that come twice in either direction, and a wrong count are errors."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("no"), F.split(F.trim("value"), r"\s+").alias("p")).filter("p[0] <> ''")
+    head = lines.orderBy("no").first()
+    if head is None or len(head["p"]) != 2:
+        raise ValueError(f"{path}: the first line is not the numbers of nodes and edges")
+    n, m = map(int, head["p"])
+    edges = lines.filter(F.col("no") > head["no"]).select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dst"))
+    told = edges.agg(
+        F.count("*").alias("m"),
+        F.count_if((F.least("src", "dst") < 0) | (F.greatest("src", "dst") >= n)).alias("out"),
+        F.count_if(F.col("src") == F.col("dst")).alias("loops"),
+    ).first()
+    if told["out"]:
+        raise ValueError(f"{path}: {told['out']} edges have a node that is not from 0 to {n - 1}")
+    if told["loops"]:
+        raise ValueError(f"{path}: {told['loops']} edges begin and end at one node")
+    if told["m"] != m:
+        raise ValueError(f"{path}: {told['m']} edges, not {m}")
+    twice = edges.groupBy(F.least("src", "dst"), F.greatest("src", "dst")).count().filter("count > 1").limit(1).count()
+    if twice:
+        raise ValueError(f"{path}: an edge comes twice")
+    return edges
+
+
 def interest(spark: SparkSession, path: str, edges: DataFrame) -> DataFrame:
     """(id) of nodes of interest, a name a line. Names that come twice or that no edge has are an error."""
     listed = spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''")
@@ -139,6 +166,17 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("p")[0].alias("key"), F.split(F.col("p")[1], ",").alias("nodes1"), F.split(F.col("p")[2], ",").alias("nodes2"))
 
 
+def ranked_seeds(spark: SparkSession, path: str, seed: int = 1) -> DataFrame:
+    """(place, line_no, key, nodes1, nodes2, similarity): seeds of four columns, the last a similarity, by falling similarity; those
+    that are alike follow one another by chance. A line's seed is the row with its line_no."""
+    marked = spark.read.text(path).select(F.monotonically_increasing_id().alias("raw"), F.split(F.trim("value"), r"\s+").alias("p")).filter("size(p) = 4")
+    rows = numbered(marked, "raw", into="line_no").select(
+        "line_no", F.col("p")[0].alias("key"), F.split(F.col("p")[1], ",").alias("nodes1"), F.split(F.col("p")[2], ",").alias("nodes2"), F.col("p")[3].cast("double").alias("similarity")
+    )
+    mixed = rows.withColumns({"neg": -F.col("similarity"), "by": draw(seed, F.col("line_no"), "tie")})
+    return numbered(mixed, "neg", "by", "line_no", into="place").drop("neg", "by")
+
+
 def orthologs(spark: SparkSession, path: str, one: str, two: str) -> DataFrame:
     """(n1, n2) of two species' columns of a table; 0 is missing."""
     rows = spark.read.csv(path, sep="\t", header=True)
