@@ -15,7 +15,7 @@ from ..functions.numbers import hypergeometric_tail, ks_tail
 from ..plans import catalogs
 from ..plans.stash import stash
 from .aggregate import classify
-from .enumerate import triangles
+from .enumerate import cliques, triangles
 from .normalize import both_ways, degrees, nodes
 
 # ---- nodes
@@ -45,6 +45,78 @@ def exact_orbits(edges: DataFrame) -> DataFrame:
     )
 
 
+def exact_orbits4(edges: DataFrame) -> DataFrame:
+    """(node, o0 ... o14): orbits of graphs of two to four nodes by closed forms, without listing sets of four but for cliques.
+
+    Each form counts subgraphs that need not be induced, from degrees, triangles of nodes and edges, and common neighbours of
+    pairs; what it counts in denser graphs too is taken off, clique first. A hub costs its wedges, which are counted per pair
+    of ends as they are made, and triangles grow along the degree order.
+    """
+    both = stash(both_ways(edges))
+    tri = stash(triangles(edges))
+    deg = both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d"))
+    at = tri.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
+    node = stash(deg.join(at, "id", "left").select("id", "d", F.coalesce("t", F.lit(0)).cast("long").alias("t")))
+    pair = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    edge = tri.select(F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("te"))
+    edge = stash(edge)
+    own = lambda *names: node.select(*(F.col(c).alias(n) for c, n in zip(("id", "d", "t"), names)))
+    # by edge: the other end's degree and triangles, and the edge's own triangles
+    held = both.join(edge.select(F.col("src").alias("u"), F.col("dst").alias("v"), "te").union(edge.select("dst", "src", "te")), ["u", "v"], "left")
+    held = held.na.fill(0, ["te"]).join(own("v", "dv", "tv"), "v").join(own("u", "du", "tu"), "u")
+    per = held.groupBy("u", "du", "tu").agg(
+        F.sum(F.col("dv") - 1).alias("steps"),
+        F.sum(F.col("te") * (F.col("te") - 1) / 2).cast("long").alias("fans"),
+        F.sum(F.col("tv") - F.col("te")).alias("tails"),
+        F.sum((F.col("dv") - 1) * (F.col("dv") - 2) / 2).cast("long").alias("forks"),
+        F.sum((F.col("du") - 1) * (F.col("dv") - 1) - F.col("te")).alias("middles"),
+    )
+    # paths of three edges from a node: one edge, then the wedges of what it leads to
+    reach = held.groupBy("u").agg(F.sum(F.col("dv") - 1).alias("s"))
+    far = both.join(reach.select(F.col("u").alias("v"), F.col("s")), "v").groupBy("u").agg(F.sum("s").alias("ahead"))
+    # by triangle: degrees of the two others, and triangles on the edge between them
+    sides = tri.select(F.explode(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("src"), F.col(z).alias("dst")) for x, y, z in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b"))))).alias("s")).select("s.*")
+    sides = sides.join(edge, ["src", "dst"]).join(own("src", "d1", "t1"), "src").join(own("dst", "d2", "t2"), "dst")
+    of_tri = sides.groupBy("u").agg(F.sum(F.col("te") - 1).alias("tips"), F.sum(F.col("d1") + F.col("d2") - 4).alias("legs"))
+    # by pair of nodes two steps apart: how many ways; a middle's wedges come from its own list
+    lists = both.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("near"))
+    wedge = lists.select("near", F.posexplode("near").alias("i", "x")).select("x", F.explode(F.slice("near", F.col("i") + 2, F.size("near"))).alias("y"))
+    ways = wedge.groupBy("x", "y").agg(F.count("*").alias("c")).filter("c > 1").withColumn("n", (F.col("c") * (F.col("c") - 1) / 2).cast("long"))
+    rounds = ways.select(F.explode(F.array("x", "y")).alias("u"), "n").groupBy("u").agg(F.sum("n").alias("rounds"))
+    four = cliques(edges, 4).select(F.explode("nodes").alias("u")).groupBy("u").agg(F.count("*").alias("o14"))
+    row = per.join(far, "u").join(of_tri, "u", "left").join(rounds, "u", "left").join(four, "u", "left").na.fill(0)
+    d, c = F.col("du"), F.col
+    steps = (
+        ("o0", d), ("o1", c("steps") - 2 * c("tu")), ("o2", (d * (d - 1) / 2).cast("long") - c("tu")), ("o3", c("tu")),
+        ("o13", c("fans") - 3 * c("o14")), ("o12", c("tips") - 3 * c("o14")),
+        ("o8", c("rounds") - c("o12") - c("o13") - 3 * c("o14")),
+        ("o11", c("tu") * (d - 2) - 2 * c("o13") - 3 * c("o14")),
+        ("o10", c("legs") - 2 * c("o12") - 2 * c("o13") - 6 * c("o14")),
+        ("o9", c("tails") - 2 * c("o12") - 3 * c("o14")),
+        ("o7", (d * (d - 1) * (d - 2) / 6).cast("long") - c("o11") - c("o13") - c("o14")),
+        ("o6", c("forks") - c("o9") - c("o10") - 2 * c("o12") - c("o13") - 3 * c("o14")),
+        ("o5", c("middles") - 2 * c("o8") - 2 * c("o11") - c("o10") - 4 * c("o13") - 2 * c("o12") - 6 * c("o14")),
+        # ahead counts steps back to the start's neighbour's other edges; those that return to the start or close a triangle go
+        ("o4", c("ahead") - d * (d - 1) - 2 * c("tu") - 2 * c("o8") - 2 * c("o9") - c("o10") - 2 * c("o13") - 4 * c("o12") - 6 * c("o14")),
+    )
+    for name, form in steps:
+        row = row.withColumn(name, form.cast("long"))
+    return row.select(F.col("u").alias("node"), *(f"o{i}" for i in range(15)))
+
+
+def graphlet_counts4(orbits: DataFrame) -> DataFrame:
+    """(ordinal, count) of connected graphs of four nodes from the rows of :func:`exact_orbits4`: each graph's orbit over how
+    many of its nodes are in it."""
+    parts = ((4, 2), (7, 1), (8, 4), (11, 1), (13, 2), (14, 4))
+    whole = catalogs.canon(orbits.sparkSession, 4).filter("connected").select("ordinal", "m", "stars")
+    # edges and the most in a star tell the six graphs apart
+    named = {(3, 0): 4, (3, 1): 7, (4, 0): 8, (4, 1): 11, (5, 2): 13, (6, 4): 14}
+    share = dict(parts)
+    sums = orbits.agg(*(F.sum(f"o{i}").alias(f"s{i}") for i, _ in parts))
+    kinds = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(st).alias("stars"), (F.coalesce(f"s{i}", F.lit(0)) / share[i]).cast("long").alias("count")) for (m, st), i in named.items()))
+    return whole.join(F.broadcast(sums.select(F.explode(kinds).alias("x")).select("x.*")), ["m", "stars"]).select("ordinal", "count")
+
+
 # ---- communities
 
 

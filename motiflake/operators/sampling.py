@@ -177,20 +177,21 @@ def walk_from_all(edges: DataFrame, k: int, steps: int, seed: int = 1) -> DataFr
 
 
 def window_walk(edges: DataFrame, w: int, chains: int, steps: int, seed: int = 1) -> DataFrame:
-    """(window, nodes): walks from node to node that hold the nodes they come by until these are w; that is a window, and the walk
-    goes on with the later half of them. window is the chain's number times the steps, and the step."""
+    """(window, nodes): walks from node to node until they have come by w different nodes; those are a window, and the walk goes on
+    with the later half of its steps. window is the chain's number times the steps, and the step."""
     from ..plans.stash import stash
 
     lists = adjacency(edges).select(F.col("id").alias("at"), "nbrs")
-    state = start_edges(edges, chains, seed).select(F.col("sample").alias("chain"), F.array("u", "v").alias("held"), F.col("v").alias("at"))
+    state = start_edges(edges, chains, seed).select(F.col("sample").alias("chain"), F.array("u", "v").alias("trail"), F.col("v").alias("at"))
     out = None
     for t in range(1, steps + 1):
         moved = state.join(lists, "at").withColumn("to", F.get("nbrs", below(F.size("nbrs"), seed, F.col("chain"), "window", t).cast("int")))
-        held = F.array_union("held", F.array("to"))
-        state = stash(moved.select("chain", held.alias("held"), F.col("to").alias("at")))
-        full = state.filter(F.size("held") == w).select((F.col("chain") * (steps + 1) + t).alias("window"), F.array_sort("held").alias("nodes"))
+        moved = stash(moved.select("chain", F.concat("trail", F.array("to")).alias("trail"), F.col("to").alias("at")))
+        done = F.size(F.array_distinct("trail")) == w
+        full = moved.filter(done).select((F.col("chain") * (steps + 1) + t).alias("window"), F.array_sort(F.array_distinct("trail")).alias("nodes"))
         out = full if out is None else out.union(full)
-        state = state.withColumn("held", F.when(F.size("held") == w, F.slice("held", w // 2 + 1, w)).otherwise(F.col("held")))
+        later = F.slice("trail", F.floor(F.size("trail") / 2).cast("int") + 1, F.size("trail"))
+        state = moved.withColumn("trail", F.when(done, later).otherwise(F.col("trail")))
     return out
 
 

@@ -377,3 +377,71 @@ def hamming_objective(k: int) -> str:
         "l AS (SELECT sum(-gap) AS al FROM gap WHERE gap < 0) "
         "SELECT round(coalesce(sum(x.gap * -y.gap / al * dist), 0), 6)::DOUBLE AS hamming FROM gap x JOIN far ON a = x.ordinal JOIN gap y ON b = y.ordinal, l WHERE x.gap > 0 AND y.gap < 0"
     )
+
+
+def exact_orbits4() -> str:
+    place3 = (3, 4, 5)
+    place4 = graphlets.connected_orbits(4)
+    small = ", ".join(f"count(*) FILTER (orbit = {o}) AS o{i + 1}" for i, o in enumerate(place3))
+    large = ", ".join(f"count(*) FILTER (orbit = {place4[c]}) AS o{i + 4}" for i, c in enumerate(graphlets.ORCA_ORBITS[4]))
+    own = lambda k, name, columns: f"{name} AS (WITH {classified(k)}, {orbited(k)} SELECT node, {columns} FROM orb GROUP BY node)"
+    columns = ", ".join(f"coalesce(o{i}, 0)::BIGINT AS o{i}" for i in range(1, 15))
+    return (
+        f"WITH {G12}, {BOTH.replace('b AS', 'dd AS')}, {own(3, 'x3', small)}, {own(4, 'x4', large)}, n AS (SELECT u AS node, count(*) AS o0 FROM dd GROUP BY 1) "
+        f"SELECT node, o0, {columns} FROM n LEFT JOIN x3 USING (node) LEFT JOIN x4 USING (node)"
+    )
+
+
+def cores(told: str) -> str:
+    """est(id, h): estimates that fall from the degree to the h-index of the neighbours'."""
+    return (
+        f"WITH RECURSIVE {G12}, {BOTH}, est(id, h) USING KEY (id) AS (SELECT u, count(*) FROM b GROUP BY u UNION "
+        "SELECT id, nh FROM (SELECT u AS id, max(least(rn, h)) AS nh, any_value(own) AS own FROM "
+        "(SELECT b.u, r.h, o.h AS own, row_number() OVER (PARTITION BY b.u ORDER BY r.h DESC) AS rn "
+        "FROM b JOIN recurring.est r ON r.id = b.v JOIN recurring.est o ON o.id = b.u WHERE (SELECT count(*) FROM est) > 0) GROUP BY u) WHERE nh < own) " + told
+    )
+
+
+def plain_catalog(k: int) -> str:
+    own, rows = plain(k), []
+    for o, g in enumerate(own.numbers):
+        ends = own.edges(g)
+        stars = sum(sum(v in e for e in ends) == k - 1 for v in range(k))
+        rows.append((o, g, str(own.connected(g)).lower(), len(ends), "'" + " ".join(f"{j},{i}" for i, j in sorted(ends, key=lambda e: (e[1], e[0]))) + "'", "'" + " ".join(map(str, own.orbits[o])) + "'", stars))
+    return _table(rows, "ordinal, gint, connected, m, edges, orbits, stars")
+
+
+def plain_unambiguous(k: int, most: int) -> str:
+    rows = []
+    for o, orbit in enumerate(plain(k).orbits):
+        ways = 1
+        for n in Counter(orbit).values():
+            ways *= factorial(n)
+        if ways <= most:
+            rows.append((o, ways))
+    return _table(rows, "ordinal, ways")
+
+
+def plain_chained(k: int) -> str:
+    own = plain(k)
+    whole = [own.edges(g) for g in own.numbers if own.connected(g)]
+    rows = {tuple(sorted((n * (k - 1) + i, n * (k - 1) + j))) for n, ends in enumerate(whole) for i, j in ends}
+    return _table(sorted(rows), "src, dst")
+
+
+def plain_directed_totals() -> str:
+    from itertools import permutations
+
+    rows = []
+    for k in (3, 4):
+        arcs = [(i, j) for i in range(k) for j in range(k) if i != j]
+        place = {a: b for b, a in enumerate(arcs)}
+        moves = [[place[(p[i], p[j])] for i, j in arcs] for p in permutations(range(k))]
+        left, sizes = set(range(1 << len(arcs))), []
+        while left:
+            g = left.pop()
+            bits = [b for b in range(len(arcs)) if g >> b & 1]
+            left -= {sum(1 << m[b] for b in bits) for m in moves}
+            sizes.append(len(bits))
+        rows.append((k, len(sizes), len(set(sizes))))
+    return _table(rows, "k, canonicals, arc_counts")

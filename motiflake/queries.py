@@ -175,6 +175,11 @@ def graphlet_freq_k3_dense(spark, sf_dir):
 
 @query(f"WITH {sql.G12}, {sql.classified(4)} SELECT o.ordinal, coalesce(c.count, 0) AS count FROM {sql.connected(4)} o LEFT JOIN (SELECT ordinal, count(*) AS count FROM cls GROUP BY 1) c USING (ordinal)")
 def graphlet_freq_k4(spark, sf_dir):
+    return ms.graphlet_counts4(ms.exact_orbits4(graphs.g12(spark, sf_dir)))
+
+
+@query(f"WITH {sql.G12}, {sql.classified(4)} SELECT o.ordinal, coalesce(c.count, 0) AS count FROM {sql.connected(4)} o LEFT JOIN (SELECT ordinal, count(*) AS count FROM cls GROUP BY 1) c USING (ordinal)")
+def graphlet_freq_k4_by_sets(spark, sf_dir):
     return ag.frequency(en.connected_sets(graphs.g12(spark, sf_dir), 4), 4)
 
 
@@ -205,6 +210,13 @@ def orbit_degrees_k5(spark, sf_dir):
 
 @query(sql.orbit_table_k4())
 def orbit_table_k4(spark, sf_dir):
+    rows = ms.exact_orbits4(graphs.g12(spark, sf_dir))
+    held = rows.filter(" + ".join(f"o{i}" for i in range(4, 15)) + " > 0")
+    return held.select("node", *(F.col(f"o{i + 4}").alias(f"o{i}") for i in range(11)))
+
+
+@query(sql.orbit_table_k4())
+def orbit_table_k4_by_sets(spark, sf_dir):
     return ag.orbit_table(en.connected_sets(graphs.g12(spark, sf_dir), 4), 4)
 
 
@@ -300,7 +312,7 @@ def hop_distribution(spark, sf_dir):
     return gl.hop_distribution(graphs.g12(spark, sf_dir))
 
 
-@query()
+@query(sql.cores("SELECT id, h AS core FROM est"))
 def core_numbers(spark, sf_dir):
     return gl.cores(graphs.g12(spark, sf_dir))
 
@@ -323,6 +335,11 @@ def exact_orbits_closed_form(spark, sf_dir):
     return ms.exact_orbits(graphs.g12(spark, sf_dir))
 
 
+@query(sql.exact_orbits4())
+def exact_orbits_k4(spark, sf_dir):
+    return ms.exact_orbits4(graphs.g12(spark, sf_dir))
+
+
 _BY_BRAND = "membership AS (SELECT p_partkey AS node, p_brand AS community FROM part)"
 
 
@@ -438,7 +455,7 @@ def cliques_by_shadow(spark, sf_dir):
     return cq.turan_shadow(graphs.gadj(spark, sf_dir), 4, 2000)
 
 
-@query()
+@query(sql.cores("SELECT max(h) AS degeneracy FROM est"))
 def degeneracy(spark, sf_dir):
     return gl.degeneracy(graphs.g12(spark, sf_dir))
 
@@ -699,7 +716,7 @@ def _catalog(name: str, make, oracle=None):
 
 
 for _name, _make, _sql in (
-    ("catalog_k5", lambda s: catalogs.canon(s, 5).withColumn("orbits", F.array_join("orbits", " ")), None),
+    ("catalog_k5", lambda s: catalogs.canon(s, 5).withColumn("orbits", F.array_join("orbits", " ")), lambda: sql.plain_catalog(5)),
     ("catalog_directed_k4", lambda s: catalogs.canon(s, 4, True).withColumn("orbits", F.array_join("orbits", " ")), None),
     ("canonical_map_k5", lambda s: catalogs.canon_map(s, 5).join(catalogs.canon(s, 5).select("ordinal", F.col("gint").alias("canonical")), "ordinal").select("gint", "canonical"), lambda: sql.plain_map(5)),
     ("catalog_orbits_k5", lambda s: catalogs.orbits(s, 5), lambda: sql.plain_orbits(5)),
@@ -709,11 +726,11 @@ for _name, _make, _sql in (
     ("hamming_neighbours_k5", lambda s: catalogs.hamming_neighbours(s, 5, 2), lambda: sql._table([(a, b) for a, b, d in sql.plain_distances(5) if d == 2], "c1, c2")),
     ("catalog_crosswalk_k5", lambda s: catalogs.crosswalk(s, 5), None),
     ("catalog_minimal_chains_k5", lambda s: catalogs.minimal_chains(s, 5), lambda: sql.plain_chains(5)),
-    ("catalog_directed_totals", catalogs.directed_totals, None),
+    ("catalog_directed_totals", catalogs.directed_totals, lambda: sql.plain_directed_totals()),
     ("catalog_report_k4", lambda s: catalogs.report(s, 4), lambda: sql.plain_report(4)),
     ("catalog_drawings_k4", lambda s: catalogs.dot(s, 4), None),
-    ("catalog_unambiguous_k5", lambda s: ag.unambiguous(s, 5, 4), None),
-    ("chained_canonicals_k5", lambda s: nm.chained_canonicals(s, 5), None),
+    ("catalog_unambiguous_k5", lambda s: ag.unambiguous(s, 5, 4), lambda: sql.plain_unambiguous(5, 4)),
+    ("chained_canonicals_k5", lambda s: nm.clean(nm.chained_canonicals(s, 5)), lambda: sql.plain_chained(5)),
     ("map_differences_k4", lambda s: catalogs.map_differences(catalogs.canon_map(s, 4), catalogs.canon_map(s, 4).withColumn("ordinal", F.when(F.col("gint") == 5, 0).otherwise(F.col("ordinal"))), catalogs.orbits(s, 4)), "SELECT 5::BIGINT AS gint"),
 ):
     _catalog(_name, _make, _sql)
