@@ -501,7 +501,7 @@ def walk_neighbours(spark, sf_dir):
 @query()
 def sampled_by_joins_k4(spark, sf_dir):
     edges = graphs.g12(spark, sf_dir)
-    return sp.estimate(stash(sp.grow(edges, 4, 20_000, "EBE", 3)), edges, 4, "EBE")
+    return sp.estimate(stash(fs.by_joins(edges, 4, 200_000, "EBE", 3, edges.count())), edges, 4, "EBE")
 
 
 @query()
@@ -517,7 +517,7 @@ def sampled_edge_cover(spark, sf_dir):
 
 @query()
 def sampled_orbit_degrees_k3(spark, sf_dir):
-    return sp.sampled_orbit_degrees(sp.grow(graphs.g12(spark, sf_dir), 3, 5000, "NBE"), 3, "NBE")
+    return sp.sampled_orbit_degrees(fs.grow(graphs.g12(spark, sf_dir), 3, 50_000, "NBE"), 3, "NBE")
 
 
 @query()
@@ -584,7 +584,7 @@ def node_frequency(spark, sf_dir):
 
 
 def _windows(spark, sf_dir) -> DataFrame:
-    return stash(sp.grow(graphs.g12(spark, sf_dir), 6, 500, "NBE", 5).select(F.col("sample").alias("window"), F.array_sort("nodes").alias("nodes")))
+    return stash(fs.grow(graphs.g12(spark, sf_dir), 6, 500, "NBE", 5).select(F.col("sample").alias("window"), F.array_sort("nodes").alias("nodes")))
 
 
 @query()
