@@ -445,3 +445,33 @@ def plain_directed_totals() -> str:
             sizes.append(len(bits))
         rows.append((k, len(sizes), len(set(sizes))))
     return _table(rows, "k, canonicals, arc_counts")
+
+
+def plain_drawings(k: int) -> str:
+    own, rows = plain(k), []
+    for o, g in enumerate(own.numbers):
+        parts = [f'{v} [label="{v}:{x}"];' for v, x in enumerate(own.orbits[o])] + [f"{j} -- {i};" for i, j in sorted(own.edges(g), key=lambda e: (e[1], e[0]))]
+        rows.append((o, f"'graph g{o} {{ {' '.join(parts)} }}'"))
+    return _table(rows, "ordinal, dot")
+
+
+def plain_crosswalk(k: int) -> str:
+    """Names by the lower triangle and by the upper one: there the least number that any of a graph's relabellings has."""
+    own = plain(k)
+    above = {frozenset(p): b for b, p in enumerate((i, j) for i in reversed(range(k)) for j in reversed(range(i + 1, k)))}
+    upper = [10**9] * len(own.numbers)
+    for g, low in enumerate(own.least):
+        o = own.ordinal[low]
+        upper[o] = min(upper[o], sum(1 << above[frozenset(e)] for e in own.edges(g)))
+    rank = {o: r for r, o in enumerate(sorted(range(len(upper)), key=upper.__getitem__))}
+    orbits = [len(set(x)) for x in own.orbits]
+    linked = [own.connected(g) for g in own.numbers]
+    rows = []
+    for o, g in enumerate(own.numbers):
+        sums = []
+        for place in (lambda x: x, rank.__getitem__):
+            before = [x for x in range(len(upper)) if place(x) < place(o)]
+            sums += [sum(orbits[x] for x in before if linked[x]) if linked[o] else 0, sum(orbits[x] for x in before)]
+        rows.append((int(linked[o]), rank[o], upper[o], g, o, orbits[o], own.orbits[o].count(own.orbits[o][0]), *sums))
+    names = "connected, upper_ordinal, upper_decimal, lower_decimal, lower_ordinal, num_orbits, first_orbit_nodes, first_orbit_connected, first_orbit_all, first_orbit_connected_upper, first_orbit_all_upper"
+    return _table(rows, names)

@@ -724,11 +724,11 @@ for _name, _make, _sql in (
     ("catalog_subcanonicals_k5", lambda s: catalogs.subcanon(s, 5), lambda: sql.plain_subcanonicals(5)),
     ("catalog_hamming_k5", lambda s: catalogs.hamming(s, 5), lambda: sql._table(sql.plain_distances(5), "c1, c2, dist")),
     ("hamming_neighbours_k5", lambda s: catalogs.hamming_neighbours(s, 5, 2), lambda: sql._table([(a, b) for a, b, d in sql.plain_distances(5) if d == 2], "c1, c2")),
-    ("catalog_crosswalk_k5", lambda s: catalogs.crosswalk(s, 5), None),
+    ("catalog_crosswalk_k5", lambda s: catalogs.crosswalk(s, 5), lambda: sql.plain_crosswalk(5)),
     ("catalog_minimal_chains_k5", lambda s: catalogs.minimal_chains(s, 5), lambda: sql.plain_chains(5)),
     ("catalog_directed_totals", catalogs.directed_totals, lambda: sql.plain_directed_totals()),
     ("catalog_report_k4", lambda s: catalogs.report(s, 4), lambda: sql.plain_report(4)),
-    ("catalog_drawings_k4", lambda s: catalogs.dot(s, 4), None),
+    ("catalog_drawings_k4", lambda s: catalogs.dot(s, 4), lambda: sql.plain_drawings(4)),
     ("catalog_unambiguous_k5", lambda s: ag.unambiguous(s, 5, 4), lambda: sql.plain_unambiguous(5, 4)),
     ("chained_canonicals_k5", lambda s: nm.clean(nm.chained_canonicals(s, 5)), lambda: sql.plain_chained(5)),
     ("map_differences_k4", lambda s: catalogs.map_differences(catalogs.canon_map(s, 4), catalogs.canon_map(s, 4).withColumn("ordinal", F.when(F.col("gint") == 5, 0).otherwise(F.col("ordinal"))), catalogs.orbits(s, 4)), "SELECT 5::BIGINT AS gint"),
