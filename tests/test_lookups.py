@@ -34,5 +34,9 @@ def both(monkeypatch, make):
     assert whole and sorted(map(str, make().collect())) == whole
 
 
+def test_grown_alignments_of_any_graph(two, seeds, monkeypatch):
+    both(monkeypatch, lambda: lo.align(*two, seeds, least_ec=0.5, most=12))
+
+
 def test_merged_alignments_of_any_graph(two, seeds, monkeypatch):
     both(monkeypatch, lambda: lo.merge_with_floor(*two, lo.align_all(*two, seeds, least_ec=0.7, most=2, size=8).cache(), 0.3))
