@@ -4,10 +4,12 @@ import random
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
+from motiflake.operators import aggregate as ag
+from motiflake.operators import enumerate as en
 from motiflake.operators import local as lo
 from motiflake.operators import lookups
+from motiflake.operators import normalize as nm
 
 
 def drawn(n, m, seed):
@@ -40,3 +42,39 @@ def test_grown_alignments_of_any_graph(two, seeds, monkeypatch):
 
 def test_merged_alignments_of_any_graph(two, seeds, monkeypatch):
     both(monkeypatch, lambda: lo.merge_with_floor(*two, lo.align_all(*two, seeds, least_ec=0.7, most=2, size=8).cache(), 0.3))
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Cliques in a ring and edges by chance among them, with the neighbours by triangles."""
+    extra = spark.createDataFrame(drawn(60, 90, 5), "src long, dst long")
+    edges = nm.clean(nm.clique_communities(spark, 10, 6, 2).union(extra)).cache()
+    return edges, ag.communities(en.connected_sets(edges, 3), 3, by_orbit=False, symmetric=True).cache()
+
+
+def plain_choice(rows, overlap):
+    """Node sets in their order, each that shares no more than the overlap of its nodes with one taken before."""
+    taken = []
+    for nodes in rows:
+        if all(len(nodes & t) <= overlap * len(nodes) for t in taken):
+            taken.append(nodes)
+    return taken
+
+
+def test_clusters_of_any_graph(mixed, monkeypatch):
+    edges, own = mixed
+    near = {r["id"]: set(r["nbrs"]) for r in nm.adjacency(edges).collect()}
+    reach = lookups.Near()
+    for r in own.collect():
+        reach[r["node"]] = set(reach[r["node"]]) | set(r["neighbours"])
+    grown = {frozenset(lo.grow_cluster(v, near, reach, 0.6)) for v in near}
+    inside = lambda c: sum(len(near[v] & c) for v in c) // 2
+    order = sorted((c for c in grown if len(c) >= 3), key=lambda c: (-len(c), -inside(c), sorted(c)))
+    want = plain_choice(order, 0.5)
+    assert 1 < len(want) < len(order)
+    for few in (50_000, 0):
+        monkeypatch.setattr(lo, "FEW_RIVALS", few)
+        rows = sorted(lo.clusters(edges, own, 0.6).collect())
+        assert [(r["cluster"], r["n"], r["m"], r["nodes"]) for r in rows] == [(i, len(c), inside(c), sorted(c)) for i, c in enumerate(want)]
+        monkeypatch.setattr(lookups, "BROADCAST_EDGES", 0)
+        monkeypatch.setattr(lo, "MOST_EDGES", 3)
