@@ -78,3 +78,19 @@ def test_clusters_of_any_graph(mixed, monkeypatch):
         assert [(r["cluster"], r["n"], r["m"], r["nodes"]) for r in rows] == [(i, len(c), inside(c), sorted(c)) for i, c in enumerate(want)]
         monkeypatch.setattr(lookups, "BROADCAST_EDGES", 0)
         monkeypatch.setattr(lo, "MOST_EDGES", 3)
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_selected_clusters_of_any_number(spark, monkeypatch, few):
+    rng = random.Random(7)
+    rows = [(100 - i, sorted(rng.sample(range(40), rng.randint(3, 8))), rng.randint(3, 20)) for i in range(60)]
+    found = [(c, len(v), m, m / 30, v) for c, v, m in rows]
+    frame = spark.createDataFrame(found, "cluster long, n long, m long, density double, nodes array<bigint>")
+    order = sorted((x for x in found if x[2] * x[3] >= 1.0), key=lambda x: (-x[2] * x[3], x[0]))
+    want = plain_choice([frozenset(x[4]) for x in order], 0.2)
+    monkeypatch.setattr(lo, "FEW_RIVALS", few)
+    monkeypatch.setattr(lo, "MOST_EDGES", 3)
+    got = sorted(lo.select_clusters(frame, 0.2, 1.0).collect(), key=lambda r: r["place"])
+    by = {x[0]: x for x in found}
+    assert [frozenset(by[r["cluster"]][4]) for r in got] == want and [r["place"] for r in got] == list(range(len(want)))
+    assert all(r["score"] == by[r["cluster"]][2] * by[r["cluster"]][3] for r in got)
