@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from motiflake.operators import aggregate as ag
 from motiflake.operators import enumerate as en
@@ -94,3 +95,11 @@ def test_selected_clusters_of_any_number(spark, monkeypatch, few):
     by = {x[0]: x for x in found}
     assert [frozenset(by[r["cluster"]][4]) for r in got] == want and [r["place"] for r in got] == list(range(len(want)))
     assert all(r["score"] == by[r["cluster"]][2] * by[r["cluster"]][3] for r in got)
+
+
+def test_pairs_of_a_large_key_are_dealt_out(spark):
+    names = lambda n, c: spark.range(n).select(F.concat_ws("_", F.lit(c), "id", F.col("id") % 2).alias("name"))
+    pairs = nm.ortholog_pairs(names(400, "a"), names(30, "b"), lambda c: F.upper(c))
+    assert sorted(map(tuple, pairs.collect())) == sorted((f"A_{i}_{i % 2}", f"B_{j}_{j % 2}") for i in range(400) for j in range(30) if i % 2 == j % 2)
+    held = pairs.groupBy(F.spark_partition_id()).count()
+    assert held.agg(F.max("count")).first()[0] < 6000 / 4
