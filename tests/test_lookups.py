@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from motiflake.operators import aggregate as ag
 from motiflake.operators import enumerate as en
+from motiflake.operators import fast_sampling as fs
 from motiflake.operators import local as lo
 from motiflake.operators import lookups
 from motiflake.operators import normalize as nm
@@ -103,3 +104,13 @@ def test_pairs_of_a_large_key_are_dealt_out(spark):
     assert sorted(map(tuple, pairs.collect())) == sorted((f"A_{i}_{i % 2}", f"B_{j}_{j % 2}") for i in range(400) for j in range(30) if i % 2 == j % 2)
     held = pairs.groupBy(F.spark_partition_id()).count()
     assert held.agg(F.max("count")).first()[0] < 6000 / 4
+
+
+def test_samples_of_many_edges_gather_nothing(spark, monkeypatch):
+    def gathered(edges):
+        raise AssertionError("edges on the driver")
+
+    monkeypatch.setattr(fs, "lists", gathered)
+    path = spark.range(600_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    rows = fs.grow(path, 3, 200, "EBE").collect()
+    assert len(rows) == 200 and all(max(r["nodes"]) - min(r["nodes"]) == 2 for r in rows)
