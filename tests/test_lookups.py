@@ -12,6 +12,7 @@ from motiflake.operators import fast_sampling as fs
 from motiflake.operators import local as lo
 from motiflake.operators import lookups
 from motiflake.operators import normalize as nm
+from motiflake.operators import sampling as sp
 
 
 def drawn(n, m, seed):
@@ -106,11 +107,22 @@ def test_pairs_of_a_large_key_are_dealt_out(spark):
     assert held.agg(F.max("count")).first()[0] < 6000 / 4
 
 
-def test_samples_of_many_edges_gather_nothing(spark, monkeypatch):
+@pytest.fixture
+def path(spark, monkeypatch):
+    """A long path, whose edges must not be gathered."""
+
     def gathered(edges):
         raise AssertionError("edges on the driver")
 
     monkeypatch.setattr(fs, "lists", gathered)
-    path = spark.range(600_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    return spark.range(600_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+
+
+def test_samples_of_many_edges_gather_nothing(path):
     rows = fs.grow(path, 3, 200, "EBE").collect()
     assert len(rows) == 200 and all(max(r["nodes"]) - min(r["nodes"]) == 2 for r in rows)
+
+
+def test_precision_of_many_edges_gathers_nothing(path):
+    told, taken = sp.until_precise(path, 3, "EBE", 50, 0.5, most=5)
+    assert taken == 3 and max(r["mean"] for r in told.collect()) == 50
