@@ -126,3 +126,8 @@ def test_samples_of_many_edges_gather_nothing(path):
 def test_precision_of_many_edges_gathers_nothing(path):
     told, taken = sp.until_precise(path, 3, "EBE", 50, 0.5, most=5)
     assert taken == 3 and max(r["mean"] for r in told.collect()) == 50
+
+
+def test_orbit_degrees_of_many_edges_gather_nothing(path):
+    rows = sp.sampled_orbit_degrees(fs.grow(path, 3, 100, "NBE"), 3, "NBE").collect()
+    assert len({r["orbit"] for r in rows}) == 2 and len(rows) > 100
