@@ -131,3 +131,13 @@ def test_precision_of_many_edges_gathers_nothing(path):
 def test_orbit_degrees_of_many_edges_gather_nothing(path):
     rows = sp.sampled_orbit_degrees(fs.grow(path, 3, 100, "NBE"), 3, "NBE").collect()
     assert len({r["orbit"] for r in rows}) == 2 and len(rows) > 100
+
+
+@pytest.mark.parametrize("target", [0.0, 30.0])
+def test_rewiring_of_any_graph(spark, monkeypatch, target):
+    edges = spark.createDataFrame(drawn(40, 120, 3), "src long, dst long")
+    whole = lambda near: lo.triangle_measure(near)  # noqa: E731  # a measure of the whole graph
+    want = sorted(map(tuple, lo.rewire(edges, {"triangles": target}, whole, 200, 4).collect()))
+    assert want != drawn(40, 120, 3)
+    monkeypatch.setattr(lo, "MOST_EDGES", 3)
+    assert sorted(map(tuple, lo.rewire(edges, {"triangles": target}, lo.triangle_measure, 200, 4).collect())) == want
