@@ -141,3 +141,18 @@ def test_rewiring_of_any_graph(spark, monkeypatch, target):
     assert want != drawn(40, 120, 3)
     monkeypatch.setattr(lo, "MOST_EDGES", 3)
     assert sorted(map(tuple, lo.rewire(edges, {"triangles": target}, lo.triangle_measure, 200, 4).collect())) == want
+
+
+def test_rewiring_towards_any_graph(spark, monkeypatch):
+    a, b = (spark.createDataFrame(drawn(30, 80, s), "src long, dst long") for s in (1, 2))
+    goal = lo._profile(lo.neighbours(lo.gather(b)))
+    unit = lo.objectives(lo._profile(lo.neighbours(lo.gather(a))), goal)
+
+    def whole(near):
+        now = lo.objectives(lo._profile(near), goal)
+        return {"distance": sum(now[x] / (unit[x] or 1.0) for x in lo.OBJECTIVES)}
+
+    want = sorted(map(tuple, lo.rewire(a, {"distance": 0.0}, whole, 80, 3).collect()))
+    assert want != drawn(30, 80, 1)
+    monkeypatch.setattr(lo, "MOST_EDGES", 3)
+    assert sorted(map(tuple, lo.rewire_towards(a, b, dict.fromkeys(lo.OBJECTIVES, 1.0), 80, 3).collect())) == want
