@@ -156,3 +156,19 @@ def test_rewiring_towards_any_graph(spark, monkeypatch):
     assert want != drawn(30, 80, 1)
     monkeypatch.setattr(lo, "MOST_EDGES", 3)
     assert sorted(map(tuple, lo.rewire_towards(a, b, dict.fromkeys(lo.OBJECTIVES, 1.0), 80, 3).collect())) == want
+
+
+def test_stamping_of_any_graph(spark, monkeypatch):
+    monkeypatch.setattr(lo, "MOST_EDGES", 3)
+    rows = drawn(40, 120, 3)
+    edges, links = spark.createDataFrame(rows, "src long, dst long"), set(rows)
+    found = lo.pieces(edges, 5, 0, 30, 2)
+    assert [p["piece"] for p in found] == list(range(30)) and len({tuple(p["nodes"]) for p in found}) > 20
+    for p in found:
+        for i, v in enumerate(p["nodes"]):
+            assert p["near"][i] == {b if a == v else a for a, b in links if v in (a, b)}
+            assert i == 0 or any((min(u, v), max(u, v)) in links for u in p["nodes"][:i])
+    made = [tuple(r) for r in lo.stamped(spark, edges, 25, 70, 5, 2).collect()]
+    assert len(set(made)) == len(made) == 70 and all(0 <= a < b < 25 for a, b in made)
+    assert made == [tuple(r) for r in lo.stamped(spark, edges, 25, 70, 5, 2).collect()]
+    assert lo.stamped(spark, edges.limit(0), 25, 70, 5).count() == 0
