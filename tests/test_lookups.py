@@ -172,3 +172,23 @@ def test_stamping_of_any_graph(spark, monkeypatch):
     assert len(set(made)) == len(made) == 70 and all(0 <= a < b < 25 for a, b in made)
     assert made == [tuple(r) for r in lo.stamped(spark, edges, 25, 70, 5, 2).collect()]
     assert lo.stamped(spark, edges.limit(0), 25, 70, 5).count() == 0
+
+
+def test_partitions_of_any_graph(spark, mixed, monkeypatch):
+    edges, _ = mixed
+    near = lo.neighbours(lo.gather(edges))
+    monkeypatch.setattr(lo, "MOST_EDGES", 3)
+
+    def parts(steps, **more):
+        out: dict = {}
+        for r in lo.optimise_partition(edges, 7, steps, **more).collect():
+            out.setdefault(r["community"], set()).add(r["node"])
+        assert sorted(v for p in out.values() for v in p) == sorted(near)
+        assert [min(out[c]) for c in range(len(out))] == sorted(map(min, out.values()))
+        return out
+
+    start = lo.breadth_first_parts(near, 7)
+    assert parts(0) == start
+    assert lo.partition_score(near, parts(1500)) > lo.partition_score(near, start)
+    parts(300, heat=2.0)
+    assert lo.optimise_partition(edges.limit(0), 7, 10).count() == 0
