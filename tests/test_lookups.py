@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from motiflake.operators import aggregate as ag
 from motiflake.operators import enumerate as en
 from motiflake.operators import fast_sampling as fs
+from motiflake.operators import graph_loops as gl
 from motiflake.operators import local as lo
 from motiflake.operators import lookups
 from motiflake.operators import normalize as nm
 from motiflake.operators import sampling as sp
+from motiflake.operators import spans
 
 
 def drawn(n, m, seed):
@@ -192,3 +194,19 @@ def test_partitions_of_any_graph(spark, mixed, monkeypatch):
     assert lo.partition_score(near, parts(1500)) > lo.partition_score(near, start)
     parts(300, heat=2.0)
     assert lo.optimise_partition(edges.limit(0), 7, 10).count() == 0
+
+
+def test_hops_in_arrays_and_by_joins(spark, monkeypatch):
+    parts = [[(u + 100 * i, v + 100 * i) for u, v in drawn(20 + i, 28, i)] for i in range(4)] + [[(i, i + 1) for i in range(500, 570)], [(900 + 2 * i, 901 + 2 * i) for i in range(30)]]
+    edges = spark.createDataFrame([e for p in parts for e in p], "src long, dst long")
+    none = lambda *x: None
+    some = nm.nodes(edges).filter("id % 3 = 0")
+    for most, of in ((None, None), (3, None), (None, some)):
+        monkeypatch.setattr(gl, "_hops_by_joins", none)
+        monkeypatch.setattr(gl, "ARRAY_EDGES", 10_000)
+        got = sorted(map(tuple, gl.hop_distribution(edges, most, of).collect()))
+        monkeypatch.undo()
+        assert got == sorted(map(tuple, gl._hops_by_joins(edges, most, of, 4096).collect())) and len(got) == (most or 70)
+    own = spans.spanned(edges)
+    for width in (1, 7, 10_000):
+        assert [s for b in own.batches(width) for s in range(*b[2:])] == list(range(len(own.ids)))
