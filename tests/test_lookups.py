@@ -210,3 +210,16 @@ def test_hops_in_arrays_and_by_joins(spark, monkeypatch):
     own = spans.spanned(edges)
     for width in (1, 7, 10_000):
         assert [s for b in own.batches(width) for s in range(*b[2:])] == list(range(len(own.ids)))
+
+
+def test_measures_of_many_components(spark, monkeypatch):
+    rows = [(u + 100 * i, v + 100 * i) for i in range(6) for u, v in drawn(25, 40, 1)]
+    one, six = (spark.createDataFrame(x, "src long, dst long") for x in (rows[:40], rows + [(900 + 2 * i, 901 + 2 * i) for i in range(40)]))
+    monkeypatch.setattr(lo, "MOST_EDGES", 3)
+    a, b = (lo.global_measures(x, width).first() for x, width in ((one, 256), (six, 5)))
+    assert (b["n"], b["m"], b["components"]) == (6 * a["n"] + 80, 280, 6 * a["components"] + 40)
+    for c in ("diameter", "node_betweenness", "edge_betweenness", "eigenvalue"):
+        assert b[c] == pytest.approx(a[c], abs=1e-5), c
+    # a search reads its component alone
+    own = spans.spanned(six)
+    assert max(hi - lo for lo, hi, *_ in own.batches(5)) <= 25
