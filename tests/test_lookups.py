@@ -223,3 +223,7 @@ def test_measures_of_many_components(spark, monkeypatch):
     # a search reads its component alone
     own = spans.spanned(six)
     assert max(hi - lo for lo, hi, *_ in own.batches(5)) <= 25
+
+
+def test_all_alignments_of_any_graph(two, seeds, monkeypatch):
+    both(monkeypatch, lambda: lo.align_all(*two, seeds, least_ec=0.7, most=3, size=8))
