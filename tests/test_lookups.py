@@ -12,9 +12,12 @@ from motiflake.operators import fast_sampling as fs
 from motiflake.operators import graph_loops as gl
 from motiflake.operators import local as lo
 from motiflake.operators import lookups
+from motiflake.operators import measures as ms
 from motiflake.operators import normalize as nm
 from motiflake.operators import sampling as sp
 from motiflake.operators import spans
+from motiflake.queries import queries
+from motiflake.sources import graphs
 
 
 def drawn(n, m, seed):
@@ -101,6 +104,26 @@ def test_selected_clusters_of_any_number(spark, monkeypatch, few):
     assert all(r["score"] == by[r["cluster"]][2] * by[r["cluster"]][3] for r in got)
 
 
+def test_communities_of_triples_by_closed_forms(mixed):
+    edges, own = mixed
+    got = ms.triple_communities(edges)
+    assert got.dtypes == own.dtypes and sorted(map(str, got.collect())) == sorted(map(str, own.collect()))
+
+
+def test_selected_clusters_list_no_paths(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    edges = graphs.gadj(spark, sf).cache()
+    own = ag.communities(en.connected_sets(edges, 3), 3, by_orbit=False, symmetric=True)
+    want = sorted(map(str, lo.select_clusters(lo.clusters(edges, own, 0.7), 0.2, 1.0, "EDN").collect()))
+    tried = []
+    real = lookups.stash
+    monkeypatch.setattr(lookups, "stash", lambda x: tried.append("wanted" in x.columns) or real(x))
+    monkeypatch.setattr(lookups, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(en, "connected_sets", None)
+    assert want and sorted(map(str, queries()["selected_clusters"](spark, sf).collect())) == want
+    assert sum(tried) < 10  # rounds
+
+
 def test_pairs_of_a_large_key_are_dealt_out(spark):
     names = lambda n, c: spark.range(n).select(F.concat_ws("_", F.lit(c), "id", F.col("id") % 2).alias("name"))
     pairs = nm.ortholog_pairs(names(400, "a"), names(30, "b"), lambda c: F.upper(c))
