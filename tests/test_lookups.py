@@ -153,6 +153,18 @@ def test_precision_of_many_edges_gathers_nothing(path):
     assert taken == 3 and max(r["mean"] for r in told.collect()) == 50
 
 
+def test_lists_are_gathered_as_columns(spark, monkeypatch):
+    edges = spark.createDataFrame(drawn(40, 120, 3), "src long, dst long")
+    want = fs.arrays(edges.toPandas().to_numpy())
+
+    def rows(*x):
+        raise AssertionError("rows one by one")
+
+    for name in ("toPandas", "collect", "toLocalIterator"):
+        monkeypatch.setattr(type(edges), name, rows)
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(fs.lists(edges), want))
+
+
 def test_orbit_degrees_of_many_edges_gather_nothing(path):
     rows = sp.sampled_orbit_degrees(fs.grow(path, 3, 100, "NBE"), 3, "NBE").collect()
     assert len({r["orbit"] for r in rows}) == 2 and len(rows) > 100
