@@ -153,6 +153,20 @@ def test_precision_of_many_edges_gathers_nothing(path):
     assert taken == 3 and max(r["mean"] for r in told.collect()) == 50
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_batches_prepare_the_graph_once(spark, monkeypatch, most):
+    edges = spark.createDataFrame(drawn(40, 120, 3), "src long, dst long")
+    monkeypatch.setattr(fs, "MOST_EDGES", most)
+    wants = [sorted(map(str, fs.grow(edges, 3, 300, "EBE", 1000 + b).collect())) for b in range(3)]
+    name = "numbered" if most == 0 else "lists"
+    seen, real = [], getattr(fs, name)
+    monkeypatch.setattr(fs, name, lambda *x: seen.append(x) or real(*x))
+    draw = fs.sampler(edges, 3, "EBE", often=True)
+    assert [sorted(map(str, draw(300, 1000 + b).collect())) for b in range(3)] == wants
+    _, taken = sp.until_precise(edges, 3, "EBE", 300, 0.0, most=4)
+    assert taken == 4 and len(seen) == 2
+
+
 def test_lists_are_gathered_as_columns(spark, monkeypatch):
     edges = spark.createDataFrame(drawn(40, 120, 3), "src long, dst long")
     want = fs.arrays(edges.toPandas().to_numpy())
