@@ -209,6 +209,14 @@ def test_rewiring_towards_any_graph(spark, monkeypatch):
     assert sorted(map(tuple, lo.rewire_towards(a, b, dict.fromkeys(lo.OBJECTIVES, 1.0), 80, 3).collect())) == want
 
 
+def test_rewiring_towards_lists_triangles_once_a_graph(spark, monkeypatch):
+    a, b = (spark.createDataFrame(drawn(30, 80, s), "src long, dst long") for s in (1, 2))
+    seen, real = [], ms.clustering
+    monkeypatch.setattr(ms, "clustering", lambda x: seen.append(x.inputFiles()) or real(x))
+    assert lo.rewire_towards(a, b, dict.fromkeys(lo.OBJECTIVES, 1.0), 80, 3).count() == 80
+    assert len(seen) == 2 and all("/loop-" in f for files in seen for f in files)
+
+
 def test_stamping_of_any_graph(spark, monkeypatch):
     monkeypatch.setattr(lo, "MOST_EDGES", 3)
     rows = drawn(40, 120, 3)
