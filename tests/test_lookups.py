@@ -10,6 +10,7 @@ from motiflake.operators import aggregate as ag
 from motiflake.operators import enumerate as en
 from motiflake.operators import fast_sampling as fs
 from motiflake.operators import graph_loops as gl
+from motiflake.operators import index as ix
 from motiflake.operators import local as lo
 from motiflake.operators import lookups
 from motiflake.operators import measures as ms
@@ -284,3 +285,14 @@ def test_measures_of_many_components(spark, monkeypatch):
 
 def test_all_alignments_of_any_graph(two, seeds, monkeypatch):
     both(monkeypatch, lambda: lo.align_all(*two, seeds, least_ec=0.7, most=3, size=8))
+
+
+@pytest.mark.parametrize("name, operator", [("all_alignments", "align_all")])
+def test_alignments_read_written_networks(spark, monkeypatch, name, operator):
+    sf, seen, indexed = "/root/testdata/sf0.001", [], []
+    want = sorted(map(str, queries()[name](spark, sf).collect()))
+    real, index = getattr(lo, operator), ix.index
+    monkeypatch.setattr(lo, operator, lambda one, two, *x, **y: seen.extend([one, two]) or real(one, two, *x, **y))
+    monkeypatch.setattr(ix, "index", lambda edges, *x: indexed.append(edges) or index(edges, *x))
+    assert want and sorted(map(str, queries()[name](spark, sf).collect())) == want
+    assert len(indexed) == 2 and all("/loop-" in f for g in seen + indexed for f in g.inputFiles())
