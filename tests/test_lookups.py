@@ -287,7 +287,7 @@ def test_all_alignments_of_any_graph(two, seeds, monkeypatch):
     both(monkeypatch, lambda: lo.align_all(*two, seeds, least_ec=0.7, most=3, size=8))
 
 
-@pytest.mark.parametrize("name, operator", [("all_alignments", "align_all")])
+@pytest.mark.parametrize("name, operator", [("all_alignments", "align_all"), ("grown_alignments", "align")])
 def test_alignments_read_written_networks(spark, monkeypatch, name, operator):
     sf, seen, indexed = "/root/testdata/sf0.001", [], []
     want = sorted(map(str, queries()[name](spark, sf).collect()))
