@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import groups
-from .stash import drop, stash, stash_by
+from .stash import PAGES, batches_of, drop, stash, stash_by
 from .textscan import FOLD, SPACED, U64, hashes, mix, pieces, words
 
 BLOCK = 2 << 20
@@ -457,7 +457,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
             )
 
     sent_words = blocks.select("block", "words", "trained", "suffixes").mapInArrow(told, "range long, block long, words binary, trained binary, suffixes binary")
-    tallied = stash(_ranged(sent_words, ranges).mapInArrow(_tally, _TALLY), 100)
+    tallied = stash(_ranged(sent_words, ranges).mapInArrow(_tally, _TALLY), 100, **PAGES)
     sums = tallied.filter("kind = 1").groupBy("suffix").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
     top = _most_frequent(tallied.filter("kind = 2").select("word", "c", "suffix"))
     n = sum(r["c"] for r in sums) + texts
@@ -560,9 +560,10 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
             if total is not None:
                 yield pa.RecordBatch.from_arrays(placed(np.concatenate([total.start[None, :], total.move, total.emit])), ["place", *columns])
 
-        counted = stash(done.select(*wanted).mapInArrow(count, "place int, " + ", ".join(f"{c} double" for c in columns)), 1)
-        rows = sums_of(counted, 1 + states + CLASSES)
-        drop(counted)
+        # added up as it comes, as a table of the tasks' sums would be a file from each task in each round
+        with batches_of(spark, 1):
+            counted = done.select(*wanted).mapInArrow(count, "place int, " + ", ".join(f"{c} double" for c in columns))
+            rows = sums_of(counted, 1 + states + CLASSES)
         model = fit(Model(rows[0], rows[1 : 1 + states], rows[1 + states :]), prior, spare)
         sent.unpersist()
 
@@ -586,11 +587,11 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int =
             yield pa.RecordBatch.from_arrays([*none, *rest], names)
 
     schema = "range long, block long, words binary, trained binary, shares binary, place int, " + ", ".join(f"{c} double" for c in columns)
-    spread_out = stash(done.select(*wanted).mapInArrow(spread, schema), 1)
+    spread_out = stash(done.select(*wanted).mapInArrow(spread, schema), 1, **PAGES)
     sent.unpersist()
     rows = sums_of(spread_out.filter("place is not null").select("place", *columns), 2 + states)
     by_range = spread_out.filter("place is null").select("range", "block", "words", "trained", "shares")
-    profiles = stash(_ranged(by_range, ranges).mapInArrow(_profiles(states), _TALLY), 100)
+    profiles = stash(_ranged(by_range, ranges).mapInArrow(_profiles(states), _TALLY), 100, **PAGES)
     drop(spread_out)
     emitted = rows[1 + states] + sum((np.frombuffer(r["told"]) for r in profiles.filter("kind = 1").select("told").collect()), np.zeros(states))
     start, move = rows[0] + 1, rows[1 : 1 + states] + 1

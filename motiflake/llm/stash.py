@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = 4
-
 
 def folder(spark: SparkSession) -> str:
     context = spark.sparkContext
@@ -25,35 +25,43 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
-def stash(df: DataFrame, batch: int = 1000) -> DataFrame:
-    """df, written as a table of its own and read again. Python functions in it get ``batch`` rows at a time at most, as
-    rows with whole texts or sets are wide; the session's own setting is put back."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/stash-{uuid.uuid4().hex}"
+#: A page ends with the first value that fills it. Parquet looks only every 100 rows otherwise, so that a page of wide rows has
+#: most of a file, and every task that writes or reads it holds buffers of that size outside the heap.
+PAGES = {"parquet.page.size.row.check.min": "1"}
+
+
+@contextmanager
+def batches_of(spark: SparkSession, batch: int) -> Iterator[None]:
+    """Python functions get ``batch`` rows at a time at most in what runs meanwhile, as rows with whole texts or sets are wide; the
+    session's own setting is put back."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(min(batch, int(before)) if int(before) > 0 else batch))
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(name, before)
+
+
+def stash(df: DataFrame, batch: int = 1000, **options: str) -> DataFrame:
+    """df, written as a table of its own with options for Parquet and read again, by ``batch`` rows as in :func:`batches_of`."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/stash-{uuid.uuid4().hex}"
+    with batches_of(spark, batch):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stash_by(df: DataFrame, column: str, batch: int = 1) -> DataFrame:
-    """As :func:`stash`, but kept apart by the hash of a column into ``PARTS`` times as many parts as shuffles have: a join on that
-    column reads it where it lies, so that wide rows are not shuffled, and few of them are sorted together."""
+    """As :func:`stash`, but kept apart by the hash of a column into as many parts as shuffles have: a join on that column reads it
+    where it lies, so that wide rows are not shuffled. Each task writes a file, with pages as in ``PAGES``, for each part that it has
+    rows of."""
     spark = df.sparkSession
     name = f"stash_{uuid.uuid4().hex}"
     path = f"{folder(spark)}/stash-{name}"
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, str(batch))
-    try:
-        df.write.bucketBy(parts, column).option("path", path).format("parquet").saveAsTable(name)
-    finally:
-        spark.conf.set(conf, before)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with batches_of(spark, batch):
+        df.write.bucketBy(parts, column).options(path=path, **PAGES).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

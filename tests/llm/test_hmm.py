@@ -157,3 +157,14 @@ def test_most_frequent_words_by_merging(spark, monkeypatch):
     got = [(r["word"], r["c"]) for r in hmm._most_frequent(rows.repartition(5))]
     want = sorted(((i, i * 7919 % 1000) for i in range(3 * hmm.OWN)), key=lambda x: (-x[1], x[0]))[: hmm.OWN]
     assert got == want
+
+
+def test_rounds_write_no_tables(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(hmm, "stash", lambda *a, real=hmm.stash, **k: made.append(1) or real(*a, **k))
+    tables = []
+    for rounds in (1, 3):
+        made.clear()
+        hmm.score(documents(spark, corpus()[-20:]), rounds=rounds)
+        tables.append(len(made))
+    assert tables[0] == tables[1]
