@@ -254,6 +254,39 @@ def test_partitions_of_any_graph(spark, mixed, monkeypatch):
     assert lo.optimise_partition(edges.limit(0), 7, 10).count() == 0
 
 
+def test_partition_leaves_no_step_that_gains(spark, mixed):
+    edges = mixed[0].union(spark.createDataFrame([(u + 1000, v + 1000) for u, v in drawn(40, 90, 3)] + [(2000, 2001)], "src long, dst long"))
+    near = lo.neighbours(lo.gather(edges))
+    parts: dict = {}
+    for r in lo.optimise_partition(edges, 7).collect():
+        parts.setdefault(r["community"], set()).add(r["node"])
+    assert sorted(v for p in parts.values() for v in p) == sorted(near)
+    assert [min(parts[c]) for c in range(len(parts))] == sorted(map(min, parts.values()))
+    home = {v: c for c, p in parts.items() for v in p}
+    worth = lambda *sets: lo.partition_score(near, dict(enumerate(sets)))
+    for v, a in home.items():
+        own = parts[a]
+        half = own & {v, *near[v]}
+        assert worth(half, own - half) <= worth(own) + 1e-6
+        for b in {home[u] for u in near[v]} - {a}:
+            assert worth(own - {v}, parts[b] | {v}) <= worth(own, parts[b]) + 1e-6
+            assert worth(own | parts[b]) <= worth(own, parts[b]) + 1e-6
+
+
+def test_partition_query_works_on_the_whole_graph(spark):
+    sf = "/root/testdata/sf0.001"
+    edges = graphs.g12(spark, sf)
+    near, parts = lo.neighbours(lo.gather(edges)), {}
+    for r in queries()["optimised_partition"](spark, sf).collect():
+        parts.setdefault(r["community"], set()).add(r["node"])
+    assert sorted(v for p in parts.values() for v in p) == sorted(near)
+    home = {v: c for c, p in parts.items() for v in p}
+    worth = lambda *sets: lo.partition_score(near, dict(enumerate(sets)))
+    for v, a in home.items():
+        for b in {home[u] for u in near[v]} - {a}:
+            assert worth(parts[a] - {v}, parts[b] | {v}) <= worth(parts[a], parts[b]) + 1e-6
+
+
 def test_hops_in_arrays_and_by_joins(spark, monkeypatch):
     parts = [[(u + 100 * i, v + 100 * i) for u, v in drawn(20 + i, 28, i)] for i in range(4)] + [[(i, i + 1) for i in range(500, 570)], [(900 + 2 * i, 901 + 2 * i) for i in range(30)]]
     edges = spark.createDataFrame([e for p in parts for e in p], "src long, dst long")
