@@ -320,6 +320,60 @@ def test_all_alignments_of_any_graph(two, seeds, monkeypatch):
     both(monkeypatch, lambda: lo.align_all(*two, seeds, least_ec=0.7, most=3, size=8))
 
 
+def plain_alignments(seed, one, two, least_ec):
+    """All sets of pairs that a seed leads to and to which none can be added."""
+    inner = lambda nodes, edges: sum(u in nodes and v in nodes for u, v in edges)
+    kept = lambda m: sum(u in m and v in m and tuple(sorted((m[u], m[v]))) in two for u, v in one)
+    fits = lambda m: kept(m) >= least_ec * max(inner(set(m), one), inner(set(m.values()), two))
+    ends, todo, seen = set(), [frozenset(seed)], set()
+    while todo:
+        pairs = todo.pop()
+        if pairs in seen:
+            continue
+        seen.add(pairs)
+        m = dict(pairs)
+        free = {(x, y) for x in range(6) for y in range(6) if x not in m and y not in m.values()}
+        more = [m | {x: y} for x, y in free if kept(m | {x: y}) > kept(m) and fits(m | {x: y})]
+        todo += [frozenset(x.items()) for x in more]
+        if not more:
+            ends.add(pairs)
+    return ends
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_all_alignments_without_bounds(spark, monkeypatch, few):
+    monkeypatch.setattr(lookups, "BROADCAST_EDGES", few)
+    two_ = drawn(6, 9, 4)
+    one = two_[1:]
+    frames = [spark.createDataFrame(x, "src long, dst long") for x in (one, two_)]
+    u, v = one[0]
+    start = spark.createDataFrame([("s", [u, v], [u, v])], "key string, nodes1 array<bigint>, nodes2 array<bigint>")
+    by: dict = {}
+    for r in lo.align_all(*frames, start, least_ec=0.7).collect():
+        by.setdefault(r["align_id"], set()).add((r["n1"], r["n2"]))
+    want = plain_alignments([(u, u), (v, v)], one, set(two_), 0.7)
+    assert len(want) > 10 and len(by) == len(want) and set(map(frozenset, by.values())) == want
+
+
+def test_all_alignments_grow_to_their_ends(spark):
+    sf, by = "/root/testdata/sf0.001", {}
+    one, two_ = (lo.neighbours(lo.gather(g)) for g in graphs.two_networks(spark, sf))
+    for r in queries()["all_alignments"](spark, sf).collect():
+        by.setdefault(r["align_id"], {})[r["n1"]] = r["n2"]
+    for image in by.values():
+        left, right = set(image), set(image.values())
+        inner = lambda v, near, side: len(near.get(v, set()) & side)
+        kept = sum(image[b] in two_[image[a]] for a in image for b in one[a] & left) // 2
+        e1, e2 = sum(inner(a, one, left) for a in left) // 2, sum(inner(b, two_, right) for b in right) // 2
+        assert kept >= 0.9 * max(e1, e2)
+        votes: dict = {}
+        for a, b in image.items():
+            for x in one[a] - left:
+                for y in two_[b] - right:
+                    votes[x, y] = votes.get((x, y), 0) + 1
+        assert all(kept + n < 0.9 * max(e1 + inner(x, one, left), e2 + inner(y, two_, right)) for (x, y), n in votes.items())
+
+
 @pytest.mark.parametrize("name, operator", [("all_alignments", "align_all"), ("grown_alignments", "align")])
 def test_alignments_read_written_networks(spark, monkeypatch, name, operator):
     sf, seen, indexed = "/root/testdata/sf0.001", [], []
