@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,6 +304,28 @@ def test_hops_in_arrays_and_by_joins(spark, monkeypatch):
         assert [s for b in own.batches(width) for s in range(*b[2:])] == list(range(len(own.ids)))
 
 
+@pytest.mark.parametrize("n, m", [(30, 45), (200, 260)])
+def test_hops_over_lists_of_nth_neighbours(n, m):
+    near = lo.neighbours(drawn(n, m, 8))
+    ids = sorted(near)
+    at = np.concatenate([[0], np.cumsum([len(near[v]) for v in ids])])
+    flat = np.array([ids.index(u) for v in ids for u in sorted(near[v])])
+    own = spans.slots(at, flat)
+    assert sum(map(len, own.lists)) == 2 * m and all(len(x) >= len(y) for x, y in zip(own.lists, own.lists[1:]))
+    sources = np.arange(0, len(ids), 2)
+    want: list = []
+    for s in sources:
+        seen, front = {ids[s]}, {ids[s]}
+        for hop in range(n):
+            front = set().union(*(near[v] for v in front)) - seen
+            if not front:
+                break
+            seen |= front
+            want += [0] * (hop + 1 - len(want))
+            want[hop] += len(front)
+    assert spans.hops(own, sources, None) == want and spans.hops(own, sources, 2) == want[:2]
+
+
 def test_measures_of_many_components(spark, monkeypatch):
     rows = [(u + 100 * i, v + 100 * i) for i in range(6) for u, v in drawn(25, 40, 1)]
     one, six = (spark.createDataFrame(x, "src long, dst long") for x in (rows[:40], rows + [(900 + 2 * i, 901 + 2 * i) for i in range(40)]))
