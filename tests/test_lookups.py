@@ -339,6 +339,34 @@ def test_measures_of_many_components(spark, monkeypatch):
     assert max(hi - lo for lo, hi, *_ in own.batches(5)) <= 25
 
 
+def test_paths_by_depth_are_those_from_each_node():
+    near = lo.neighbours(drawn(60, 90, 9) + [(200 + i, 201 + i) for i in range(9)])
+    ids = sorted(near)
+    at = np.concatenate([[0], np.cumsum([len(near[v]) for v in ids])])
+    flat = np.array([ids.index(u) for v in ids for u in sorted(near[v])])
+    owner = np.repeat(np.arange(len(ids)), np.diff(at))
+    once = owner < flat
+    sources = np.arange(len(ids))
+    told, none = spans.depths(spans.slots(at, flat), sources)
+    assert spans.depths(spans.slots(at, flat), sources, 3) is None
+    for s in sources:
+        deep, by_node, by_arc = lo._paths_from(s, at, flat, owner)
+        got = lo._paths_by_depth(told[s], none, owner[once], flat[once])
+        assert got[0] == deep and told[s].max() <= none
+        nodes, edges = np.zeros(len(ids)), np.zeros(once.sum())
+        nodes[got[1]], edges[got[3]] = got[2], got[4]
+        whole = {}
+        for u, v, x in zip(owner, flat, by_arc):
+            whole[min(u, v), max(u, v)] = whole.get((min(u, v), max(u, v)), 0) + x
+        assert nodes == pytest.approx(by_node) and edges == pytest.approx([whole[e] for e in zip(owner[once], flat[once])])
+
+
+def test_measures_of_a_deep_graph(spark):
+    # deeper than what is searched by depths of all nodes
+    row = lo.global_measures(spark.createDataFrame([(i, i + 1) for i in range(150)], "src long, dst long"), 70).first()
+    assert row["diameter"] == 150 and row["node_betweenness"] == 75 * 75 and row["edge_betweenness"] == 75 * 76
+
+
 def test_all_alignments_of_any_graph(two, seeds, monkeypatch):
     both(monkeypatch, lambda: lo.align_all(*two, seeds, least_ec=0.7, most=3, size=8))
 
